@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +22,21 @@ def band(x, edges: list[float], labels: list[str], closed: str = "right", defaul
     return chain if default is None else chain.otherwise(default)
 
 
+def count_edges(x: Column, edges: list[float], passed) -> Column:
+    """Number of edges a value has passed; a plain sum, so it stays in generated code."""
+    return reduce(lambda a, b: a + b, [passed(x, F.lit(float(e))).cast("int") for e in edges], F.lit(0))
+
+
 def bin_right_closed(x, edges: list[float]) -> Column:
     """1-based bin of right-closed intervals whose lowest edge is included."""
     x = col(x)
-    below = F.size(F.filter(F.lit([float(e) for e in edges]), lambda e: e < x))
+    below = count_edges(x, edges, lambda value, edge: value > edge)
     return F.when(x.isNotNull(), F.greatest(below, F.lit(1))).cast("int")
 
 
 def bin_left_closed(x, edges: list[float]) -> Column:
     """1-based bin of left-closed intervals whose last edge is included; outside values are clipped."""
     x = col(x)
-    reached = F.size(F.filter(F.lit([float(e) for e in edges]), lambda e: e <= x))
+    reached = count_edges(x, edges, lambda value, edge: value >= edge)
     clipped = F.least(F.greatest(reached, F.lit(1)), F.lit(len(edges) - 1))
     return F.when(x.isNotNull(), clipped).cast("int")

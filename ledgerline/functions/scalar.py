@@ -86,6 +86,12 @@ def encode_cyclical(df: DataFrame, periods: dict[str, float]) -> DataFrame:
     return df.withColumns(added).drop(*periods)
 
 
+def with_scalars(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table, the result of an ungrouped aggregate, to every row."""
+    key = "_one"
+    return df.withColumn(key, F.lit(0)).join(F.broadcast(totals.withColumn(key, F.lit(0))), key).drop(key)
+
+
 def present_cash_flow(flows: list, rate: float) -> Column:
     """Discounted value of end-of-period flows."""
     return reduce(lambda a, b: a + b, [col(c) / F.lit((1 + rate) ** t) for t, c in enumerate(flows, start=1)])

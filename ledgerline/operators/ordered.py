@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col
+from ..functions.scalar import col, with_scalars
 from ..session import split_settings
 
 FIRST = Window.unboundedPreceding
@@ -363,7 +363,7 @@ def _ranked_by_value(out, df, by, value, name, pct, probe) -> DataFrame:
     ranks = ranks.withColumn("_rank", F.col("_before") + (F.col("_c") + 1) / F.lit(2.0))
     if pct:
         sizes = hist.groupBy(*by).agg(F.sum("_c").alias("_size"))
-        ranks = ranks.join(sizes, by) if by else ranks.join(F.broadcast(sizes))  # one row when by is empty
+        ranks = ranks.join(sizes, by) if by else with_scalars(ranks, sizes)
         ranks = ranks.withColumn("_rank", F.col("_rank") / F.col("_size"))
     columns = out.columns
     return out.join(ranks.select(*by, value, F.col("_rank").alias(name)), [*by, value], "left").select(*columns, name)
@@ -373,15 +373,32 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str, pct: bool
     return average_ranks(df, by, {name: value}, pct, probe)
 
 
-def row_position(df: DataFrame, by: list[str], order: list[str], name: str, descending: bool = False) -> DataFrame:
-    """0-based position of each row in its group; exact for a global order as well.
+def row_position(df: DataFrame, order: list[str], name: str, descending: bool = False) -> DataFrame:
+    """0-based position of every row of the table under ``order``, which must be unique.
 
-    ``descending`` applies to the first order column.
+    ``descending`` applies to the first order column.  If one value of that column repeats on more
+    rows than a task should sort, positions are built from the counts of the values and the
+    position among equal values.
     """
+    first = order[0]
+    if len(order) > 1 and find_cut(df, [first], order[1]) is not None:
+        counts = df.groupBy(first).agg(F.count(F.lit(1)).alias("_c"))
+        offsets = cumulate(counts, [], first, {"_before": "_c"}, descending, probe=df).select(F.col(first).alias("_v"), "_before")
+        among = causal(df, [first], order[1:], {"_among": prior_count()})
+        joined = among.join(offsets, F.col(first).eqNullSafe(F.col("_v")))
+        return joined.withColumn(name, (F.col("_before") + F.col("_among")).cast("bigint")).select(*df.columns, name)
     if not descending:
-        return causal(df, by, order, {name: prior_count()})
-    out = df.withColumn("_minus", -F.col(order[0]))
-    return causal(out, by, ["_minus", *order[1:]], {name: prior_count()}).drop("_minus")
+        return causal(df, [], order, {name: prior_count()})
+    out = df.withColumn("_minus", -F.col(first))
+    return causal(out, [], ["_minus", *order[1:]], {name: prior_count()}).drop("_minus")
+
+
+def chunk_of(position: Column, total: Column, chunks: int) -> Column:
+    """1-based chunk of a 0-based position when the first ``total mod chunks`` chunks get one row more."""
+    size, extra = F.floor(total / chunks), total % chunks
+    in_large = F.floor(position / (size + 1))
+    in_small = F.floor((position - extra * (size + 1)) / F.greatest(size, F.lit(1))) + extra
+    return (F.when(position < extra * (size + 1), in_large).otherwise(in_small) + 1).cast("int")
 
 
 def quantiles(df: DataFrame, value, probs: list[float]) -> list[float]:
@@ -430,7 +447,7 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     hist = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     sizes = hist.groupBy(*by).agg(F.sum("_c").alias("_size"))
     placed = cumulate(hist, by, "_v", {"_before": "_c"}, probe=base)
-    placed = placed.join(sizes, by) if by else placed.join(F.broadcast(sizes))  # one row when by is empty
+    placed = placed.join(sizes, by) if by else with_scalars(placed, sizes)
     at = {n: F.lit(float(p)) * (F.col("_size") - 1) for n, p in probs.items()}
     holds = lambda w: F.when((w >= F.col("_before")) & (w < F.col("_before") + F.col("_c")), F.col("_v"))
     picked = placed.groupBy(*by, "_size").agg(

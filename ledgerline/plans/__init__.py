@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("history", )
+MODULES = ("history", "checks", "evaluation", "decisions")
 
 
 def load_all() -> None:

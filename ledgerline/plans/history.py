@@ -374,7 +374,7 @@ def _(t):
     "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position FROM events",
 )
 def _(t):
-    return row_position(t.events.select("event_id", "ts"), [], ["ts", "event_id"], "position").select("event_id", "position")
+    return row_position(t.events.select("event_id", "ts"), ["ts", "event_id"], "position").select("event_id", "position")
 
 
 @query(

@@ -90,7 +90,7 @@ def test_row_position_descending(spark, skewed):
     order = sorted((r for r in skewed.collect() if r.v is not None), key=lambda r: (-r.v, r.id))
     for rows in ("500000", "40"):
         spark.conf.set("spark.ledgerline.minSplitRows", rows)
-        got = table(o.row_position(skewed.filter("v is not null"), [], ["v", "id"], "p", descending=True))
+        got = table(o.row_position(skewed.filter("v is not null"), ["v", "id"], "p", descending=True))
         spark.conf.unset("spark.ledgerline.minSplitRows")
         assert [got[r.id]["p"] for r in order] == list(range(len(order)))
 
@@ -113,3 +113,14 @@ def test_invalid_requests():
 def test_plain_path_uses_one_exchange(skewed):
     plan = o.causal(skewed, ["k"], ["t", "id"], FEATURES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_row_position_when_one_value_holds_a_third(spark):
+    rows = [(i, 5.0 if i % 3 == 0 else float(i % 50)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    for down in (True, False):
+        order = sorted(rows, key=lambda r: (-r[1] if down else r[1], r[0]))
+        spark.conf.set("spark.ledgerline.minSplitRows", "40")
+        got = table(o.row_position(df, ["v", "id"], "p", descending=down))
+        spark.conf.unset("spark.ledgerline.minSplitRows")
+        assert [got[r[0]]["p"] for r in order] == list(range(900))
