@@ -48,7 +48,9 @@ def norm_cdf(x) -> Column:
     tail = F.when(
         a < F.lit(HART_SWITCH), decay * _horner(HART_NUMERATOR, a) / _horner(HART_DENOMINATOR, a)
     ).otherwise(decay / fraction / F.lit(SQRT_TWO_PI))
-    return F.when(x > 0, F.lit(1.0) - tail).otherwise(tail)
+    # One mention of the long expression: 1 - tail above zero, tail below.
+    above = F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return above + (F.lit(1.0) - 2 * above) * tail
 
 
 def erfc(x) -> Column:

@@ -66,8 +66,8 @@ def allocate(
 
     Maximises net return minus half the risk aversion times the variance, with a diagonal
     covariance, weights summing to one and bounds per bucket.  The optimum has the closed form
-    w = clip((m - nu) / (lambda s^2), l, h); nu is found by halving an interval inside one
-    expression.  Risk aversion is raised until the volatility ceiling holds: all raised values
+    w = clip((m - nu) / (lambda s^2), l, h); nu is the point on a piecewise linear curve where
+    the weights sum to one.  Risk aversion is raised until the volatility ceiling holds: all raised values
     are solved side by side and the first that fits is kept.
 
     A portfolio is one small array of its buckets; portfolios and scenarios are rows.
@@ -81,19 +81,19 @@ def allocate(
     tries = F.transform(F.sequence(F.lit(0), F.lit(raises if ceiling is not None else 0)), lambda k: F.col("risk_aversion") * F.pow(F.lit(growth), k))
     df = df.select("*", F.posexplode(tries).alias("_try", "_lam"))
     lam = F.col("_lam")
+    # The sum of weights falls piecewise linearly in nu; its corners are where a weight meets a bound.
+    corner = lambda bound: F.transform("_b", lambda b: b["m"] - lam * b["s"] * b["s"] * b[bound])
+    df = df.withColumn("_corners", F.array_sort(F.concat(corner("h"), corner("l"))))
+    df = df.withColumn("_points", F.transform("_corners", lambda x: F.struct(x.alias("nu"), _sum(_weights(x, lam)).alias("total"))))
     df = df.withColumns({
-        "_lo": F.array_min(F.transform("_b", lambda b: b["m"] - lam * b["s"] * b["s"] * b["h"])),
-        "_hi": F.array_max(F.transform("_b", lambda b: b["m"] - lam * b["s"] * b["s"] * b["l"])),
+        "_left": F.element_at(F.filter("_points", lambda p: p["total"] >= 1), -1),
+        "_right": F.get(F.filter("_points", lambda p: p["total"] < 1), F.lit(0)),
     })
-
-    def halve(acc: Column, _: Column) -> Column:
-        middle = (acc["lo"] + acc["hi"]) / 2
-        above = _sum(_weights(middle, lam)) > 1
-        return F.struct(F.when(above, middle).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(middle).alias("hi"))
-
-    nu = F.aggregate(
-        F.sequence(F.lit(1), F.lit(100)), F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi")), halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    df = df.withColumn("_w", _weights(nu, lam))
+    left, right = F.col("_left"), F.col("_right")
+    between = left["nu"] + (left["total"] - 1) / (left["total"] - right["total"]) * (right["nu"] - left["nu"])
+    nu = F.when(right.isNull(), left["nu"]).when(left.isNull(), right["nu"]).otherwise(between)
+    df = df.withColumn("_nu", nu)
+    df = df.withColumn("_w", _weights(F.col("_nu"), lam))
     df = df.withColumn("_risk", F.sqrt(_sum(F.zip_with("_w", "_b", lambda w, b: w * w * b["s"] * b["s"]))))
     fits = F.lit(True) if ceiling is None else F.col("_risk") <= ceiling
     order = F.struct(F.when(fits, F.col("_try")).otherwise(raises + 1), -F.col("_try"))

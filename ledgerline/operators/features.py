@@ -17,7 +17,7 @@ from ..functions.scalar import (
     safe_div, seconds_between, weekday,
 )
 from ..sources import specs
-from .ordered import average_ranks, causal, expanding, lag, lead, prior_count, rolling
+from .ordered import average_ranks, causal, expanding, lag, lead, one_row_per_day, prior_count, rolling
 
 c = F.col
 
@@ -231,7 +231,7 @@ def panel_features(df: DataFrame, horizon: int = specs.EQUITY_HORIZON) -> DataFr
         "_market_lag": lag("Market_Return"),
         "vix_lag1": lag("VIX"),
         "_vix_mean": rolling("VIX", 20, "mean"),
-    })
+    }, bounded=one_row_per_day(df, "Date"))
     df = df.withColumns({
         "momentum_ratio": safe_div("ret_mean_5", c("ret_std_20") + eps),
         "vol_ratio": safe_div("ret_std_5", c("ret_std_20") + eps),
@@ -274,7 +274,7 @@ def series_features(df: DataFrame, by: list[str] | None = None, horizon: int = s
             f"{low}_ma_5": rolling(name, 5, "mean"), f"{low}_ma_20": rolling(name, 20, "mean"),
             f"{low}_std_20": rolling(name, 20, "std"),
         }
-    df = causal(df, by or [], ["Date"], wanted)
+    df = causal(df, by or [], ["Date"], wanted, bounded=one_row_per_day(df, "Date"))
     df = df.withColumn("liquid_assets_lag1", c("_cash") + c("_securities"))
     return df.withColumns({
         "net_loan_flow_lag1": c("loan_disbursements_lag_1") - c("loan_repayments_lag_1"),
@@ -336,7 +336,7 @@ def tape_features(df: DataFrame, seq: str = "seq") -> DataFrame:
 
 def pct_change(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Relative change against the previous row of the group."""
-    out = causal(df, by, order, {"_prev": lag(value)})
+    out = causal(df, by, order, {"_prev": lag(value)}, bounded=len(order) == 1 and one_row_per_day(df, order[0]))
     return out.withColumn(name, safe_div(value, "_prev") - 1).drop("_prev")
 
 

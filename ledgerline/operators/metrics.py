@@ -25,8 +25,8 @@ CURVE_STEP = 1.0 / (specs.THRESHOLD_POINTS - 1)
 
 def pairs(df: DataFrame, label: str, score: str, *keep: str) -> DataFrame:
     """Rows with both a label and a score, as doubles."""
-    return df.select(*keep, F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("score")).filter(
-        F.col("label").isNotNull() & F.col("score").isNotNull() & ~F.isnan("label") & ~F.isnan("score"))
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    return df.select(*keep, number(label).alias("label"), number(score).alias("score")).filter("label IS NOT NULL AND score IS NOT NULL")
 
 
 def score_counts(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
@@ -146,11 +146,14 @@ def binary_metrics(df: DataFrame, label: str, score: str, key: str, threshold: f
 def regression_metrics(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     """RMSE, MAE, median absolute error, R2 and bias."""
     by = list(by or [])
-    rows = pairs(df, truth, predicted, *by).withColumn("e", F.col("score") - F.col("label")).withColumn("a", F.abs("e"))
+    y, e = F.col(truth).cast("double"), F.nanvl(F.col(predicted).cast("double") - F.col(truth), F.lit(None).cast("double"))
+    # A row without both values has no error, and aggregates skip it; no filter re-evaluates the prediction.
+    rows = df.select(*by, e.alias("e"), y.alias("y")).withColumn("a", F.abs("e"))
     medians = group_quantiles(rows, by, "a", {"medae": 0.5})
+    known = F.when(F.col("e").isNotNull(), F.col("y"))
     agg = rows.groupBy(*by).agg(
         F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("a").alias("mae"), F.sum(F.col("e") * F.col("e")).alias("_sse"),
-        (F.var_pop("label") * F.count(F.lit(1))).alias("_sst"), F.avg("e").alias("bias"), F.count(F.lit(1)).alias("n"))
+        (F.var_pop(known) * F.count("e")).alias("_sst"), F.avg("e").alias("bias"), F.count("e").alias("n"))
     joined = agg.join(medians, by) if by else with_scalars(agg, medians)
     r2 = F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))
     return joined.select(*by, "rmse", "mae", "medae", r2.alias("r2"), "bias", "n")

@@ -217,10 +217,14 @@ def _d1_d2() -> tuple[Column, Column, Column, Column]:
 def value_options(df: DataFrame) -> DataFrame:
     """Closed-form value of every contract and its distance to the supplied and the market price."""
     d1, d2, t, _ = _d1_d2()
-    df = df.withColumns({"_d1": d1, "_d2": d2, "_k": F.col("Strike") * F.exp(-F.col("Interest_Rate") * t)})
-    call = F.col("Spot") * norm_cdf("_d1") - F.col("_k") * norm_cdf("_d2")
-    put = F.col("_k") * norm_cdf(-F.col("_d2")) - F.col("Spot") * norm_cdf(-F.col("_d1"))
-    df = df.withColumn("bs_recomputed", F.when(F.col("Option_Type") == "Call", call).otherwise(put)).drop("_d1", "_d2", "_k")
+    df = df.withColumns({
+        "_d1": d1, "_d2": d2, "_k": F.col("Strike") * F.exp(-F.col("Interest_Rate") * t),
+        "_side": F.when(F.col("Option_Type") == "Call", F.lit(1.0)).otherwise(F.lit(-1.0)),
+    })
+    # A put is the call with every sign turned.
+    side = F.col("_side")
+    value = side * (F.col("Spot") * norm_cdf(side * F.col("_d1")) - F.col("_k") * norm_cdf(side * F.col("_d2")))
+    df = df.withColumn("bs_recomputed", value).drop("_d1", "_d2", "_k", "_side")
     df = df.withColumn("bs_check_error", F.abs(F.col("bs_recomputed") - F.col("Black_Scholes_Price")))
     return df.withColumns({
         "bs_check_error_pct": safe_div("bs_check_error", "Black_Scholes_Price"),
@@ -232,19 +236,20 @@ def value_options(df: DataFrame) -> DataFrame:
 def option_greeks(df: DataFrame) -> DataFrame:
     """Sensitivities of every contract: vega and rho per point, theta per calendar day."""
     d1, d2, t, sigma = _d1_d2()
-    df = df.withColumns({"_d1": d1, "_d2": d2, "_pdf": norm_pdf(d1), "_k": F.col("Strike") * F.exp(-F.col("Interest_Rate") * t)})
-    call = F.col("Option_Type") == "Call"
-    spot, rate, root = F.col("Spot"), F.col("Interest_Rate"), F.sqrt(t)
-    # Which side of the strike the financing term stands on: +N(d2) for a call, -N(-d2) for a put.
-    leg = F.when(call, norm_cdf("_d2")).otherwise(-norm_cdf(-F.col("_d2")))
+    df = df.withColumns({
+        "_d1": d1, "_d2": d2, "_pdf": norm_pdf(d1), "_k": F.col("Strike") * F.exp(-F.col("Interest_Rate") * t),
+        "_side": F.when(F.col("Option_Type") == "Call", F.lit(1.0)).otherwise(F.lit(-1.0)),
+    })
+    spot, rate, root, side = F.col("Spot"), F.col("Interest_Rate"), F.sqrt(t), F.col("_side")
+    df = df.withColumn("_leg", side * norm_cdf(side * F.col("_d2")))
     decay = -(spot * F.col("_pdf") * sigma) / (2 * root)
     return df.withColumns({
-        "delta": F.when(call, norm_cdf("_d1")).otherwise(norm_cdf("_d1") - 1),
+        "delta": side * norm_cdf(side * F.col("_d1")),
         "gamma": F.col("_pdf") / (spot * sigma * root),
         "vega": spot * F.col("_pdf") * root / 100,
-        "theta": (decay - rate * F.col("_k") * leg) / 365,
-        "rho": F.col("_k") * t * leg / 100,
-    }).drop("_d1", "_d2", "_pdf", "_k")
+        "theta": (decay - rate * F.col("_k") * F.col("_leg")) / 365,
+        "rho": F.col("_k") * t * F.col("_leg") / 100,
+    }).drop("_d1", "_d2", "_pdf", "_k", "_side", "_leg")
 
 
 def book_exposure(greeks: DataFrame, underlying: str, position: str) -> DataFrame:

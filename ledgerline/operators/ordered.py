@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import col, with_scalars
 from ..session import split_settings
@@ -194,14 +195,16 @@ def causal(
     order: list[str],
     features: dict[str, Feature],
     probe: DataFrame | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add ordered features per group.
 
     ``order`` must be unique within a group: its first column is the one groups are cut along,
-    the rest break ties.
+    the rest break ties.  ``bounded`` says that no group can be large whatever the data size, e.g.
+    because it has one row per calendar day; the size check is then left out.
     """
     by, order = list(by), list(order)
-    cut = find_cut(df, by, order[0], probe)
+    cut = None if bounded else find_cut(df, by, order[0], probe)
     if cut is None or any(f.kind in ("expanding", "running") and f.stat == "median" for f in features.values()):
         # A median of all earlier rows cannot be put together from parts, so it keeps one window.
         window = Window.partitionBy(*by).orderBy(*order)
@@ -373,6 +376,11 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str, pct: bool
     return average_ranks(df, by, {name: value}, pct, probe)
 
 
+def one_row_per_day(df: DataFrame, order: str) -> bool:
+    """Whether the order column is a calendar date, of which there are few however many rows."""
+    return isinstance(df.schema[order].dataType, T.DateType)
+
+
 def row_position(df: DataFrame, order: list[str], name: str, descending: bool = False) -> DataFrame:
     """0-based position of every row of the table under ``order``, which must be unique.
 
@@ -381,6 +389,9 @@ def row_position(df: DataFrame, order: list[str], name: str, descending: bool =
     position among equal values.
     """
     first = order[0]
+    if order == [first] and one_row_per_day(df, first):
+        return causal(df.withColumn("_minus", F.datediff(F.lit("1970-01-01"), first)) if descending else df, [], ["_minus"] if descending else order,
+                      {name: prior_count()}, bounded=True).drop("_minus")
     if len(order) > 1 and find_cut(df, [first], order[1]) is not None:
         counts = df.groupBy(first).agg(F.count(F.lit(1)).alias("_c"))
         offsets = cumulate(counts, [], first, {"_before": "_c"}, descending, probe=df).select(F.col(first).alias("_v"), "_before")
@@ -441,10 +452,10 @@ def quantiles(df: DataFrame, value, probs: list[float]) -> list[float]:
 def group_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles per group with linear interpolation; one column per entry of ``probs``."""
     by = list(by)
-    base = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    base = df.select(*by, F.col(value).cast("double").alias("_v"))
     if find_cut(base, by, "_v") is None:
         return base.groupBy(*by).agg(*[F.percentile("_v", float(p)).alias(n) for n, p in probs.items()])
-    hist = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    hist = base.filter("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     sizes = hist.groupBy(*by).agg(F.sum("_c").alias("_size"))
     placed = cumulate(hist, by, "_v", {"_before": "_c"}, probe=base)
     placed = placed.join(sizes, by) if by else with_scalars(placed, sizes)

@@ -9,7 +9,7 @@ from ..functions.normal import norm_ppf
 from ..functions.scalar import safe_div, uniform, with_scalars
 from ..sources import specs
 from .metrics import kupiec
-from .ordered import average_ranks, causal, group_quantiles, prior_count, row_position, running
+from .ordered import average_ranks, causal, group_quantiles, one_row_per_day, prior_count, row_position, running
 
 
 # ----------------------------------------------------------------------------------------------
@@ -21,8 +21,9 @@ def portfolio_metrics(
     """Return, volatility, Sharpe, Sortino, drawdown, Calmar and hit rate of each series."""
     r = F.col(value)
     df = returns.filter(r.isNotNull()).withColumn("_g", F.when(r > -1, F.log1p(r)))
-    df = causal(df, by, [date], {"_log": running("_g", "sum")})
-    df = causal(df, by, [date], {"_peak": running("_log", "max")})
+    daily = one_row_per_day(df, date)
+    df = causal(df, by, [date], {"_log": running("_g", "sum")}, bounded=daily)
+    df = causal(df, by, [date], {"_peak": running("_log", "max")}, bounded=daily)
     loss = F.when(r < 0, r)
     agg = df.groupBy(*by).agg(
         (F.exp(F.sum("_g")) - 1).alias("total_return"), (F.count(F.lit(1)) / F.lit(float(periods))).alias("_years"),
@@ -151,7 +152,7 @@ def backtest(
     dates = calendar(panel, date)
     costs = turnover(weights, entities, date, entity, cost_bps)
     effective = costs.join(dates, date).select(F.col(date).alias("_formed"), (F.col("position") + execution_lag).alias("position"), "turnover", "cost")
-    timeline = causal(dates.join(effective, "position", "left"), [], [date], {"_active": running("_formed", "max")})
+    timeline = causal(dates.join(effective, "position", "left"), [], [date], {"_active": running("_formed", "max")}, bounded=one_row_per_day(panel, date))
     rows = panel.select(date, entity, F.coalesce(F.col(value), F.lit(0.0)).alias("_r")).join(F.broadcast(timeline), date)  # one row per date
     held = rows.join(
         weights.select(F.col(date).alias("_active"), F.col(entity).alias(entity), "weight"), ["_active", entity], "left")
@@ -189,7 +190,8 @@ def resampled_var(
 
     Returns are numbered; a draw is a number, so sampling is an equi-join.
     """
-    rows = causal(returns.filter(F.col(value).isNotNull()).select(*by, *order, value), by, order, {"_i": prior_count()})
+    rows = returns.filter(F.col(value).isNotNull()).select(*by, *order, value)
+    rows = causal(rows, by, order, {"_i": prior_count()}, bounded=len(order) == 1 and one_row_per_day(rows, order[0]))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     draws = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
     draws = draws.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))

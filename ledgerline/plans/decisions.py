@@ -616,21 +616,42 @@ ALLOC_OUT = dict.fromkeys(("risk_aversion", "effective_risk_aversion", "portfoli
     ("allocation_crore", "expected_profit_crore", "expected_loss_crore"), 4)
 
 
-@query("allocation_sweep", None, ALLOC_OUT)
+SOLVE = """
+lam AS (SELECT nation, rr, k, rr * power(1.5, k) AS lam FROM (SELECT DISTINCT nation FROM inp), (SELECT unnest({scenarios}) AS rr), (SELECT unnest(range(41)) AS k)),
+bb AS (SELECT lam.*, bucket, net, volatility * volatility AS v, low, high, loss_rate FROM lam JOIN (SELECT *, expected_return - loss_rate AS net FROM inp) i ON lam.nation = i.nation),
+co AS (SELECT nation, rr, k, net - lam * v * high AS nu FROM bb UNION ALL SELECT nation, rr, k, net - lam * v * low FROM bb),
+tt AS (SELECT c.nation, c.rr, c.k, c.nu, sum(least(greatest((net - c.nu) / (lam * v), low), high)) AS total FROM co c JOIN bb b ON c.nation = b.nation AND c.rr = b.rr AND c.k = b.k
+   GROUP BY c.nation, c.rr, c.k, c.nu),
+nu AS (SELECT nation, rr, k, max(nu) FILTER (total >= 1) AS n0, arg_max(total, nu) FILTER (total >= 1) AS t0, min(nu) FILTER (total < 1) AS n1, arg_min(total, nu) FILTER (total < 1) AS t1 FROM tt GROUP BY nation, rr, k),
+ww AS (SELECT b.*, least(greatest((net - CASE WHEN n1 IS NULL THEN n0 WHEN n0 IS NULL THEN n1 ELSE n0 + (t0 - 1) / (t0 - t1) * (n1 - n0) END) / (lam * v), low), high) AS w FROM bb b JOIN nu USING (nation, rr, k)),
+rk AS (SELECT nation, rr, k, sqrt(sum(w * w * v)) AS risk FROM ww GROUP BY nation, rr, k),
+ch AS (SELECT nation, rr, coalesce(min(k) FILTER (risk <= 0.08), 40) AS k FROM rk GROUP BY nation, rr),
+plan AS (SELECT ww.nation, ww.rr AS risk_aversion, lam AS effective_risk_aversion, risk AS portfolio_risk, bucket, w AS allocation_pct, w * 1000 AS allocation_crore, w * 1000 * net AS expected_profit_crore,
+   w * 1000 * loss_rate AS expected_loss_crore, low, high FROM ww JOIN ch USING (nation, rr, k) JOIN rk USING (nation, rr, k))
+"""
+
+
+@query("allocation_sweep", f"WITH {INPUTS}, {SOLVE.format(scenarios='[1.0::DOUBLE, 2.0, 5.0, 10.0]')} SELECT * FROM plan", ALLOC_OUT)
 def _(t):
     return allocation.allocate(allocation.bucket_inputs(_measured(t), "nation"), "nation", [1.0, 2.0, 5.0, 10.0])
 
 
-@query("allocation_binding", None, ALLOC_OUT)
+@query(
+    "allocation_binding",
+    f"""WITH {INPUTS}, {SOLVE.format(scenarios='[2.0::DOUBLE]')} SELECT *, CASE WHEN abs(allocation_pct - low) < 1e-4 AND low > 0 THEN 'MINIMUM'
+        WHEN abs(allocation_pct - high) < 1e-4 AND high < 1 THEN 'MAXIMUM' ELSE 'free' END AS binding FROM plan""",
+    ALLOC_OUT,
+)
 def _(t):
     return allocation.binding_constraints(allocation.allocate(allocation.bucket_inputs(_measured(t), "nation"), "nation", [2.0]))
 
 
 @query(
     "allocation_summary",
-    f"WITH {INPUTS} SELECT nation, rr AS risk_aversion, 1.0 AS total_weight FROM (SELECT DISTINCT nation FROM inp), (SELECT unnest([1.0, 2.0, 5.0]) AS rr)",
-    {"risk_aversion": 2, "total_weight": 8},
+    f"""WITH {INPUTS}, {SOLVE.format(scenarios='[1.0::DOUBLE, 2.0, 5.0]')} SELECT nation, risk_aversion, sum(allocation_pct) AS total_weight, sum(expected_profit_crore) / 1000 AS portfolio_return,
+        max(portfolio_risk) AS portfolio_risk, sum(expected_profit_crore) AS expected_profit_crore, sum(expected_loss_crore) AS expected_loss_crore FROM plan GROUP BY 1, 2""",
+    {"risk_aversion": 2, "total_weight": 8, "portfolio_return": 8, "portfolio_risk": 8, "expected_profit_crore": 4, "expected_loss_crore": 4},
 )
 def _(t):
     plan = allocation.allocate(allocation.bucket_inputs(_measured(t), "nation"), "nation", [1.0, 2.0, 5.0])
-    return allocation.allocation_summary(plan, ["nation", "risk_aversion"]).select("nation", "risk_aversion", "total_weight")
+    return allocation.allocation_summary(plan, ["nation", "risk_aversion"])
