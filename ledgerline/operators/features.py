@@ -7,7 +7,7 @@ targets are the one exception and are listed in the contracts of ``sources.specs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import band
@@ -17,7 +17,7 @@ from ..functions.scalar import (
     safe_div, seconds_between, weekday,
 )
 from ..sources import specs
-from .ordered import average_ranks, causal, expanding, lag, lead, one_row_per_day, prior_count, rolling
+from .ordered import average_ranks, causal, expanding, find_cut, lag, lead, one_row_per_day, prior_count, rolling
 
 c = F.col
 
@@ -242,16 +242,24 @@ def panel_features(df: DataFrame, horizon: int = specs.EQUITY_HORIZON) -> DataFr
         "high_vol_regime": flag(c("vix_lag1") > 20),
         "_reversal": -c("ret_lag_1"),
     })
+    # One size check serves the ranks and the sector means: both look at the rows of one day.
+    whole_days = find_cut(base, ["Date"], "Momentum_20D") is None
     df = average_ranks(df, ["Date"], {
         "rank_momentum": "Momentum_20D", "rank_volatility": "Volatility_20D",
         "rank_reversal": "_reversal", "rank_volume_surprise": "volume_surprise",
-    }, probe=base)
-    df = group_relative(df, ["Date", "Sector"], "Momentum_20D", "momentum_vs_sector")
+    }, probe=base, bounded=whole_days)
+    df = group_relative(df, ["Date", "Sector"], "Momentum_20D", "momentum_vs_sector", bounded=whole_days)
     return df.drop("_market_lag", "_vix_mean", "_reversal").filter(c(f"fwd_return_{horizon}d").isNotNull())
 
 
-def group_relative(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Value minus the mean of its group; the means are aggregated before they meet the rows."""
+def group_relative(df: DataFrame, by: list[str], value: str, name: str, bounded: bool = False) -> DataFrame:
+    """Value minus the mean of its group.
+
+    Means are aggregated before they meet the rows, so a group of any size is fine.  Groups known to
+    be ``bounded`` use a window, which needs no second pass and shares a shuffle with its neighbours.
+    """
+    if bounded:
+        return df.withColumn(name, c(value) - F.avg(value).over(Window.partitionBy(*by)))
     means = df.groupBy(*by).agg(F.avg(value).alias("_mean"))
     return df.join(means, by, "left").withColumn(name, c(value) - c("_mean")).drop("_mean")
 

@@ -337,7 +337,7 @@ def cumulate(
 
 
 def average_ranks(
-    df: DataFrame, by: list[str], values: dict[str, str], pct: bool = True, probe: DataFrame | None = None,
+    df: DataFrame, by: list[str], values: dict[str, str], pct: bool = True, probe: DataFrame | None = None, bounded: bool = False,
 ) -> DataFrame:
     """Ranks within the group, ties averaged, NULL for NULL; ``values`` maps a new column to the ranked one.
 
@@ -346,7 +346,7 @@ def average_ranks(
     """
     by, out, added = list(by), df, {}
     for name, value in values.items():
-        cut = find_cut(df, by, value, probe) if not added else None
+        cut = find_cut(df, by, value, probe) if not added and not bounded else None
         if cut is not None:
             out = _ranked_by_value(out, df, by, value, name, pct, probe)
             continue

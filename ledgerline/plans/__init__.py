@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("history", "checks", "evaluation", "decisions")
+MODULES = ("history", "checks", "evaluation", "decisions", "sourcing")
 
 
 def load_all() -> None:
