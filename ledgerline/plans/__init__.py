@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("history", "checks", "evaluation", "decisions", "sourcing")
+MODULES = ("history", "checks", "evaluation", "decisions", "sourcing", "modelling")
 
 
 def load_all() -> None:
