@@ -16,11 +16,11 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalar import uniform, with_scalars
+from ..session import materialise
 from ..sources import tables
 from . import encode, metrics
 from .ordered import row_position
@@ -164,10 +164,12 @@ def kfold_roles(fold_column: str, folds: int) -> list[FoldRole]:
     return [FoldRole(k, F.col(fold_column) != k, F.col(fold_column) == k) for k in range(1, folds + 1)]
 
 
-def in_parallel(jobs: list[Callable]):
+def in_parallel(jobs: list[Callable]) -> list:
     """Run driver-side fits side by side; each is a Spark job of its own."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    wrapped = [inherit(job) for job in jobs]
     with ThreadPool(min(PARALLEL_FITS, max(len(jobs), 1))) as pool:
-        return pool.map(lambda job: inheritable_thread_target(job)(), jobs)
+        return pool.map(lambda job: job(), wrapped)
 
 
 def out_of_fold(
@@ -176,10 +178,10 @@ def out_of_fold(
 ) -> DataFrame:
     """Scores of every row by a model that never saw it: (key, fold, label, score, truncated).
 
-    The feature table is kept in memory and on disk for the fits; if an executor is lost its part
-    is computed again.  A cap on folds is recorded in ``truncated``.
+    Every fit scans ``df`` again, so pass a written table (``session.materialise``), not a long
+    lineage.  A cap on folds is recorded in ``truncated``.
     """
-    rows = prepare(df, numeric).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = prepare(df, numeric)
     used = roles if max_folds is None else roles[:max_folds]
 
     def one(role: FoldRole) -> DataFrame:
@@ -209,7 +211,7 @@ def fold_metrics(oof: DataFrame, task: str) -> DataFrame:
 
 def compare(df: DataFrame, models: list[Model], roles: list[FoldRole], key: list[str], numeric: list[str], categorical: list[str]) -> DataFrame:
     """Mean and deviation of every fold metric for several models."""
-    parts = []
+    df, parts = materialise(df, "compare"), []
     for model in models:
         folds = fold_metrics(out_of_fold(df, model, roles, key, numeric, categorical), model.task)
         parts.append(folds.withColumn("model", F.lit(model.name)))
@@ -221,7 +223,7 @@ def stacked(df: DataFrame, models: list[Model], roles: list[FoldRole], key: str,
 
     The second level uses the same folds; only rows every base model scored take part.
     """
-    joined = None
+    df, joined = materialise(df, "stack"), None
     for i, model in enumerate(models):
         oof = out_of_fold(df, model, roles, [key], numeric, categorical)
         part = oof.select(key, "fold", "label", F.col("score").alias(f"s{i}")) if joined is None else oof.select(key, F.col("score").alias(f"s{i}"))
@@ -230,7 +232,7 @@ def stacked(df: DataFrame, models: list[Model], roles: list[FoldRole], key: str,
     names = [f"s{i}" for i in range(len(models))]
     folds = [r.fold for r in roles]
     second = [FoldRole(k, F.col("fold") != k, F.col("fold") == k) for k in folds]
-    return out_of_fold(joined, meta, second, [key, *names], names, [])
+    return out_of_fold(materialise(joined, "stack-level-2"), meta, second, [key, *names], names, [])
 
 
 # ----------------------------------------------------------------------------------------------
@@ -262,10 +264,11 @@ def holdout_once(
     train: DataFrame, holdout: DataFrame, model: Model, roles: list[FoldRole], key: list[str], numeric: list[str], categorical: list[str], path: str,
 ) -> DataFrame:
     """Threshold from training out-of-fold scores, refit, one scoring of the hold-out, realised cost, drift."""
-    oof = out_of_fold(train, model, roles, key, numeric, categorical)
+    train = materialise(train, "holdout-train")
+    oof = materialise(out_of_fold(train, model, roles, key, numeric, categorical), "holdout-oof")
     best = metrics.optimal_threshold(oof, "label", "score").first()
     refit_and_save(train, model, numeric, categorical, path, {"optimal_threshold": best["threshold"]})
-    scored = score_batch(holdout, path, [*key, "label"])
+    scored = materialise(score_batch(holdout, path, [*key, "label"]), "holdout-scores")
     flagged = F.col("score") >= best["threshold"]
     cost = F.when(~flagged & (F.col("label") == 1), best["cost_false_negative"]).when(flagged & (F.col("label") == 0), best["cost_false_positive"]).otherwise(0.0)
     realised = scored.agg(
@@ -296,7 +299,7 @@ def parameter_search(
     metric: str = "roc_auc",
 ) -> DataFrame:
     """Mean out-of-fold metric of each parameter set, best first."""
-    parts = []
+    df, parts = materialise(df, "search"), []
     for i, params in enumerate(random_grid(space, n)):
         model = Model(f"trial_{i}", base.kind, base.task, {**base.params, **params}, base.scale, base.balanced)
         folds = fold_metrics(out_of_fold(df, model, roles, key, numeric, categorical), base.task).filter(F.col("metric") == metric)
@@ -325,7 +328,7 @@ def permutation_importance(df: DataFrame, fitted, key: str, features: list[str],
     One shuffle of rows per repeat serves all features.
     """
     base = metrics.ranking_metrics(predict(fitted, df, "binary", [key, "label"]), "label", "score").select(F.col("roc_auc").alias("_base"))
-    dealt = shuffled_partner(df, key, features, repeats, seed)
+    dealt = materialise(shuffled_partner(df, key, features, repeats, seed), "importance")
     scored = None
     for f in features:
         part = predict(fitted, dealt.withColumn(f, F.col(f"{f}__p")), "binary", ["repeat", "label"]).withColumn("feature", F.lit(f))
@@ -338,16 +341,14 @@ def permutation_importance(df: DataFrame, fitted, key: str, features: list[str],
 def null_importance(df: DataFrame, key: str, features: list[str], runs: int = 25, percentile: float = 0.95, seed: int = 42, task: str = "binary") -> DataFrame:
     """Forest importance of each feature against its own distribution under shuffled labels."""
     model = Model("selector", "forest", task, {"numTrees": 10, "maxDepth": 4, "seed": 42})
-    rows = prepare(df, features).persist(StorageLevel.MEMORY_AND_DISK)
-    dealt = shuffled_partner(rows.select(key, "label", *features), key, ["label"], runs, seed).withColumn("label", F.col("label__p"))
-    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(prepare(df.select(key, "label", *features), features), "selection")
+    dealt = shuffled_partner(rows, key, ["label"], runs, seed).withColumn("label", F.col("label__p"))
+    dealt = materialise(dealt, "selection-dealt")
 
     def importances(train: DataFrame) -> list[float]:
         return [float(x) for x in fit(model, train, features, []).stages[-1].featureImportances.toArray()]
 
     fits = in_parallel([lambda: importances(rows)] + [lambda r=r: importances(dealt.filter(F.col("repeat") == r)) for r in range(1, runs + 1)])
-    dealt.unpersist()
-    rows.unpersist()
     long = [(f, run, v) for run, values in enumerate(fits) for f, v in zip(features, values)]
     table = df.sparkSession.createDataFrame(long, "feature string, run int, importance double")  # features x runs numbers
     out = table.groupBy("feature").agg(

@@ -144,16 +144,17 @@ def _slice_of(x: Column, bounds: Column, coarse: Column, stride: Column) -> Colu
     return F.coalesce((whole + rest).cast("int"), F.lit(0))
 
 
-def find_cut(df: DataFrame, by: list[str], order: str, probe: DataFrame | None = None) -> Cut | None:
+def find_cut(df: DataFrame, by: list[str], order: str, probe: DataFrame | None = None, total: int | None = None) -> Cut | None:
     """Groups above the threshold with their cut points, or None if a plain window is fine.
 
     ``probe`` may be a cheaper table with the same or larger groups, e.g. the base rows of an
-    aggregate; if it also has the order column, the cut points come from it as well.
+    aggregate; if it also has the order column, the cut points come from it as well.  ``total`` is
+    its number of rows, if known.
     """
     sized = probe if probe is not None else df
     spark = df.sparkSession
     settings = split_settings(spark)
-    total = sized.count()
+    total = sized.count() if total is None else total
     if total <= settings.min_rows:
         return None
     limit = settings.threshold(total)
@@ -392,16 +393,18 @@ def row_position(df: DataFrame, order: list[str], name: str, descending: bool =
     if order == [first] and one_row_per_day(df, first):
         return causal(df.withColumn("_minus", F.datediff(F.lit("1970-01-01"), first)) if descending else df, [], ["_minus"] if descending else order,
                       {name: prior_count()}, bounded=True).drop("_minus")
-    if len(order) > 1 and find_cut(df, [first], order[1]) is not None:
+    total = df.count()
+    small = total <= split_settings(df.sparkSession).min_rows
+    if len(order) > 1 and find_cut(df, [first], order[1], total=total) is not None:
         counts = df.groupBy(first).agg(F.count(F.lit(1)).alias("_c"))
         offsets = cumulate(counts, [], first, {"_before": "_c"}, descending, probe=df).select(F.col(first).alias("_v"), "_before")
         among = causal(df, [first], order[1:], {"_among": prior_count()})
         joined = among.join(offsets, F.col(first).eqNullSafe(F.col("_v")))
         return joined.withColumn(name, (F.col("_before") + F.col("_among")).cast("bigint")).select(*df.columns, name)
     if not descending:
-        return causal(df, [], order, {name: prior_count()})
+        return causal(df, [], order, {name: prior_count()}, bounded=small)
     out = df.withColumn("_minus", -F.col(first))
-    return causal(out, [], ["_minus", *order[1:]], {name: prior_count()}).drop("_minus")
+    return causal(out, [], ["_minus", *order[1:]], {name: prior_count()}, bounded=small).drop("_minus")
 
 
 def chunk_of(position: Column, total: Column, chunks: int) -> Column:

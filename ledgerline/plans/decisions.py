@@ -655,3 +655,20 @@ def _(t):
 def _(t):
     plan = allocation.allocate(allocation.bucket_inputs(_measured(t), "nation"), "nation", [1.0, 2.0, 5.0])
     return allocation.allocation_summary(plan, ["nation", "risk_aversion"])
+
+
+@query(
+    "fraud_queue_stream",
+    """SELECT event_id, CASE WHEN p >= 0.3 THEN 1 ELSE 0 END AS investigate, p * 10000 - 500 AS net_benefit_of_investigating,
+       CASE WHEN p <= -0.01 THEN NULL WHEN p <= 0.3 THEN 'monitor' WHEN p <= 0.6 THEN 'review' WHEN p <= 1.01 THEN 'urgent' END AS priority FROM (SELECT event_id, @U(event_id,11)@ AS p FROM events)""",
+    {"net_benefit_of_investigating": 4},
+)
+def _(t):
+    from ..session import fresh_dir
+    from ..streaming import scoring
+
+    arrivals = scoring.read_arrivals(t.spark, t.sf_dir, t.events.schema, "events.parquet")
+    scored = scoring.decide(arrivals, lambda df: money.score_fraud_queue(df.withColumn("p", scalar.uniform("event_id", 11)), "p", 0.3))
+    sink, state = fresh_dir(t.spark, "decisions"), fresh_dir(t.spark, "decisions-state")
+    scoring.run_to_date(scored.select("event_id", "investigate", "net_benefit_of_investigating", "priority"), sink, state)
+    return t.spark.read.parquet(sink)

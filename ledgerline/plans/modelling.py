@@ -8,7 +8,7 @@ from ..operators import features as fx
 from ..operators import metrics as m
 from ..operators import modeling as ml
 from ..operators import money, splits
-from ..session import fresh_dir
+from ..session import fresh_dir, materialise
 from .registry import query
 
 NUMERIC = ["ltv", "loan_to_income", "credit_score_norm", "Debt_to_Income", "Past_Default", "Sector_Risk", "emi_to_monthly_income", "pd"]
@@ -23,8 +23,12 @@ def loans(t, folds=3):
     return df.select("Customer_ID", "label", "Loan_Amount", "Collateral_Value", "o_orderdate", *NUMERIC, *CATEGORICAL).join(assigned, "Customer_ID")
 
 
+def table(t, folds=3):
+    return materialise(loans(t, folds), "loans")
+
+
 def oof(t, model=LOGISTIC, folds=3):
-    return ml.out_of_fold(loans(t, folds), model, ml.kfold_roles("fold", folds), ["Customer_ID"], NUMERIC, CATEGORICAL)
+    return ml.out_of_fold(table(t, folds), model, ml.kfold_roles("fold", folds), ["Customer_ID"], NUMERIC, CATEGORICAL)
 
 
 @query("fold_safe_preprocessing", None, {"mean_first": 6})
@@ -32,7 +36,7 @@ def _(t):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    rows = ml.prepare(loans(t), NUMERIC)
+    rows = ml.prepare(table(t), NUMERIC)
     fitted = Pipeline(stages=ml.preprocessing(NUMERIC, CATEGORICAL, True)).fit(rows.filter("fold <> 1"))
     out = fitted.transform(rows.filter("fold = 1")).withColumn("v", vector_to_array("features"))
     return out.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("v")[0]).alias("mean_first"))
@@ -87,7 +91,7 @@ def _(t):
 
 @query("out_of_fold_evaluation", None, {"value": 6})
 def _(t):
-    scores = oof(t).persist()
+    scores = materialise(oof(t), "oof")
     bundle = m.binary_metrics(scores, "label", "score", "Customer_ID")
     best = m.optimal_threshold(scores, "label", "score").selectExpr("stack(2, 'optimal_threshold', threshold, 'total_cost', total_cost) AS (metric, value)")
     ece = m.expected_calibration_error(m.calibration_table(scores, "label", "score")).selectExpr("'ece' AS metric", "ece AS value")
@@ -97,7 +101,7 @@ def _(t):
 @query("batch_scoring", None, {"pd": 6, "ecl": 2, "ecl_ratio": 6, "ecl_collateral_aware": 2})
 def _(t):
     path = fresh_dir(t.spark, "model")
-    df = loans(t).drop("pd")
+    df = table(t).drop("pd")
     numeric = [c for c in NUMERIC if c != "pd"]
     ml.refit_and_save(df.filter("fold <> 1"), LOGISTIC, numeric, CATEGORICAL, path)
     scored = ml.score_batch(df.filter("fold = 1"), path, ["Customer_ID", "Loan_Amount", "Collateral_Value"]).withColumnRenamed("score", "pd")
@@ -106,7 +110,7 @@ def _(t):
 
 @query("holdout_scored_once", None, dict.fromkeys(("realised_cost", "cost_per_row"), 2) | dict.fromkeys(("psi", "roc_auc", "pr_auc", "ks", "threshold"), 6))
 def _(t):
-    df = loans(t)
+    df = table(t)
     cut = "o_orderdate < TIMESTAMP '2000-06-01 00:00:00'"
     return ml.holdout_once(df.filter(cut), df.filter(f"NOT ({cut})"), LOGISTIC, ml.kfold_roles("fold", 3), ["Customer_ID"], NUMERIC, CATEGORICAL, fresh_dir(t.spark, "holdout"))
 
@@ -114,7 +118,7 @@ def _(t):
 @query("stacked_scores", None, {"roc_auc": 6, "pr_auc": 6, "ks": 6})
 def _(t):
     models = [LOGISTIC, ml.BASELINES["binary"][2]]
-    scores = ml.stacked(loans(t), models, ml.kfold_roles("fold", 3), "Customer_ID", NUMERIC, CATEGORICAL).persist()
+    scores = materialise(ml.stacked(loans(t), models, ml.kfold_roles("fold", 3), "Customer_ID", NUMERIC, CATEGORICAL), "stacked")
     out = m.ranking_metrics(scores, "label", "score").withColumn("model", F.lit("stack"))
     for i, model in enumerate(models):
         out = out.unionByName(m.ranking_metrics(scores, "label", f"s{i}").withColumn("model", F.lit(model.name)))
@@ -129,7 +133,7 @@ def _(t):
 
 @query("permutation_importance", None, {"importance_mean": 6, "importance_std": 6})
 def _(t):
-    df = ml.prepare(loans(t), NUMERIC).persist()
+    df = ml.prepare(table(t), NUMERIC)
     fitted = ml.fit(LOGISTIC, df.filter("fold <> 1"), NUMERIC, CATEGORICAL)
     return ml.permutation_importance(df.filter("fold = 1"), fitted, "Customer_ID", ["pd", "ltv", "Sector_Risk"], repeats=3)
 
@@ -141,7 +145,7 @@ def _(t):
 
 @query("feature_selection")
 def _(t):
-    df = loans(t).filter("fold <> 1").withColumn("constant", F.lit(1.0)).withColumn("pd_copy", F.col("pd") * 2)
+    df = table(t).filter("fold <> 1").withColumn("constant", F.lit(1.0)).withColumn("pd_copy", F.col("pd") * 2)
     return ml.select_features(df, "Customer_ID", ["pd", "pd_copy", "ltv", "Sector_Risk", "constant"], ["Customer_Type"], runs=4, priority={"pd"})
 
 

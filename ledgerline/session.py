@@ -6,7 +6,7 @@ import os
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Used where several jobs start from the same derived table: it is computed once, later scans
+    read only the columns they need, and it outlives any executor.
+    """
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "ledgerline") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
