@@ -15,7 +15,7 @@ from ..functions.scalar import safe_div, with_scalars
 from ..session import split_settings
 from ..sources import specs
 from .features import pct_change
-from .ordered import quantiles
+from .ordered import column_quantiles, quantiles
 
 MAX_CLASSES = 1000
 AGGREGATES_PER_PASS = 400
@@ -140,14 +140,13 @@ def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, moments, tail percentiles and bias-corrected skew and kurtosis per column."""
     names = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
     spark = df.sparkSession
-    small = df.count() <= split_settings(spark).min_rows
+    total = df.count()
+    small = total <= split_settings(spark).min_rows
+    large = {} if small else column_quantiles(df, columns, list(names.values()), total)
     cells = []
     for name in columns:
         x = F.col(name).cast("double")
-        if small:
-            points = F.percentile(x, F.lit(list(names.values())))
-        else:
-            points = F.lit(quantiles(df, name, list(names.values())))
+        points = F.percentile(x, F.lit(list(names.values()))) if small else F.lit(large[name] or [None] * len(names)).cast("array<double>")
         n, g1, g2 = F.count(x).cast("double"), F.skewness(x), F.kurtosis(x)
         cells.append(F.struct(
             F.lit(name).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
@@ -322,9 +321,9 @@ def label_reconstruction(df: DataFrame, target: str, columns: list[str]) -> Data
         return spark.createDataFrame([], schema)
     total = sum(n for _, n in shares)
     cumulative = [sum(n for _, n in shares[: i + 1]) / total for i in range(len(shares) - 1)]
-    out = None
+    out, cuts = None, column_quantiles(df, columns, cumulative, total)
     for name in columns:
-        edges = quantiles(df, name, cumulative)
+        edges = cuts[name]
         x = F.col(name).cast("double")
         reached = sum((F.when(x >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
         bins = F.when(x.isNull(), F.lit(len(edges))).otherwise(reached)

@@ -16,6 +16,7 @@ from pyspark.sql import Window
 from ..functions.bands import bin_left_closed, count_edges
 from ..functions.normal import erfc
 from ..functions.scalar import safe_div, uniform, with_scalars
+from ..session import split_settings
 from ..sources import specs
 from .ordered import average_ranks, causal, cumulate, group_quantiles, prior_count, quantiles
 
@@ -37,12 +38,17 @@ def score_counts(df: DataFrame, by: list[str], weight: str | None = None) -> Dat
         F.sum(F.when(positive, w).otherwise(0)).alias("pos"), F.sum(F.when(positive, 0).otherwise(w)).alias("neg"))
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """ROC-AUC with averaged ties, average precision and KS per block of tied scores; NULL if a class is absent."""
+def ranking_metrics(
+    df: DataFrame, label: str, score: str, by: list[str] | None = None, weight: str | None = None, bounded: bool = False, total: int | None = None,
+) -> DataFrame:
+    """ROC-AUC with averaged ties, average precision and KS per block of tied scores; NULL if a class is absent.
+
+    ``bounded`` and ``total`` spare the size check, as in ``ordered.causal``.
+    """
     by = list(by or [])
     rows = pairs(df, label, score, *by, *([weight] if weight else []))
     counts = score_counts(rows, by, weight)
-    placed = cumulate(counts, by, "score", {"tp": "pos", "fp": "neg"}, descending=True, probe=rows)
+    placed = cumulate(counts, by, "score", {"tp": "pos", "fp": "neg"}, descending=True, probe=rows, bounded=bounded, total=total)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     placed = placed.join(totals, by) if by else with_scalars(placed, totals)
     pos, neg, tp, fp, p, n = (F.col(x).cast("double") for x in ("pos", "neg", "tp", "fp", "p", "n"))
@@ -77,7 +83,7 @@ def probability_metrics(df: DataFrame, label: str, score: str, by: list[str] | N
         "n", "n_positive")
 
 
-def top_events(df: DataFrame, label: str, score: str, key: str, positions: list[int]) -> list[float]:
+def top_events(df: DataFrame, label: str, score: str, key: str, positions: list[int], total: int | None = None) -> list[float]:
     """Sum of labels among the first p rows by falling score, ties by key, for each p.
 
     Counts per score decide all blocks of ties that lie on one side of p.  Only a block that p
@@ -85,7 +91,7 @@ def top_events(df: DataFrame, label: str, score: str, key: str, positions: list[
     """
     rows = pairs(df, label, score, key)
     counts = rows.groupBy("score").agg(F.count(F.lit(1)).alias("c"), F.sum("label").alias("s"))
-    placed = cumulate(counts, [], "score", {"c0": "c", "s0": "s"}, descending=True, probe=rows)
+    placed = cumulate(counts, [], "score", {"c0": "c", "s0": "s"}, descending=True, probe=rows, total=total)
     wanted = F.lit([int(p) for p in positions])
     cut = placed.withColumn("p", F.explode(F.filter(wanted, lambda w: (w > F.col("c0")) & (w <= F.col("c0") + F.col("c")))))
     found = {r["p"]: r for r in cut.collect()}  # one row per position
@@ -93,7 +99,7 @@ def top_events(df: DataFrame, label: str, score: str, key: str, positions: list[
     partial = {p: r for p, r in found.items() if r["c0"] + r["c"] != p}
     if partial:
         blocks = rows.filter(F.col("score").isin(sorted({r["score"] for r in partial.values()})))
-        among = causal(blocks, ["score"], [key], {"_at": prior_count()})
+        among = causal(blocks, ["score"], [key], {"_at": prior_count()}, total=sum(int(r["c"]) for r in partial.values()))
         sums = among.agg(*[
             F.sum(F.when((F.col("score") == r["score"]) & (F.col("_at") < p - r["c0"]), F.col("label")).otherwise(0.0)).alias(str(p))
             for p, r in partial.items()]).collect()[0]
@@ -108,7 +114,7 @@ def lift_at(df: DataFrame, label: str, score: str, key: str, shares: list[float]
         raise ValueError("a share lies in (0, 1]")
     totals = pairs(df, label, score).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")).collect()[0]
     tops = [max(1, round(totals["n"] * k)) for k in shares]
-    events = top_events(df, label, score, key, tops)
+    events = top_events(df, label, score, key, tops, totals["n"])
     base = (totals["s"] or 0.0) / totals["n"] if totals["n"] else 0.0
     rows = [(float(k), top, e / top / base if base else None) for k, top, e in zip(shares, tops, events)]
     return df.sparkSession.createDataFrame(rows, "share double, n_top bigint, lift double")
@@ -120,7 +126,7 @@ def gains_table(df: DataFrame, label: str, score: str, key: str, n_bins: int = 1
     n, s = totals["n"], totals["s"] or 0.0
     sizes = [n // n_bins + (1 if i < n % n_bins else 0) for i in range(n_bins)]
     ends = [sum(sizes[: i + 1]) for i in range(n_bins)]
-    through = top_events(df, label, score, key, ends)
+    through = top_events(df, label, score, key, ends, n)
     base, rows = s / n, []
     for i, (size, end, cumulative) in enumerate(zip(sizes, ends, through)):
         events = cumulative - (through[i - 1] if i else 0.0)
@@ -134,11 +140,12 @@ def gains_table(df: DataFrame, label: str, score: str, key: str, n_bins: int = 1
 
 def binary_metrics(df: DataFrame, label: str, score: str, key: str, threshold: float = 0.5, shares=(0.05, 0.10, 0.20)) -> DataFrame:
     """Every binary measure as (metric, value) rows."""
-    wide = with_scalars(ranking_metrics(df, label, score), probability_metrics(df, label, score, threshold=threshold))
+    lifts = lift_at(df, label, score, key, list(shares))
+    n = pairs(df, label, score).count()
+    wide = with_scalars(ranking_metrics(df, label, score, total=n), probability_metrics(df, label, score, threshold=threshold))
     names = wide.columns
     cells = ", ".join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)
     long = wide.selectExpr(f"stack({len(names)}, {cells}) AS (metric, value)")
-    lifts = lift_at(df, label, score, key, list(shares))
     return long.unionByName(lifts.select(
         F.concat(F.lit("lift@"), (F.col("share") * 100).cast("int"), F.lit("pct")).alias("metric"), F.col("lift").alias("value")))
 
@@ -325,30 +332,41 @@ def poisson_weight(u: Column) -> Column:
     return chain.otherwise(9)
 
 
+def spread_pairs(df: DataFrame, label: str, score: str, key: str) -> tuple[DataFrame, int]:
+    """Narrow rows dealt evenly over the cluster before each becomes many replicates, and their number.
+
+    One replicate holds at most that many rows, so a small table needs no size check per replicate.
+    """
+    rows = pairs(df, label, score, key)
+    return rows.repartition(split_settings(df.sparkSession).partitions, key), rows.count()
+
+
 def bootstrap_auc(df: DataFrame, label: str, score: str, key: str, replicates: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Percentile interval of the ROC-AUC from Poisson-weighted replicates.
 
     A row that a replicate does not draw is dropped before the shuffle, the rest is reduced to
     counts per (replicate, score) on the map side.
     """
-    rows = pairs(df, label, score, key)
+    rows, n = spread_pairs(df, label, score, key)
+    small = n <= split_settings(df.sparkSession).min_rows
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = reps.withColumn("w", poisson_weight(uniform(key, "rep", seed))).filter("w > 0")
-    auc = ranking_metrics(drawn, "label", "score", ["rep"], weight="w").filter("roc_auc IS NOT NULL")
+    auc = ranking_metrics(drawn, "label", "score", ["rep"], weight="w", bounded=small).filter("roc_auc IS NOT NULL")
     spread = auc.agg(
         F.percentile("roc_auc", alpha / 2).alias("lower"), F.percentile("roc_auc", 1 - alpha / 2).alias("upper"),
         F.stddev_samp("roc_auc").alias("std"), F.count(F.lit(1)).alias("n_boot"))
-    return with_scalars(ranking_metrics(rows, "label", "score").select(F.col("roc_auc").alias("point")), spread)
+    return with_scalars(ranking_metrics(rows, "label", "score", total=n).select(F.col("roc_auc").alias("point")), spread)
 
 
 def permutation_test(df: DataFrame, label: str, score: str, key: str, permutations: int = 200, seed: int = 42) -> DataFrame:
     """Chance of an AUC at least as large when the labels are dealt out at random, for a fixed score."""
-    rows = pairs(df, label, score, key)
+    rows, n = spread_pairs(df, label, score, key)
+    small = n <= split_settings(df.sparkSession).min_rows
     positives = int(rows.agg(F.count_if(F.col("label") > 0.5)).collect()[0][0])
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("u", uniform(key, "rep", seed))
-    dealt = causal(reps, ["rep"], ["u", key], {"at": prior_count()}).withColumn("dealt", (F.col("at") < positives).cast("double"))
-    null = ranking_metrics(dealt, "dealt", "score", ["rep"]).select(F.col("roc_auc").alias("null_auc"))
-    observed = ranking_metrics(rows, "label", "score").select(F.col("roc_auc").alias("observed"))
+    dealt = causal(reps, ["rep"], ["u", key], {"at": prior_count()}, bounded=small).withColumn("dealt", (F.col("at") < positives).cast("double"))
+    null = ranking_metrics(dealt, "dealt", "score", ["rep"], bounded=small).select(F.col("roc_auc").alias("null_auc"))
+    observed = ranking_metrics(rows, "label", "score", total=n).select(F.col("roc_auc").alias("observed"))
     both = with_scalars(null, observed)
     return both.groupBy("observed").agg(
         F.avg("null_auc").alias("null_mean"), F.percentile("null_auc", 0.95).alias("null_p95"),

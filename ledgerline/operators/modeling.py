@@ -211,7 +211,7 @@ def fold_metrics(oof: DataFrame, task: str) -> DataFrame:
 
 def compare(df: DataFrame, models: list[Model], roles: list[FoldRole], key: list[str], numeric: list[str], categorical: list[str]) -> DataFrame:
     """Mean and deviation of every fold metric for several models."""
-    df, parts = materialise(df, "compare"), []
+    df, parts = materialise(df, "compare", spread=True), []
     for model in models:
         folds = fold_metrics(out_of_fold(df, model, roles, key, numeric, categorical), model.task)
         parts.append(folds.withColumn("model", F.lit(model.name)))
@@ -223,7 +223,7 @@ def stacked(df: DataFrame, models: list[Model], roles: list[FoldRole], key: str,
 
     The second level uses the same folds; only rows every base model scored take part.
     """
-    df, joined = materialise(df, "stack"), None
+    df, joined = materialise(df, "stack", spread=True), None
     for i, model in enumerate(models):
         oof = out_of_fold(df, model, roles, [key], numeric, categorical)
         part = oof.select(key, "fold", "label", F.col("score").alias(f"s{i}")) if joined is None else oof.select(key, F.col("score").alias(f"s{i}"))
@@ -232,7 +232,7 @@ def stacked(df: DataFrame, models: list[Model], roles: list[FoldRole], key: str,
     names = [f"s{i}" for i in range(len(models))]
     folds = [r.fold for r in roles]
     second = [FoldRole(k, F.col("fold") != k, F.col("fold") == k) for k in folds]
-    return out_of_fold(materialise(joined, "stack-level-2"), meta, second, [key, *names], names, [])
+    return out_of_fold(materialise(joined, "stack-level-2", spread=True), meta, second, [key, *names], names, [])
 
 
 # ----------------------------------------------------------------------------------------------
@@ -264,7 +264,7 @@ def holdout_once(
     train: DataFrame, holdout: DataFrame, model: Model, roles: list[FoldRole], key: list[str], numeric: list[str], categorical: list[str], path: str,
 ) -> DataFrame:
     """Threshold from training out-of-fold scores, refit, one scoring of the hold-out, realised cost, drift."""
-    train = materialise(train, "holdout-train")
+    train = materialise(train, "holdout-train", spread=True)
     oof = materialise(out_of_fold(train, model, roles, key, numeric, categorical), "holdout-oof")
     best = metrics.optimal_threshold(oof, "label", "score").first()
     refit_and_save(train, model, numeric, categorical, path, {"optimal_threshold": best["threshold"]})
@@ -299,7 +299,7 @@ def parameter_search(
     metric: str = "roc_auc",
 ) -> DataFrame:
     """Mean out-of-fold metric of each parameter set, best first."""
-    df, parts = materialise(df, "search"), []
+    df, parts = materialise(df, "search", spread=True), []
     for i, params in enumerate(random_grid(space, n)):
         model = Model(f"trial_{i}", base.kind, base.task, {**base.params, **params}, base.scale, base.balanced)
         folds = fold_metrics(out_of_fold(df, model, roles, key, numeric, categorical), base.task).filter(F.col("metric") == metric)
@@ -341,9 +341,9 @@ def permutation_importance(df: DataFrame, fitted, key: str, features: list[str],
 def null_importance(df: DataFrame, key: str, features: list[str], runs: int = 25, percentile: float = 0.95, seed: int = 42, task: str = "binary") -> DataFrame:
     """Forest importance of each feature against its own distribution under shuffled labels."""
     model = Model("selector", "forest", task, {"numTrees": 10, "maxDepth": 4, "seed": 42})
-    rows = materialise(prepare(df.select(key, "label", *features), features), "selection")
+    rows = materialise(prepare(df.select(key, "label", *features), features), "selection", spread=True)
     dealt = shuffled_partner(rows, key, ["label"], runs, seed).withColumn("label", F.col("label__p"))
-    dealt = materialise(dealt, "selection-dealt")
+    dealt = materialise(dealt, "selection-dealt", spread=True)
 
     def importances(train: DataFrame) -> list[float]:
         return [float(x) for x in fit(model, train, features, []).stages[-1].featureImportances.toArray()]

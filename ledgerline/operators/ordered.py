@@ -126,11 +126,7 @@ class Cut:
             tagged = df.join(F.broadcast(self.table), self.by, "inner")
             sliced = tagged.withColumn("_slice", _slice_of(F.col(self.order), F.col("_bounds"), F.col("_coarse"), F.col("_stride")))
             return sliced.drop("_bounds", "_coarse", "_stride")
-        stride = _stride(len(self.bounds))
-        fine, coarse = F.lit(self.bounds), F.lit(self.bounds[stride - 1 :: stride] or self.bounds[:1])
-        if len(self.bounds) < stride:
-            coarse = F.lit(self.bounds[-1:])
-        return df.withColumn("_slice", _slice_of(F.col(self.order), fine, coarse, F.lit(stride)))
+        return df.withColumn("_slice", _slice_literal(F.col(self.order), self.bounds))
 
 
 def _stride(n: int) -> int:
@@ -197,15 +193,17 @@ def causal(
     features: dict[str, Feature],
     probe: DataFrame | None = None,
     bounded: bool = False,
+    total: int | None = None,
 ) -> DataFrame:
     """Add ordered features per group.
 
     ``order`` must be unique within a group: its first column is the one groups are cut along,
     the rest break ties.  ``bounded`` says that no group can be large whatever the data size, e.g.
-    because it has one row per calendar day; the size check is then left out.
+    because it has one row per calendar day; the size check is then left out.  ``total`` is the
+    number of rows, or a bound on it, if known.
     """
     by, order = list(by), list(order)
-    cut = None if bounded else find_cut(df, by, order[0], probe)
+    cut = None if bounded else find_cut(df, by, order[0], probe, total)
     if cut is None or any(f.kind in ("expanding", "running") and f.stat == "median" for f in features.values()):
         # A median of all earlier rows cannot be put together from parts, so it keeps one window.
         window = Window.partitionBy(*by).orderBy(*order)
@@ -321,7 +319,7 @@ def _with_prefix(feature: Feature, mine: Column, window) -> Column:
 # ----------------------------------------------------------------------------------------------
 def cumulate(
     hist: DataFrame, by: list[str], value: str, sums: dict[str, str], descending: bool = False,
-    probe: DataFrame | None = None,
+    probe: DataFrame | None = None, bounded: bool = False, total: int | None = None,
 ) -> DataFrame:
     """Exclusive prefix sums over distinct values: ``sums`` maps a new column to the summed one.
 
@@ -332,7 +330,7 @@ def cumulate(
         key = "_minus"
         hist = hist.withColumn(key, -F.col(value))
         probe = probe.withColumn(key, -F.col(value)) if probe is not None else None
-    out = causal(hist, by, [key], {n: expanding(c, "sum") for n, c in sums.items()}, probe)
+    out = causal(hist, by, [key], {n: expanding(c, "sum") for n, c in sums.items()}, probe, bounded, total)
     out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in sums})
     return out.drop("_minus") if descending else out
 
@@ -415,43 +413,67 @@ def chunk_of(position: Column, total: Column, chunks: int) -> Column:
     return (F.when(position < extra * (size + 1), in_large).otherwise(in_small) + 1).cast("int")
 
 
-def quantiles(df: DataFrame, value, probs: list[float]) -> list[float]:
-    """Exact quantiles of one column with linear interpolation, as numbers.
+def quantiles(df: DataFrame, value, probs: list[float], total: int | None = None) -> list[float]:
+    """Exact quantiles of one column with linear interpolation, as numbers; see ``column_quantiles``."""
+    return column_quantiles(df.select(col(value).alias("_v")), ["_v"], probs, total)["_v"]
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], total: int | None = None) -> dict[str, list[float]]:
+    """Exact quantiles of several columns with linear interpolation, as numbers.
 
-    A small table is aggregated directly.  A large one is narrowed first: a sketch gives cut
-    points, one counting pass tells which slices hold the wanted positions, and only those
-    slices are ordered.
+    A small table is aggregated directly.  A large one takes three passes for all columns together:
+    a sketch gives cut points, one counting pass tells which slices hold the wanted positions, and
+    only the values of those slices are shuffled and ordered.  ``total`` is the number of rows, or a
+    bound on it, if known.
     """
-    base = df.select(col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    cut = find_cut(base, [], "_v")
-    if cut is None:
-        return list(base.agg(F.percentile("_v", F.lit([float(p) for p in probs])).alias("q")).collect()[0]["q"] or [])
-    sliced = cut.hot(base)
-    counts = sorted((r["_slice"], r["n"]) for r in sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect())
-    total = sum(n for _, n in counts)
-    wanted = sorted({f(p * (total - 1)) for p in probs for f in (math.floor, math.ceil)})
-    starts, at = {}, 0
-    for s, n in counts:
-        if any(at <= w < at + n for w in wanted):
-            starts[s] = at
-        at += n
-    start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
-    hist = sliced.filter(F.col("_slice").isin(list(starts))).groupBy("_slice", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    through = F.sum("_c").over(Window.partitionBy("_slice").orderBy("_v").rowsBetween(FIRST, 0)) + start[F.col("_slice")]
-    placed = hist.withColumn("_to", through).filter(
-        F.exists(F.lit(wanted), lambda w: (w < F.col("_to")) & (w >= F.col("_to") - F.col("_c")))
-    )
+    spark = df.sparkSession
+    settings = split_settings(spark)
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    total = base.count() if total is None else total
+    if total <= settings.min_rows:
+        row = base.agg(*[F.percentile(c, F.lit([float(p) for p in probs])).alias(c) for c in columns]).collect()[0]
+        return {c: list(row[c] or []) for c in columns}
+    pieces = min(2 * math.ceil(total / settings.threshold(total)), 20000)
+    grids = base.agg(*[_quantile_grid(c, pieces).alias(c) for c in columns]).collect()[0]
+    cells = [
+        F.struct(F.lit(i).alias("c"), _slice_literal(F.col(c), sorted(set(grids[c] or [])) or [0.0]).alias("s"), F.col(c).alias("v"))
+        for i, c in enumerate(columns)]
+    long = base.select(F.explode(F.array(*cells)).alias("e")).select("e.*").filter("v IS NOT NULL")
+    counts = sorted((r["c"], r["s"], r["n"]) for r in long.groupBy("c", "s").agg(F.count(F.lit(1)).alias("n")).collect())
+    size = {i: sum(n for c, _, n in counts if c == i) for i in range(len(columns))}
+    wanted = {i: sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)}) if n else [] for i, n in size.items()}
+    starts, at = [], dict.fromkeys(size, 0)
+    for c, s, n in counts:
+        here = [w for w in wanted[c] if at[c] <= w < at[c] + n]
+        if here:
+            starts.append((c, s, at[c], here))
+        at[c] += n
+    if not starts:
+        return {c: [] for c in columns}
+    needed = spark.createDataFrame(starts, "c int, s int, start bigint, wanted array<bigint>")  # at most two slices per probability
+    hist = long.join(F.broadcast(needed), ["c", "s"]).groupBy("c", "s", "v", "start", "wanted").agg(F.count(F.lit(1)).alias("n"))
+    through = F.sum("n").over(Window.partitionBy("c", "s").orderBy("v").rowsBetween(FIRST, 0)) + F.col("start")
+    placed = hist.withColumn("to", through).filter(F.exists("wanted", lambda w: (w < F.col("to")) & (w >= F.col("to") - F.col("n"))))
     found = {}
-    for row in placed.collect():  # at most two rows per wanted probability
-        found.update({w: row["_v"] for w in wanted if row["_to"] - row["_c"] <= w < row["_to"]})
-    out = []
-    for p in probs:
-        at = p * (total - 1)
-        low, high = found[math.floor(at)], found[math.ceil(at)]
-        out.append(low + (high - low) * (at - math.floor(at)))
+    for r in placed.collect():  # at most two rows per probability and column
+        found.update({(r["c"], w): r["v"] for w in r["wanted"] if r["to"] - r["n"] <= w < r["to"]})
+    out = {}
+    for i, name in enumerate(columns):
+        out[name] = []
+        for p in probs if size[i] else []:
+            spot = p * (size[i] - 1)
+            low, high = found[i, math.floor(spot)], found[i, math.ceil(spot)]
+            out[name].append(low + (high - low) * (spot - math.floor(spot)))
     return out
 
 
+def _slice_literal(x: Column, bounds: list) -> Column:
+    """Slice of x among cut points known on the driver."""
+    stride = _stride(len(bounds))
+    coarse = bounds[stride - 1 :: stride] if len(bounds) >= stride else bounds[-1:]
+    return _slice_of(x, F.lit(bounds), F.lit(coarse), F.lit(stride))
+
+
 def group_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles per group with linear interpolation; one column per entry of ``probs``."""
     by = list(by)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, encode
+from ..session import materialise
 from ..sources import specs
 from .registry import query
 
@@ -269,7 +270,7 @@ def _(t):
     {"measure": 6},
 )
 def _(t):
-    report = audit.findings(leaky(t), specs.TABLES["loans"])
+    report = audit.findings(materialise(leaky(t), "loans"), specs.TABLES["loans"])
     key = F.element_at(F.map_values("evidence"), -1)
     return report.select("dataset", "check", "severity", F.concat_ws(",", "columns").alias("columns"), key.alias("measure"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import bands, normal, scalar
 from ..operators import allocation, money, portfolio
 from ..operators import features as fx
+from ..session import fresh_dir, materialise
+from ..streaming import scoring
 from .registry import query
 
 
@@ -473,8 +475,13 @@ pr AS (SELECT m.Date, sum(CASE WHEN active IS NULL THEN 1.0 / n ELSE coalesce(w.
 """
 
 
+def _market(t):
+    """The panel is a join and an aggregate; several steps read it, so it is written once."""
+    return materialise(t.market.select("Date", "Ticker", "Return", "Momentum_20D"), "market")
+
+
 def _signal(t, short=0.2):
-    m = t.market
+    m = _market(t)
     dates = portfolio.calendar(m, "Date")
     reb = portfolio.rebalance_calendar(dates, "Date")
     return m, reb, portfolio.signal_weights(m.select("Date", "Ticker", "Momentum_20D"), reb, "Date", "Ticker", "Momentum_20D", short_q=short)
@@ -499,7 +506,7 @@ def _(t):
 
 @query("backtest_equal_weight", f"WITH {EQUAL}, {BACKTEST} SELECT * FROM pr", {"portfolio_return": 8, "turnover": 8})
 def _(t):
-    m = t.market
+    m = _market(t)
     reb = portfolio.rebalance_calendar(portfolio.calendar(m, "Date"), "Date")
     w = portfolio.equal_weights(reb, m.select("Ticker").distinct(), "Date", "Ticker")
     return portfolio.backtest(m.select("Date", "Ticker", "Return"), w, "Date", "Ticker", "Return")
@@ -507,14 +514,14 @@ def _(t):
 
 @query("mean_variance_weights", None, {"weight": 8})
 def _(t):
-    m = t.market.select("Date", "Ticker", "Return")
+    m = _market(t).select("Date", "Ticker", "Return")
     dates = portfolio.calendar(m, "Date")
     return portfolio.mean_variance_weights(m, portfolio.rebalance_calendar(dates, "Date"), dates, "Date", "Ticker", "Return")
 
 
 @query("backtest_mean_variance", None, {"portfolio_return": 8, "turnover": 8})
 def _(t):
-    m = t.market.select("Date", "Ticker", "Return")
+    m = _market(t).select("Date", "Ticker", "Return")
     dates = portfolio.calendar(m, "Date")
     w = portfolio.mean_variance_weights(m, portfolio.rebalance_calendar(dates, "Date"), dates, "Date", "Ticker", "Return")
     return portfolio.backtest(m, w, "Date", "Ticker", "Return")
@@ -664,9 +671,6 @@ def _(t):
     {"net_benefit_of_investigating": 4},
 )
 def _(t):
-    from ..session import fresh_dir
-    from ..streaming import scoring
-
     arrivals = scoring.read_arrivals(t.spark, t.sf_dir, t.events.schema, "events.parquet")
     scored = scoring.decide(arrivals, lambda df: money.score_fraud_queue(df.withColumn("p", scalar.uniform("event_id", 11)), "p", 0.3))
     sink, state = fresh_dir(t.spark, "decisions"), fresh_dir(t.spark, "decisions-state")

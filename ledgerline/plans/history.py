@@ -35,14 +35,15 @@ def _past(n):
     {"event_rate": 6},
 )
 def _(t):
+    n = t.events.count()  # from file footers
     past = causal(t.events.select("event_id", "ts", "user_id", "event_type", "value"), ["user_id"], ["ts", "event_id"], {
         "m": rolling("value", 5, "mean"), "s": rolling("value", 5, "std"),
-    })
+    }, total=n)
     z = past.select(
         flag(F.col("event_type") == "error").alias("label"),
         F.round(safe_div(F.col("value") - F.col("m"), "s") + NUDGE, 6).alias("z"),
     ).filter("z IS NOT NULL")
-    edges = quantiles(z, "z", [i / 10 for i in range(1, 10)])
+    edges = quantiles(z, "z", [i / 10 for i in range(1, 10)], n)
     bins = F.size(F.filter(F.lit(edges), lambda e: e < F.col("z"))) + 1
     return z.groupBy(bins.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_events"), F.avg("label").alias("event_rate"))

@@ -24,7 +24,7 @@ def loans(t, folds=3):
 
 
 def table(t, folds=3):
-    return materialise(loans(t, folds), "loans")
+    return materialise(loans(t, folds), "loans", spread=True)
 
 
 def oof(t, model=LOGISTIC, folds=3):

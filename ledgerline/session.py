@@ -49,14 +49,15 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Used where several jobs start from the same derived table: it is computed once, later scans
-    read only the columns they need, and it outlives any executor.
+    read only the columns they need, and it outlives any executor.  ``spread`` evens out the files
+    for iterative fits, which wait for the slowest partition in every step.
     """
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartition(split_settings(df.sparkSession).partitions) if spread else df).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
