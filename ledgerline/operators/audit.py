@@ -299,7 +299,8 @@ def target_correlation(df: DataFrame, target: str, exclude: set[str] = frozenset
     y = F.col(target) if target in numeric else class_codes(df, target)
     names = [n for n in numeric if n != target and n not in exclude]
     numbers = df.select(*[F.col(n).cast("double").alias(n) for n in names], y.cast("double").alias("_y"))
-    row = numbers.agg(*[F.when(F.stddev_samp(n) > 0, F.corr(n, "_y")).alias(n) for n in names])
+    row = numbers.agg(*[F.corr(n, "_y").alias(n) for n in names])
+    # A constant column has no correlation: NULL or NaN, neither passes.
     return unpivot(row, names, "corr").filter(F.abs("corr") <= 1.0 + 1e-9)
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,21 +123,38 @@ class Cut:
         return df.join(F.broadcast(self.table.select(*self.by)), self.by, "left_anti")
 
     def hot(self, df: DataFrame) -> DataFrame:
-        if self.by:
-            tagged = df.join(F.broadcast(self.table), self.by, "inner")
-            sliced = tagged.withColumn("_slice", _slice_of(F.col(self.order), F.col("_bounds"), F.col("_coarse"), F.col("_stride")))
-            return sliced.drop("_bounds", "_coarse", "_stride")
-        return df.withColumn("_slice", _slice_literal(F.col(self.order), self.bounds))
+        if not self.by:
+            return with_slices(df, {self.order: self.bounds}, {self.order: "_slice"})
+        tagged = df.join(F.broadcast(self.table), self.by, "inner")
+        sliced = tagged.withColumn("_slice", _slice_of(numeric_key(df, self.order), F.col("_bounds"), F.col("_coarse"), F.col("_stride")))
+        return sliced.drop("_bounds", "_coarse", "_stride")
+
+
+def numeric_key(df: DataFrame, name: str) -> Column:
+    """A number that never falls when the column rises; what groups are cut by."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(name).cast("double")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    return F.col(name).cast("double")
 
 
-def _stride(n: int) -> int:
-    return max(int(math.sqrt(n)), 1)
+def with_slices(df: DataFrame, bounds: dict[str, list[float]], names: dict[str, str]) -> DataFrame:
+    """Number of cut points each column has reached, by a binary search per row in the JVM."""
+    columns = list(bounds)
+    keyed = df.withColumns({f"{names[c]}_k": numeric_key(df, c) for c in columns})
+    search = Bucketizer(
+        splitsArray=[[-math.inf, *sorted(set(bounds[c])), math.inf] for c in columns],
+        inputCols=[f"{names[c]}_k" for c in columns], outputCols=[names[c] for c in columns], handleInvalid="keep")
+    out = search.transform(keyed)
+    return out.withColumns({n: F.col(n).cast("int") for n in names.values()}).drop(*[f"{n}_k" for n in names.values()])
 
 
 def _slice_of(x: Column, bounds: Column, coarse: Column, stride: Column) -> Column:
-    """Number of bounds below x: first by whole strides, then inside one stride."""
-    whole = F.size(F.filter(coarse, lambda b: b < x)) * stride
-    rest = F.size(F.filter(F.slice(bounds, whole + 1, stride), lambda b: b < x))
+    """Number of bounds of a hot group that x has reached: first by whole strides, then inside one."""
+    whole = F.size(F.filter(coarse, lambda b: b <= x)) * stride
+    rest = F.size(F.filter(F.slice(bounds, whole + 1, stride), lambda b: b <= x))
     return F.coalesce((whole + rest).cast("int"), F.lit(0))
 
 
@@ -154,10 +172,11 @@ def find_cut(df: DataFrame, by: list[str], order: str, probe: DataFrame | None =
     if total <= settings.min_rows:
         return None
     limit = settings.threshold(total)
-    base = (sized if order in sized.columns else df).select(*by, order)
+    source = sized if order in sized.columns else df
+    base = source.select(*by, numeric_key(source, order).alias("_key"))
     if not by:
         pieces = min(2 * math.ceil(total / limit), 20000)
-        bounds = base.agg(_quantile_grid(order, pieces)).collect()[0][0]
+        bounds = base.agg(_quantile_grid("_key", pieces).alias("b")).collect()[0]["b"]
         return Cut([], order, bounds=sorted(set(bounds))) if bounds else None
     sizes = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     groups = sizes.collect()  # at most 4 x partitions rows, see SplitSettings.threshold
@@ -169,7 +188,7 @@ def find_cut(df: DataFrame, by: list[str], order: str, probe: DataFrame | None =
     cuts = (
         base.join(F.broadcast(keys), by, "inner")
         .groupBy(*by, "_n")
-        .agg(_quantile_grid(order, grid))
+        .agg(_quantile_grid("_key", grid).alias("_bounds"))
         .withColumn("_bounds", F.array_sort(F.array_distinct(F.filter("_bounds", lambda b, i: (i + 1) % every == 0))))
         .withColumn("_stride", F.greatest(F.sqrt(F.size("_bounds")).cast("int"), F.lit(1)))
         .withColumn("_coarse", F.filter("_bounds", lambda b, i: (i + 1) % F.col("_stride") == 0))
@@ -180,7 +199,7 @@ def find_cut(df: DataFrame, by: list[str], order: str, probe: DataFrame | None =
 
 def _quantile_grid(order: str, pieces: int) -> Column:
     probs = [i / pieces for i in range(1, pieces)] or [0.5]
-    return F.percentile_approx(order, probs, max(10000, 10 * pieces)).alias("_bounds")
+    return F.percentile_approx(order, probs, max(10000, 10 * pieces))
 
 
 # ----------------------------------------------------------------------------------------------
@@ -435,10 +454,10 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], tota
         return {c: list(row[c] or []) for c in columns}
     pieces = min(2 * math.ceil(total / settings.threshold(total)), 20000)
     grids = base.agg(*[_quantile_grid(c, pieces).alias(c) for c in columns]).collect()[0]
-    cells = [
-        F.struct(F.lit(i).alias("c"), _slice_literal(F.col(c), sorted(set(grids[c] or [])) or [0.0]).alias("s"), F.col(c).alias("v"))
-        for i, c in enumerate(columns)]
-    long = base.select(F.explode(F.array(*cells)).alias("e")).select("e.*").filter("v IS NOT NULL")
+    slices = {c: f"_s{i}" for i, c in enumerate(columns)}
+    sliced = with_slices(base, {c: list(grids[c] or []) for c in columns}, slices)
+    cells = [F.struct(F.lit(i).alias("c"), F.col(slices[c]).alias("s"), F.col(c).alias("v")) for i, c in enumerate(columns)]
+    long = sliced.select(F.explode(F.array(*cells)).alias("e")).select("e.*").filter("v IS NOT NULL")
     counts = sorted((r["c"], r["s"], r["n"]) for r in long.groupBy("c", "s").agg(F.count(F.lit(1)).alias("n")).collect())
     size = {i: sum(n for c, _, n in counts if c == i) for i in range(len(columns))}
     wanted = {i: sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)}) if n else [] for i, n in size.items()}
@@ -467,13 +486,6 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], tota
     return out
 
 
-def _slice_literal(x: Column, bounds: list) -> Column:
-    """Slice of x among cut points known on the driver."""
-    stride = _stride(len(bounds))
-    coarse = bounds[stride - 1 :: stride] if len(bounds) >= stride else bounds[-1:]
-    return _slice_of(x, F.lit(bounds), F.lit(coarse), F.lit(stride))
-
-
 def group_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles per group with linear interpolation; one column per entry of ``probs``."""
     by = list(by)
