@@ -115,7 +115,11 @@ class TableSpec:
 
 
 def _schema(**columns: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items()))
+    kinds = {
+        "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(),
+        "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(),
+    }
+    return T.StructType([T.StructField(n, kinds[t]) for n, t in columns.items()])
 
 
 def _doubles(*names: str) -> dict[str, str]:
