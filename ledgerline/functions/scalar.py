@@ -27,6 +27,16 @@ def safe_div(numerator, denominator) -> Column:
     return finite(F.try_divide(col(numerator).cast("double"), col(denominator).cast("double")))
 
 
+def safe_corr(x, y) -> Column:
+    """Pearson correlation over rows with both values; NULL if either side is constant.
+
+    The built-in raises on a constant side under ANSI rules.
+    """
+    x, y = col(x).cast("double"), col(y).cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return finite(F.try_divide(F.covar_pop(x, y), spread))
+
+
 def flag(condition: Column) -> Column:
     """0/1 integer; an unknown comparison counts as 0."""
     return F.coalesce(condition, F.lit(False)).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.bands import bin_right_closed
-from ..functions.scalar import safe_div, with_scalars
+from ..functions.scalar import safe_corr, safe_div, with_scalars
 from ..session import split_settings
 from ..sources import specs
 from .features import pct_change
@@ -91,8 +91,8 @@ def column_profile(df: DataFrame, max_top_values: int = 5) -> DataFrame:
     out = moments.join(distinct, "column", "left").join(listed, "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
     shown = (~F.col("_time")) & (~F.col("_numeric") | (F.col("n_unique") <= 12))
     return out.select(
-        "column", "dtype", "missing", (F.col("missing") / F.col("rows") * 100).alias("missing_pct"), "n_unique",
-        (F.col("n_unique") / F.col("rows") * 100).alias("unique_pct"), "min", "max", "mean", "std", "first", "last",
+        "column", "dtype", "missing", (safe_div("missing", "rows") * 100).alias("missing_pct"), "n_unique",
+        (safe_div("n_unique", "rows") * 100).alias("unique_pct"), "min", "max", "mean", "std", "first", "last",
         F.when(shown, F.coalesce("top_values", F.lit(""))).otherwise("").alias("top_values"),
     )
 
@@ -226,6 +226,8 @@ def entity_overlap(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 def near_constant(df: DataFrame, exclude: set[str] = frozenset(), threshold: float = specs.CONSTANT_CV) -> DataFrame:
     """Numeric columns whose standard deviation is tiny against their mean."""
     names = [n for n in numeric_columns(df) if n not in exclude]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, cv double")
     row = df.agg(*[safe_div(F.stddev_samp(F.col(n).cast("double")), F.abs(F.avg(n))).alias(n) for n in names])
     return unpivot(row, names, "cv").filter(F.col("cv") < threshold)
 
@@ -298,10 +300,11 @@ def target_correlation(df: DataFrame, target: str, exclude: set[str] = frozenset
     numeric = numeric_columns(df)
     y = F.col(target) if target in numeric else class_codes(df, target)
     names = [n for n in numeric if n != target and n not in exclude]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, corr double")
     numbers = df.select(*[F.col(n).cast("double").alias(n) for n in names], y.cast("double").alias("_y"))
-    row = numbers.agg(*[F.corr(n, "_y").alias(n) for n in names])
-    # A constant column has no correlation: NULL or NaN, neither passes.
-    return unpivot(row, names, "corr").filter(F.abs("corr") <= 1.0 + 1e-9)
+    row = numbers.agg(*[safe_corr(n, "_y").alias(n) for n in names])
+    return unpivot(row, names, "corr").filter("corr IS NOT NULL")  # a constant column has none
 
 
 def target_aliases(df: DataFrame, target: str, exclude: set[str] = frozenset(), threshold: float = specs.ALIAS_CORRELATION) -> DataFrame:
@@ -338,7 +341,7 @@ def label_reconstruction(df: DataFrame, target: str, columns: list[str]) -> Data
 def same_row_derivation(df: DataFrame, target: str, by: list[str], order: list[str], price: str) -> DataFrame:
     """Correlation of the target with the same row's price change; NULL below ten rows."""
     moved = pct_change(df, by, order, price, "_change").filter(F.col("_change").isNotNull() & F.col(target).isNotNull())
-    return moved.agg(F.count(F.lit(1)).alias("n"), F.corr(F.col(target).cast("double"), "_change").alias("_c")).select(
+    return moved.agg(F.count(F.lit(1)).alias("n"), safe_corr(target, "_change").alias("_c")).select(
         "n", F.when(F.col("n") >= 10, F.col("_c")).alias("corr"))
 
 
@@ -406,7 +409,7 @@ def findings(df: DataFrame, spec: specs.TableSpec, n_splits: int = 5, price: str
         parts.append(_finding(key_uniqueness(df, ids).filter("is_unique"), name, "identifier", F.lit("INFO"), one,
                               {"n": F.col("n")}, F.concat(F.col("column"), F.lit(" identifies a row"))))
     if has_target:
-        strength = signal_strength(df, spec)
+        strength = signal_strength(df, spec).filter("strongest IS NOT NULL")
         parts += [
             _finding(target_aliases(df, target, set(spec.id_columns)), name, "target_alias", leak(F.col("column")), one,
                      {"corr": F.col("corr")}, F.concat(F.col("column"), F.lit(" follows the target"))),

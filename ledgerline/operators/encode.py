@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import uniform, with_scalars
+from ..functions.scalar import safe_corr, uniform, with_scalars
 from .audit import AGGREGATES_PER_PASS, is_time, numeric_columns, unpivot, value_counts
 
 
@@ -112,7 +112,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     out = None
     for start in range(0, len(pairs), AGGREGATES_PER_PASS):
         part = pairs[start : start + AGGREGATES_PER_PASS]
-        row = numbers.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part)])
+        row = numbers.agg(*[safe_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part)])
         entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(part)]
         long = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
         out = long if out is None else out.unionByName(long)

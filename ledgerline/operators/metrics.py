@@ -15,7 +15,7 @@ from pyspark.sql import Window
 
 from ..functions.bands import bin_left_closed, count_edges
 from ..functions.normal import erfc
-from ..functions.scalar import safe_div, uniform, with_scalars
+from ..functions.scalar import safe_corr, safe_div, uniform, with_scalars
 from ..session import split_settings
 from ..sources import specs
 from .ordered import average_ranks, causal, cumulate, group_quantiles, prior_count, quantiles
@@ -77,9 +77,9 @@ def probability_metrics(df: DataFrame, label: str, score: str, by: list[str] | N
     agg = agg.withColumns({
         "precision": F.col("_tp") / (F.col("_tp") + F.col("_fp") + EPS), "recall": F.col("_tp") / (F.col("_tp") + F.col("_fn") + EPS)})
     return agg.select(
-        *by, "brier", "log_loss", ((F.col("_tp") + F.col("_tn")) / F.col("n")).alias("accuracy"), "precision", "recall",
+        *by, "brier", "log_loss", safe_div(F.col("_tp") + F.col("_tn"), "n").alias("accuracy"), "precision", "recall",
         (2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + EPS)).alias("f1"),
-        (F.col("_tn") / (F.col("_tn") + F.col("_fp") + EPS)).alias("specificity"), (F.col("n_positive") / F.col("n")).alias("base_rate"),
+        (F.col("_tn") / (F.col("_tn") + F.col("_fp") + EPS)).alias("specificity"), safe_div("n_positive", "n").alias("base_rate"),
         "n", "n_positive")
 
 
@@ -124,6 +124,8 @@ def gains_table(df: DataFrame, label: str, score: str, key: str, n_bins: int = 1
     """Events, capture and lift of equal chunks by falling score."""
     totals = pairs(df, label, score).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")).collect()[0]
     n, s = totals["n"], totals["s"] or 0.0
+    if n == 0:
+        raise ValueError("no row has both a label and a score")
     sizes = [n // n_bins + (1 if i < n % n_bins else 0) for i in range(n_bins)]
     ends = [sum(sizes[: i + 1]) for i in range(n_bins)]
     through = top_events(df, label, score, key, ends, n)
@@ -298,7 +300,7 @@ def daily_ic(df: DataFrame, truth: str, predicted: str, by: str, method: str = "
         rows = average_ranks(rows, [by], {"_ry": "label", "_rp": "score"}, pct=False)
         y, p = "_ry", "_rp"
     varied = lambda c: F.min(c) < F.max(c)
-    per = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), varied("label").alias("_vy"), varied("score").alias("_vp"), F.corr(y, p).alias("ic"))
+    per = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), varied("label").alias("_vy"), varied("score").alias("_vp"), safe_corr(y, p).alias("ic"))
     return per.filter((F.col("n") >= 3) & F.col("_vy") & F.col("_vp") & F.col("ic").isNotNull()).select(by, "n", "ic")
 
 

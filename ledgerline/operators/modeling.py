@@ -390,9 +390,9 @@ def linear_contributions(df: DataFrame, key: str, coefficients: dict[str, float]
         part = F.lit(b) * (F.col(f) - F.lit(centre[f])) / F.lit(spread[f])
         entries.append(F.struct((-F.abs(part)).alias("order"), F.lit(f).alias("feature"), part.alias("contribution")))
     best = F.slice(F.array_sort(F.array(*entries)), 1, top)
-    long = df.select(key, F.posexplode(best).alias("_pos", "e"))
-    direction = F.when(F.col("e.contribution") > 0, "increases risk").otherwise("reduces risk")
-    return long.select(key, (F.col("_pos") + 1).alias("rank"), "e.feature", "e.contribution", direction.alias("direction"))
+    long = df.select(key, F.posexplode(best).alias("_pos", "_entry"))
+    direction = F.when(F.col("_entry.contribution") > 0, "increases risk").otherwise("reduces risk")
+    return long.select(key, (F.col("_pos") + 1).alias("rank"), "_entry.feature", "_entry.contribution", direction.alias("direction"))
 
 
 def importance_stack(importances: DataFrame, top: int = 10) -> DataFrame:

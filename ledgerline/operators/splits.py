@@ -40,7 +40,7 @@ def assign(df: DataFrame, folds: list[Fold], keep: list[str], axis: str = AXIS)
         F.struct(F.lit(f.fold).alias("fold"), F.when(f.is_train(axis), "train").when(f.is_test(axis), "test").alias("role"))
         for f in folds
     ]
-    return df.select(*keep, F.explode(F.array(*entries)).alias("e")).select(*keep, "e.fold", "e.role").filter("role IS NOT NULL")
+    return df.select(*keep, F.explode(F.array(*entries)).alias("_entry")).select(*keep, "_entry.fold", "_entry.role").filter("role IS NOT NULL")
 
 
 # ----------------------------------------------------------------------------------------------

@@ -538,7 +538,7 @@ def _(t):
     day = F.to_date("l_shipdate").alias("Date")
     returns = t.lineitem.groupBy(day, F.col("l_returnflag").alias("e")).agg(F.sum("l_extendedprice").alias("a"))
     signals = t.lineitem.filter("l_quantity > 25").groupBy(day, F.col("l_returnflag").alias("e")).agg(F.avg("l_discount").alias("b"))
-    return returns.join(signals, ["Date", "e"]).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("correlation"))
+    return returns.join(signals, ["Date", "e"]).groupBy("e").agg(F.count(F.lit(1)).alias("n"), scalar.safe_corr("a", "b").alias("correlation"))
 
 
 # ----------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import safe_corr
 from ..operators import features as fx
 from ..operators import metrics as m
 from ..operators import modeling as ml
@@ -176,6 +177,6 @@ _IMP = ["pd", "Interest_Rate", "Sector_Risk", "Debt_to_Income", "Loan_Amount"]
     {"importance": 8},
 )
 def _(t):
-    wide = t.loans.groupBy(F.col("Segment").alias("module")).agg(*[F.abs(F.corr(f, F.col("Default_Flag").cast("double"))).alias(f) for f in _IMP])
+    wide = t.loans.groupBy(F.col("Segment").alias("module")).agg(*[F.abs(safe_corr(f, "Default_Flag")).alias(f) for f in _IMP])
     cells = ", ".join(f"'{f}', `{f}`" for f in _IMP)
     return ml.importance_stack(wide.selectExpr("module", f"stack({len(_IMP)}, {cells}) AS (feature, importance)"), top=3)
