@@ -137,6 +137,8 @@ def numeric_key(df: DataFrame, name: str) -> Column:
         return F.unix_date(name).cast("double")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if isinstance(dtype, T.StringType):  # the first six bytes, in the order strings sort in
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("double")
 
 

@@ -519,6 +519,17 @@ def _(t):
     return portfolio.mean_variance_weights(m, portfolio.rebalance_calendar(dates, "Date"), dates, "Date", "Ticker", "Return")
 
 
+@query(
+    "mean_variance_budget",
+    f"WITH {REBALANCE} SELECT Date, 1.0 AS total_weight, true AS long_only FROM reb", {"total_weight": 8},
+)
+def _(t):
+    m = _market(t).select("Date", "Ticker", "Return")
+    dates = portfolio.calendar(m, "Date")
+    w = portfolio.mean_variance_weights(m, portfolio.rebalance_calendar(dates, "Date"), dates, "Date", "Ticker", "Return")
+    return w.groupBy("Date").agg(F.sum("weight").alias("total_weight"), (F.min("weight") >= 0).alias("long_only"))
+
+
 @query("backtest_mean_variance", None, {"portfolio_return": 8, "turnover": 8})
 def _(t):
     m = _market(t).select("Date", "Ticker", "Return")

@@ -124,3 +124,16 @@ def test_row_position_when_one_value_holds_a_third(spark):
         got = table(o.row_position(df, ["v", "id"], "p", descending=down))
         spark.conf.unset("spark.ledgerline.minSplitRows")
         assert [got[r[0]]["p"] for r in order] == list(range(900))
+
+
+def test_text_and_time_axes_are_cut_too(spark):
+    rows = [(i, f"g{i * 7919 % 1000:04d}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, s string, t long").withColumn("ts", F.timestamp_seconds("t")).withColumn("ntz", F.col("ts").cast("timestamp_ntz"))
+    spark.conf.set("spark.ledgerline.minSplitRows", "40")
+    try:
+        for column, key in (("s", lambda r: (r[1], r[0])), ("ts", lambda r: r[2]), ("ntz", lambda r: r[2])):
+            assert o.find_cut(df, [], column) is not None
+            got = table(o.row_position(df, [column, "id"], "p"))
+            assert [got[r[0]]["p"] for r in sorted(rows, key=key)] == list(range(400))
+    finally:
+        spark.conf.unset("spark.ledgerline.minSplitRows")
