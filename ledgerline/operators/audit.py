@@ -362,9 +362,10 @@ def cv_power(df: DataFrame, target: str, folds: list[int], max_se: float = specs
         "n_splits", pos.alias("positives_per_fold"), se.alias("standard_error"), (se * 1.96).alias("half_interval"), (se <= max_se).alias("passes"))
 
 
-def signal_strength(df: DataFrame, spec: specs.TableSpec) -> DataFrame:
+def signal_strength(df: DataFrame, spec: specs.TableSpec, correlations: DataFrame | None = None) -> DataFrame:
     """Strongest correlation with the target among columns a model may use."""
-    ranked = target_correlation(df, spec.target, spec.forbidden_features)
+    ranked = correlations if correlations is not None else target_correlation(df, spec.target, spec.forbidden_features)
+    ranked = ranked.filter(~F.col("column").isin(sorted(spec.forbidden_features)))
     return ranked.agg(F.max(F.abs("corr")).alias("strongest"), F.max_by("column", F.struct(F.abs("corr"), "column")).alias("column")).withColumn(
         "severity", F.when(F.col("strongest") < specs.WEAK_SIGNAL, "HIGH").otherwise("INFO"))
 
@@ -409,9 +410,12 @@ def findings(df: DataFrame, spec: specs.TableSpec, n_splits: int = 5, price: str
         parts.append(_finding(key_uniqueness(df, ids).filter("is_unique"), name, "identifier", F.lit("INFO"), one,
                               {"n": F.col("n")}, F.concat(F.col("column"), F.lit(" identifies a row"))))
     if has_target:
-        strength = signal_strength(df, spec).filter("strongest IS NOT NULL")
+        # One pass serves both checks; its result has one row per column.
+        measured = target_correlation(df, target, set(spec.id_columns))
+        measured = df.sparkSession.createDataFrame(measured.collect(), "column string, corr double")
+        strength = signal_strength(df, spec, measured).filter("strongest IS NOT NULL")
         parts += [
-            _finding(target_aliases(df, target, set(spec.id_columns)), name, "target_alias", leak(F.col("column")), one,
+            _finding(measured.filter(F.abs("corr") >= specs.ALIAS_CORRELATION), name, "target_alias", leak(F.col("column")), one,
                      {"corr": F.col("corr")}, F.concat(F.col("column"), F.lit(" follows the target"))),
             _finding(strength, name, "signal_strength", F.col("severity"), one, {"strongest": F.col("strongest")},
                      F.concat(F.lit("strongest admissible column is "), F.col("column"))),
