@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan, sharding
+from . import packing, quality, secret_scan, sharding, token_files
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -30,6 +30,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in secret_scan.RULES], F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
+@query("op5_swap_search_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+
+
+@query("op7_seekable_frames")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 @query("op10_risk_controlled_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, with cut-offs fitted on all labels."""
