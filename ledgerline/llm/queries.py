@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secret_scan, sharding, token_files
+from . import decontaminate, packing, quality, secret_scan, sharding, simhash, token_files
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_golay_simhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest id of its near-duplicates."""
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
 @query("op3_virtual_slots")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to 24 shards by virtual slots, equal in bytes."""
@@ -42,6 +48,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op9_spaced_seeds")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with a benchmark item, substitutions allowed."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_risk_controlled_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, with cut-offs fitted on all labels."""
