@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, secret_scan, sharding, simhash, token_files
+from . import decontaminate, line_dedup, packing, quality, secret_scan, sharding, simhash, token_counts, token_files
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -42,12 +42,54 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+#: The same by lists: j is the end of the shortest run of 50 words from line i on, and a window's content is compared as text.
+_LINES_SQL = r"""
+WITH line AS (
+    SELECT doc_id, k - 1 AS k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
+), worded AS (
+    SELECT doc_id, k, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, words,
+           row_number() OVER w AS i, sum(words) OVER w AS upto
+    FROM line WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), doc AS (
+    SELECT doc_id, list(line ORDER BY i) AS lines, list(k ORDER BY i) AS ks, list(upto ORDER BY i) AS sums FROM worded GROUP BY 1
+), ended AS (
+    SELECT doc_id, k AS first, i, lines, ks, list_position(list_transform(sums, lambda x: x >= upto - words + 50), true) AS j FROM worded JOIN doc USING (doc_id)
+), win AS (
+    SELECT doc_id, first, ks[j] AS last, array_to_string(lines[i:j], chr(10)) AS content FROM ended WHERE j > 0
+), origin AS (
+    SELECT content, min(struct_pack(doc_id := doc_id, first := first, last := last)) AS o FROM win GROUP BY 1
+), later AS (
+    SELECT doc_id, CASE WHEN o.doc_id = doc_id THEN greatest(first, o.last + 1) ELSE first END AS first, last
+    FROM win JOIN origin USING (content) WHERE (doc_id, first) <> (o.doc_id, o.first)
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(generate_series(CAST(first AS BIGINT), CAST(last AS BIGINT))) AS k FROM later WHERE first <= last
+)
+SELECT doc_id, count(*) AS n_lines, count(gone.k) AS n_deleted_lines,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY line.k) FILTER (gone.k IS NULL), '')) AS text_md5
+FROM line LEFT JOIN gone USING (doc_id, k) GROUP BY 1
+"""
+
+
+@query("op6_winnowed_lines", _LINES_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after its lines that repeat a passage of 50 words or more are gone."""
+    cut = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_deleted_lines", F.md5("text").alias("text_md5"))
+
+
 @query("op7_seekable_frames")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op8_viterbi_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, unigram pieces and unknown pieces of every document."""
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
 @query("op9_spaced_seeds")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a passage with a benchmark item, substitutions allowed."""
