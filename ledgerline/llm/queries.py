@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality, secret_scan, sharding, simhash, token_counts, token_files
+from . import decontaminate, licences, line_dedup, packing, quality, secret_scan, sharding, simhash, token_counts, token_files
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -18,6 +18,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
+@query("op2_licence_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that are licence notices, with family, probability and the template's confirmation."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op3_virtual_slots")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to 24 shards by virtual slots, equal in bytes."""
