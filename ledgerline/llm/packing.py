@@ -37,11 +37,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(path).encode, array("I", [end_id]).tobytes()
+        encode_all, end = encoder(path).encode_all, array("I", [end_id]).tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch["doc_id"], encode_all(batch["text"])):
+                ids += end
                 for i, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
                     rows.append((doc_id, i, start, length, zlib.crc32(own)) + ((np.frombuffer(own, "<u4").astype("int32"),) if with_ids else ()))
@@ -83,56 +83,64 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[int]:
 
 
 def _exchange(bins: list[list[int]], lengths: list[int], capacity: int) -> None:
-    """Empty the least filled bin again and again: its documents move into other underfull bins or change places with
-    shorter ones there (one for one, or two for one), so that the sum of squared fills grows with every step."""
+    """Local search. A bin, the least filled first, gives documents to other underfull bins: one moves, or one or two change
+    places with a shorter one there. The receiver must end up fuller than the giver was, so the sum of squared fills grows
+    with every step and the giver runs empty. Rounds over all underfull bins end when none finds a step, or when no bin
+    can be saved any more."""
     least = -(-sum(lengths) // capacity)
     used = len(bins)
     room = np.array([capacity - sum(lengths[i] for i in b) for b in bins], np.int64)
-    stuck: set[int] = set()
-    while used > least:
-        waiting = [k for k in np.flatnonzero(room > 0) if bins[k] and k not in stuck]
-        if not waiting:
-            return
-        target = max(waiting, key=lambda k: (room[k], k))
-        others = [k for k in np.flatnonzero(room > 0) if bins[k] and k != target]
-        # One entry per document of an underfull bin, and one per bin for "nothing in return".
-        at = np.array([k for k in others for _ in range(len(bins[k]) + 1)], np.int64)
-        item = np.array([i for k in others for i in (-1, *bins[k])], np.int64)
-        back = np.array([0 if i < 0 else lengths[i] for i in item], np.int64)
-        fill = capacity - room
-        best = None
-        mine = bins[target]
-        offers = [(i,) for i in mine] + [(i, j) for a, i in enumerate(mine) for j in mine[a + 1 :]]
-        for offer in offers if len(at) else ():
-            out = sum(lengths[i] for i in offer)
-            gain = out - back
-            ok = (gain > 0) & (gain <= room[at]) & (fill[at] + gain > fill[target])
-            if not ok.any():
-                continue
-            left = np.where(ok, room[at] - gain, capacity + 1)
-            e = int(np.lexsort((-gain, left))[0])  # what fills the other bin best, then what empties this one most
-            found = (int(left[e]), -int(gain[e]), offer, e)
-            if best is None or found[:2] < best[:2]:
-                best = found
-            if best[0] == 0 and best[1] == -out:
-                break
-        if best is None:
-            stuck.add(target)
+    # One entry per document, and after them one per bin for "nothing in return".
+    at = np.empty(len(lengths) + len(bins), np.int64)
+    for k, b in enumerate(bins):
+        at[b] = k
+    at[len(lengths) :] = np.arange(len(bins))
+    back = np.concatenate([np.array(lengths, np.int64), np.zeros(len(bins), np.int64)])
+    stepped = True
+    while stepped and used > least:
+        stepped = False
+        for target in sorted(np.flatnonzero(room > 0).tolist(), key=lambda k: (-room[k], k)):
+            while bins[target] and used > least:
+                step = _step(target, bins[target], lengths, capacity, room, at, back)
+                if step is None:
+                    break
+                offer, e = step
+                k, gain = int(at[e]), sum(lengths[i] for i in offer) - int(back[e])
+                for i in offer:
+                    bins[target].remove(i)
+                    bins[k].append(i)
+                    at[i] = k
+                if e < len(lengths):
+                    bins[k].remove(e)
+                    bins[target].append(e)
+                    at[e] = target
+                room[k] -= gain
+                room[target] += gain
+                stepped = True
+            if not bins[target]:
+                room[target] = 0  # closed
+                used -= 1
+
+
+def _step(target: int, mine: list[int], lengths: list[int], capacity: int, room: np.ndarray, at: np.ndarray, back: np.ndarray):
+    """What ``target`` gives and the entry it gets for it: what fills the other bin best, then what empties it most."""
+    open_entries = np.flatnonzero((room[at] > 0) & (at != target))
+    if not len(open_entries):
+        return None
+    free, theirs = room[at[open_entries]], back[open_entries]
+    best = None
+    for offer in [*((i,) for i in mine), *((i, j) for a, i in enumerate(mine) for j in mine[a + 1 :])]:
+        out = sum(lengths[i] for i in offer)
+        gain = out - theirs
+        left = np.where((gain > 0) & (gain <= free) & (gain - free > -room[target]), free - gain, capacity + 1)
+        lowest = int(left.min())
+        if lowest > capacity or (best is not None and lowest > best[0]):
             continue
-        _, gain, offer, e = best
-        k, i = int(at[e]), int(item[e])
-        for x in offer:
-            mine.remove(x)
-            bins[k].append(x)
-        if i >= 0:
-            bins[k].remove(i)
-            mine.append(i)
-        room[k] += gain
-        room[target] -= gain
-        stuck.discard(k)
-        if not mine:
-            room[target] = 0
-            used -= 1
+        even = np.flatnonzero(left == lowest)
+        e = int(even[np.argmax(gain[even])])
+        if best is None or (lowest, -int(gain[e])) < best[:2]:
+            best = (lowest, -int(gain[e]), offer, int(open_entries[e]))
+    return best and best[2:]
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
