@@ -116,7 +116,7 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
     folder = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(path).encode, array("I", [end_id]).tobytes()
+        encode_all, end = encoder(path).encode_all, array("I", [end_id]).tobytes()
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         batches = (b for b in batches if len(b))
         first = next(batches, None)
@@ -128,8 +128,8 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
         with fs.open_output_stream(temporary) as out:
             file = Writer(out)
             for rows in chain([first], batches):
-                for doc_id, text in zip(rows["doc_id"], rows["text"]):
-                    file.add(None if pd.isna(doc_id) else int(doc_id), encode(text) + end)
+                for doc_id, ids in zip(rows["doc_id"], encode_all(rows["text"])):
+                    file.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
             file.end()
             n_bytes = out.tell()
         fs.move(temporary, name)

@@ -10,9 +10,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,19 +34,60 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+#: Characters of the texts encoded together.
+BATCH_CHARS = 4_000_000
+
+#: A word that is one run of letters for the tokenizer's pattern, with or without a point or comma (a run of its own) behind it.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: itself if printable, else the next above 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class IdEncoder:
-    """Texts to ids, as bytes of little-endian unsigned 32-bit numbers; no special tokens are added."""
+    """Texts to ids, as little-endian unsigned 32-bit numbers; no special tokens are added."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks = dict(zip(("", ".", ","), self._encoded(["", ".", ","])))
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str]) -> None:
+        """Make the ids of words, each with a space before it, known. Runs of letters go to the model without its pattern."""
+        odd, young, old, tokenize = [], self.young, self.old, self.model.tokenize
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+            elif plain := _PLAIN.fullmatch(w):
+                run, mark = plain.groups()
+                ids = young.get(run)
+                if ids is None:
+                    ids = young[run] = array("I", [t.id for t in tokenize((" " + run).encode().decode("latin-1").translate(self.letters))]).tobytes()
+                young[w] = ids + self.marks[mark]
+            else:
+                odd.append(w)
+        young.update(zip(odd, self._encoded([" " + w for w in odd])))
+
+    def _forget(self, words: set[str]) -> None:
+        for w in words:
+            if len(w) > LONGEST:
+                self.young.pop(w, None)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+
     def encode(self, text: str | None) -> bytes:
+        """One text, whatever its length and white space."""
         if not text:
             return b""
         if _DOUBLE.search(text):
@@ -54,20 +99,51 @@ class IdEncoder:
         for at in range(0, len(rest), AT_ONCE):  # of a very long text never all words at once
             run = rest[at : at + AT_ONCE]
             unseen = set(run).difference(self.young)
-            if unseen:
-                again = unseen.intersection(self.old)
-                self.young.update((w, self.old[w]) for w in again)
-                new = list(unseen - again)
-                self.young.update(zip(new, self._encoded([" " + w for w in new])))
+            self._learn(unseen)
             out.extend(map(self.young.__getitem__, run))
-            if unseen:
-                for w in unseen:
-                    if len(w) > LONGEST:
-                        del self.young[w]
-                if len(self.young) > REMEMBERED:
-                    self.old, self.young = self.young, {}
+            self._forget(unseen)
         return b"".join(out)
 
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text in turn; common texts some million characters at a time."""
+        wait: list[str | None] = []
+        size = 0
+        for text in texts:
+            if text and (len(text) > BATCH_CHARS or _DOUBLE.search(text)):
+                yield from self._together(wait)
+                yield self.encode(text)
+                wait, size = [], 0
+                continue
+            wait.append(text)
+            size += len(text or "")
+            if size > BATCH_CHARS:
+                yield from self._together(wait)
+                wait, size = [], 0
+        yield from self._together(wait)
+
+    def _together(self, texts: list[str | None]) -> list[bytes]:
+        """Texts without double white space: their words are numbered at once and each distinct one is looked up once."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        unseen = set(distinct).difference(self.young)
+        self._learn(unseen)
+        first = split.offsets.to_numpy()[:-1]
+        heads = self._encoded([t.partition(" ")[0] if t else "" for t in texts])
+        ids = [*map(self.young.__getitem__, distinct), *heads]
+        self._forget(unseen)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        word = coded.indices.to_numpy().astype(np.int64)
+        word[first] = len(distinct) + np.arange(len(texts))  # a text's first word has no space before it
+        n = size[word]
+        ends = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[word] - (ends - n), n) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+
 
 @cache
 def encoder(path: str) -> IdEncoder:
