@@ -55,13 +55,9 @@ def seconds_between(later, earlier) -> Column:
 
 
 def uniform(*parts) -> Column:
-    """Deterministic uniform number in [0, 1) from the md5 of the joined parts."""
+    """Deterministic uniform number in [0, 1) of 52 bits from the md5 of the joined parts."""
     text = F.concat_ws(":", *[col(p).cast("string") if not isinstance(p, (int, float)) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-
-
-def uniform_draw(label: str, key, seed) -> Column:
-    return uniform(F.lit(label), key, seed)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def weekday(x) -> Column:
@@ -102,6 +98,15 @@ def with_scalars(df: DataFrame, totals: DataFrame) -> DataFrame:
     return df.withColumn(key, F.lit(0)).join(F.broadcast(totals.withColumn(key, F.lit(0))), key).drop(key)
 
 
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Join on columns of the same names where NULL matches NULL; the keys appear once, as those of ``left``."""
+    if not keys:
+        raise ValueError("no keys to join on")
+    other = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_other_{k}"]) for k in keys])
+    return left.join(F.broadcast(other) if broadcast else other, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
 def present_cash_flow(flows: list, rate: float) -> Column:
     """Discounted value of end-of-period flows."""
     return reduce(lambda a, b: a + b, [col(c) / F.lit((1 + rate) ** t) for t, c in enumerate(flows, start=1)])

@@ -58,6 +58,14 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+#: How far the bounds of a portfolio may miss one in sum.
+TOLERANCE = 1e-9
+
+
+def _bounds(name: str) -> Column:
+    return _sum(F.transform("_b", lambda b: b[name]))
+
+
 def allocate(
     inputs: DataFrame, portfolio: str | None, scenarios: list[float], ceiling: float | None = 0.08, capital: float = specs.TOTAL_CAPITAL_CRORE,
     raises: int = 40, growth: float = 1.5,
@@ -70,14 +78,18 @@ def allocate(
     the weights sum to one.  Risk aversion is raised until the volatility ceiling holds: all raised values
     are solved side by side and the first that fits is kept.
 
-    A portfolio is one small array of its buckets; portfolios and scenarios are rows.
+    A portfolio is one small array of its buckets; portfolios and scenarios are rows.  Bounds that cannot be
+    met (lower ones above one in sum, or upper ones below) stop the job and name the portfolio.
     """
     keys = [portfolio] if portfolio else []
     buckets = F.sort_array(F.collect_list(F.struct(
         F.col("bucket").alias("n"), F.col("net_return").alias("m"), F.col("volatility").alias("s"), F.col("low").alias("l"),
         F.col("high").alias("h"), F.col("loss_rate").alias("d"))))
-    df = inputs.groupBy(*keys).agg(buckets.alias("_b")).withColumn("_low", _sum(F.transform("_b", lambda b: b["l"])))
-    df = df.filter("_low <= 1.000000001").withColumn("risk_aversion", F.explode(F.lit([float(s) for s in scenarios])))
+    df = inputs.groupBy(*keys).agg(buckets.alias("_b"))
+    feasible = (_bounds("l") <= 1 + TOLERANCE) & (_bounds("h") >= 1 - TOLERANCE)
+    name = F.coalesce(F.col(portfolio).cast("string"), F.lit("NULL")) if portfolio else F.lit("all")
+    stop = F.raise_error(F.concat(F.lit("bounds that no weights summing to one satisfy: portfolio "), name)).cast("boolean")
+    df = df.where(F.when(feasible, F.lit(True)).otherwise(stop)).withColumn("risk_aversion", F.explode(F.lit([float(s) for s in scenarios])))
     tries = F.transform(F.sequence(F.lit(0), F.lit(raises if ceiling is not None else 0)), lambda k: F.col("risk_aversion") * F.pow(F.lit(growth), k))
     df = df.select("*", F.posexplode(tries).alias("_try", "_lam"))
     lam = F.col("_lam")

@@ -5,19 +5,19 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.bands import bin_right_closed
-from ..functions.scalar import safe_corr, safe_div, with_scalars
+from ..functions.scalar import matched, safe_corr, safe_div, with_scalars
 from ..session import split_settings
 from ..sources import specs
 from .features import pct_change
-from .ordered import column_quantiles, quantiles
+from .ordered import column_quantiles, quantiles, row_position
 
-MAX_CLASSES = 1000
 AGGREGATES_PER_PASS = 400
 
 
@@ -233,76 +233,57 @@ def near_constant(df: DataFrame, exclude: set[str] = frozenset(), threshold: flo
 
 
 def identity_scan(
-    df: DataFrame, exclude: set[str] = frozenset(), prefer: set[str] = frozenset(),
-    tolerance: float = specs.IDENTITY_TOLERANCE, max_columns: int = 20, probe_rows: int = 500,
+    df: DataFrame, exclude: set[str] = frozenset(), prefer: set[str] = frozenset(), tolerance: float = specs.IDENTITY_TOLERANCE, probe_rows: int = 500,
 ) -> DataFrame:
     """Columns that equal the sum or difference of two others on every row.
 
-    A few rows refute most of the candidates; the survivors are tested on the whole table, so the
-    result is exact.  One relation yields one finding, told about a preferred column if possible.
+    Differences are sums told the other way round, so only "total = part + part" is looked for, among any number of columns.
+    Some rows picked by hash refute most candidates; the rest are tested on the whole table, so the result is exact. A
+    relation is told about its first column, or its first preferred one.
     """
-    spark = df.sparkSession
-    schema = "subject string, left_operand string, operator string, right_operand string, max_residual double"
     names = [n for n in numeric_columns(df) if n not in exclude]
-    if len(names) > max_columns:
-        return spark.createDataFrame([], schema)
     numbers = df.select(*[F.col(n).cast("double").alias(n) for n in names])
-    probe = [r.asDict() for r in numbers.limit(probe_rows).collect()]
-
-    def refuted(s, a, op, b):
-        for r in probe:
-            if r[s] is None or r[a] is None or r[b] is None:
-                continue
-            value = r[a] + r[b] if op == "+" else r[a] - r[b]
-            if abs(r[s] - value) > tolerance:
-                return True
-        return False
-
-    forms = [
-        (s, left, op, right)
-        for s in names
-        for a, b in itertools.combinations([n for n in names if n != s], 2)
-        for left, op, right in ((a, "-", b), (b, "-", a), (a, "+", b))
-        if not refuted(s, left, op, right)
-    ]
-    residuals = {}
-    for start in range(0, len(forms), AGGREGATES_PER_PASS):
-        part = forms[start : start + AGGREGATES_PER_PASS]
-        aggs = []
-        for i, (s, a, op, b) in enumerate(part):
-            value = F.col(a) + F.col(b) if op == "+" else F.col(a) - F.col(b)
-            aggs.append(F.max(F.abs(F.col(s) - value)).alias(f"r{i}"))
-        row = numbers.agg(*aggs).collect()[0]
-        residuals.update({f: row[i] for i, f in enumerate(part)})
-    kept: dict[frozenset, tuple] = {}
-    for form in forms:
-        if residuals[form] is None or residuals[form] > tolerance:
-            continue
-        relation = frozenset((form[0], form[1], form[3]))
-        if relation not in kept or (form[0] in prefer and kept[relation][0] not in prefer):
-            kept[relation] = form
-    return spark.createDataFrame([(*f, float(residuals[f])) for f in kept.values()], schema)
-
-
-def class_codes(df: DataFrame, target: str) -> Column:
-    """Ordinal code of a class label: its place among the sorted labels; -1 for a missing one."""
-    labels = sorted(r[0] for r in df.select(target).filter(F.col(target).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} values and is not a class label")
-    if not labels:
-        return F.lit(-1)
-    codes = F.create_map(*[F.lit(x) for pair in zip(labels, range(len(labels))) for x in pair])
-    return F.coalesce(codes[F.col(target)], F.lit(-1))
+    schema = "subject string, left_operand string, operator string, right_operand string, max_residual double"
+    if len(names) < 3:
+        return df.sparkSession.createDataFrame([], schema)
+    probe = np.array([list(r[:-1]) for r in numbers.withColumn("_h", F.xxhash64(*names)).orderBy("_h").limit(probe_rows).collect()], dtype=float).reshape(-1, len(names))
+    open_sums = []
+    for i, j in itertools.combinations(range(len(names)), 2):
+        off = np.abs(probe - (probe[:, i] + probe[:, j])[:, None])
+        worst = np.where(np.isnan(off), 0.0, off).max(axis=0, initial=0.0)
+        open_sums += [(names[t], names[i], names[j]) for t in range(len(names)) if t not in (i, j) and worst[t] <= tolerance]
+    found = []
+    for start in range(0, len(open_sums), AGGREGATES_PER_PASS):
+        part = open_sums[start : start + AGGREGATES_PER_PASS]
+        row = numbers.agg(*[F.max(F.abs(F.col(t) - (F.col(a) + F.col(b)))).alias(f"r{k}") for k, (t, a, b) in enumerate(part)]).first()
+        found += [(_told(*s, names, prefer), row[k]) for k, s in enumerate(part) if row[k] is not None and row[k] <= tolerance]
+    found.sort(key=lambda x: names.index(x[0][0]))
+    return df.sparkSession.createDataFrame([(*told, float(r)) for told, r in found], schema)
+
+
+def _told(total: str, a: str, b: str, names: list[str], prefer: set[str]) -> tuple[str, str, str, str]:
+    """The relation total = a + b as a statement about one of its columns."""
+    subject = min((total, a, b), key=lambda n: (n not in prefer, names.index(n)))
+    return (total, a, "+", b) if subject == total else (subject, total, "-", b if subject == a else a)
+
+
+def with_class_codes(df: DataFrame, target: str, name: str) -> DataFrame:
+    """Ordinal code of a class label: its place among the sorted labels; -1 for a missing one. For any number of labels."""
+    labels = row_position(df.select(target).filter(F.col(target).isNotNull()).distinct(), [target], "_code")
+    return matched(df, labels, [target], "left").withColumn(name, F.coalesce("_code", F.lit(-1))).drop("_code")
 
 
 def target_correlation(df: DataFrame, target: str, exclude: set[str] = frozenset()) -> DataFrame:
     """Pearson correlation of every numeric column with the target, in one pass."""
     numeric = numeric_columns(df)
-    y = F.col(target) if target in numeric else class_codes(df, target)
+    if target in numeric:
+        df = df.withColumn("_y", F.col(target))
+    else:
+        df = with_class_codes(df, target, "_y")
     names = [n for n in numeric if n != target and n not in exclude]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, corr double")
-    numbers = df.select(*[F.col(n).cast("double").alias(n) for n in names], y.cast("double").alias("_y"))
+    numbers = df.select(*[F.col(n).cast("double").alias(n) for n in names], F.col("_y").cast("double").alias("_y"))
     row = numbers.agg(*[safe_corr(n, "_y").alias(n) for n in names])
     return unpivot(row, names, "corr").filter("corr IS NOT NULL")  # a constant column has none
 
@@ -315,27 +296,27 @@ def correlation_ranking(df: DataFrame, target: str, top: int = 15, exclude: set[
     return target_correlation(df, target, exclude).orderBy(F.abs("corr").desc(), "column").limit(top)
 
 
-def label_reconstruction(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    """Share of labels that cuts of a column at the class shares bring back, per column."""
+def label_reconstruction(df: DataFrame, target: str, columns: list[str], max_classes: int = 1000) -> DataFrame:
+    """Share of labels that cuts of a column at the class shares bring back, per column, in one pass over all columns.
+
+    ``max_classes`` bounds what is told the driver; a target with more values is no class label, which is an error.
+    """
     spark = df.sparkSession
     schema = "column string, agreement double"
     shares = df.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    shares = sorted((r[0], r["n"]) for r in shares.limit(12).collect())
-    if not 2 <= len(shares) <= 10:
+    shares = sorted((r[0], r["n"]) for r in shares.limit(max_classes + 1).collect())
+    if len(shares) > max_classes:
+        raise ValueError(f"{target} has more than {max_classes} values and is not a class label")
+    if len(shares) < 2 or not columns:
         return spark.createDataFrame([], schema)
     total = sum(n for _, n in shares)
     cumulative = [sum(n for _, n in shares[: i + 1]) / total for i in range(len(shares) - 1)]
-    out, cuts = None, column_quantiles(df, columns, cumulative, total)
-    for name in columns:
-        edges = cuts[name]
-        x = F.col(name).cast("double")
-        reached = sum((F.when(x >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
-        bins = F.when(x.isNull(), F.lit(len(edges))).otherwise(reached)
-        cells = df.groupBy(bins.alias("bin"), F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-        modal = cells.groupBy("bin").agg(F.max(F.when(F.col("label").isNotNull(), F.col("n"))).alias("hit"), F.sum("n").alias("n"))
-        part = modal.agg(F.lit(name).alias("column"), (F.sum("hit") / F.sum("n")).alias("agreement"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    cuts = column_quantiles(df, columns, cumulative, total)
+    reached = lambda n: F.size(F.filter(F.lit([float(e) for e in cuts[n]]), lambda e: e <= F.col(n).cast("double")))
+    binned = [F.struct(F.lit(n).alias("column"), F.when(F.col(n).isNull(), len(cuts[n])).otherwise(reached(n)).alias("bin")) for n in columns]
+    cells = df.select(F.col(target).alias("label"), F.explode(F.array(*binned)).alias("x")).groupBy("x.column", "x.bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    modal = cells.groupBy("column", "bin").agg(F.max(F.when(F.col("label").isNotNull(), F.col("n"))).alias("hit"), F.sum("n").alias("n"))
+    return modal.groupBy("column").agg((F.sum("hit") / F.sum("n")).alias("agreement"))
 
 
 def same_row_derivation(df: DataFrame, target: str, by: list[str], order: list[str], price: str) -> DataFrame:
@@ -450,6 +431,6 @@ def findings(df: DataFrame, spec: specs.TableSpec, n_splits: int = 5, price: str
 
 def raise_if_critical(report: DataFrame) -> None:
     """Stop when a leak is found that the contract does not declare."""
-    bad = report.filter("severity = 'CRITICAL'").select("dataset", "check", "message").limit(20).collect()
+    bad = report.filter("severity = 'CRITICAL'").select("dataset", "check", "message").collect()  # a few per column
     if bad:
         raise ValueError("undeclared leaks: " + "; ".join(f"{r.dataset}/{r.check}: {r.message}" for r in bad))

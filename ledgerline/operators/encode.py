@@ -120,23 +120,21 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation_filter(df: DataFrame, columns: list[str], threshold: float = 0.95, priority: set[str] = frozenset()) -> dict[str, str]:
-    """Columns to drop and the kept column each repeats.
+    """Columns to drop and the kept column each repeats most.
 
-    The matrix is computed on Spark; choosing among its k x k numbers is driver work.
+    Columns are ranked once: preferred ones first, then those that resemble the others least, then by name. In that order a
+    column is kept unless it correlates at the threshold or above with one already kept, so the ends of a chain both stay.
+    The matrix is computed on Spark; its k x k numbers are ranked here.
     """
-    if len(columns) < 2:
-        return {}
-    corr = {(r.a, r.b): abs(r.corr or 0.0) for r in correlation_matrix(df, columns).collect()}
-    of = lambda a, b: corr.get((a, b), corr.get((b, a), 0.0))
-    mean = {a: sum(of(a, b) for b in columns if b != a) / len(columns) for a in columns}
-    dropped: dict[str, str] = {}
-    survivors: set[str] = set()
-    for a, b in itertools.combinations(columns, 2):
-        if a in dropped or b in dropped or of(a, b) < threshold or {a, b} <= survivors:
-            continue
-        # Survivors of earlier pairs stay, then preferred columns, then the less redundant one.
-        rank = lambda c: (c in survivors, c in priority, -mean[c])
-        keep, drop = (b, a) if rank(b) > rank(a) else (a, b)
-        dropped[drop] = keep
-        survivors.add(keep)
-    return dropped
+    matrix = {frozenset((r.a, r.b)): abs(r.corr or 0.0) for r in correlation_matrix(df, columns).collect()} if len(columns) > 1 else {}
+    resemblance = {c: sum(v for pair, v in matrix.items() if c in pair) for c in columns}
+    kept: list[str] = []
+    repeats: dict[str, str] = {}
+    for column in sorted(columns, key=lambda c: (c not in priority, resemblance[c], c)):
+        like = {k: matrix[frozenset((k, column))] for k in kept}
+        nearest = max(like, key=like.get, default=None)
+        if nearest is None or like[nearest] < threshold:
+            kept.append(column)
+        else:
+            repeats[column] = nearest
+    return repeats

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import band
 from ..functions.normal import norm_pdf
 from ..functions.scalar import (
-    cyclical, finite, flag, is_month_end, is_quarter_end, present_cash_flow, quarter_label,
+    cyclical, finite, flag, is_month_end, is_quarter_end, matched, present_cash_flow, quarter_label,
     safe_div, seconds_between, weekday,
 )
 from ..sources import specs
@@ -261,7 +261,7 @@ def group_relative(df: DataFrame, by: list[str], value: str, name: str, bounded:
     if bounded:
         return df.withColumn(name, c(value) - F.avg(value).over(Window.partitionBy(*by)))
     means = df.groupBy(*by).agg(F.avg(value).alias("_mean"))
-    return df.join(means, by, "left").withColumn(name, c(value) - c("_mean")).drop("_mean")
+    return matched(df, means, by, "left").withColumn(name, c(value) - c("_mean")).drop("_mean")
 
 
 def series_features(df: DataFrame, by: list[str] | None = None, horizon: int = specs.LIQUIDITY_HORIZON) -> DataFrame:

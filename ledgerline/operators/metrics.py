@@ -15,7 +15,7 @@ from pyspark.sql import Window
 
 from ..functions.bands import bin_left_closed, count_edges
 from ..functions.normal import erfc
-from ..functions.scalar import safe_corr, safe_div, uniform, with_scalars
+from ..functions.scalar import matched, safe_corr, safe_div, uniform, with_scalars
 from ..session import split_settings
 from ..sources import specs
 from .ordered import average_ranks, causal, cumulate, group_quantiles, prior_count, quantiles
@@ -50,7 +50,7 @@ def ranking_metrics(
     counts = score_counts(rows, by, weight)
     placed = cumulate(counts, by, "score", {"tp": "pos", "fp": "neg"}, descending=True, probe=rows, bounded=bounded, total=total)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    placed = placed.join(totals, by) if by else with_scalars(placed, totals)
+    placed = matched(placed, totals, by) if by else with_scalars(placed, totals)
     pos, neg, tp, fp, p, n = (F.col(x).cast("double") for x in ("pos", "neg", "tp", "fp", "p", "n"))
     both = (F.col("p") > 0) & (F.col("n") > 0)
     seen = tp + pos + fp + neg
@@ -163,7 +163,7 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str, by: list[str]
     agg = rows.groupBy(*by).agg(
         F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("a").alias("mae"), F.sum(F.col("e") * F.col("e")).alias("_sse"),
         (F.var_pop(known) * F.count("e")).alias("_sst"), F.avg("e").alias("bias"), F.count("e").alias("n"))
-    joined = agg.join(medians, by) if by else with_scalars(agg, medians)
+    joined = matched(agg, medians, by) if by else with_scalars(agg, medians)
     r2 = F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))
     return joined.select(*by, "rmse", "mae", "medae", r2.alias("r2"), "bias", "n")
 
@@ -325,13 +325,13 @@ def kupiec(exceptions, observations, confidence: float) -> dict[str, Column]:
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count of a uniform number, by the cumulative probabilities."""
-    total, term, chain = 0.0, math.exp(-1.0), None
-    for k in range(9):
+    """Poisson(1) count of a uniform number, by the cumulative probabilities as far as they differ from 1."""
+    total, term, k, chain = math.exp(-1.0), math.exp(-1.0), 0, F.when(u < F.lit(math.exp(-1.0)), 0)
+    while total + term / (k + 1) > total:
+        k, term = k + 1, term / (k + 1)
         total += term
-        chain = F.when(u < F.lit(total), k) if chain is None else chain.when(u < F.lit(total), k)
-        term /= k + 1
-    return chain.otherwise(9)
+        chain = chain.when(u < F.lit(total), k)
+    return chain.otherwise(k + 1)
 
 
 def spread_pairs(df: DataFrame, label: str, score: str, key: str) -> tuple[DataFrame, int]:

@@ -19,7 +19,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import uniform, with_scalars
+from ..functions.scalar import matched, uniform, with_scalars
 from ..session import materialise
 from ..sources import tables
 from . import encode, metrics
@@ -114,11 +114,11 @@ def prepare(df: DataFrame, numeric: list[str]) -> DataFrame:
 
 
 def balanced_weights(train: DataFrame, label: str) -> DataFrame:
-    """Weight rows so that every class counts the same; one small aggregate per fit."""
-    counts = {r[0]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(1001).collect()}
-    total, k = sum(counts.values()), len(counts)
-    weights = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, total / (k * n))])
-    return train.withColumn("_weight", weights[F.col(label)])
+    """Weight rows so that every class counts the same, for any number of classes; NULL without a label."""
+    counts = train.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    sized = with_scalars(counts, counts.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_k")))
+    weights = sized.select(label, (F.col("_total") / (F.col("_k") * F.col("_n"))).alias("_weight"))
+    return matched(train, weights, [label], "left")
 
 
 def fit(model: Model, train: DataFrame, numeric: list[str], categorical: list[str]):
@@ -174,15 +174,14 @@ def in_parallel(jobs: list[Callable]) -> list:
 
 def out_of_fold(
     df: DataFrame, model: Model, roles: list[FoldRole], key: list[str], numeric: list[str], categorical: list[str],
-    max_folds: int | None = None, on_fold: Callable[[int, DataFrame], None] | None = None,
+    on_fold: Callable[[int, DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Scores of every row by a model that never saw it: (key, fold, label, score, truncated).
+    """Scores of every row by a model that never saw it: (key, fold, label, score).
 
     Every fit scans ``df`` again, so pass a written table (``session.materialise``), not a long
-    lineage.  A cap on folds is recorded in ``truncated``.
+    lineage.
     """
     rows = prepare(df, numeric)
-    used = roles if max_folds is None else roles[:max_folds]
 
     def one(role: FoldRole) -> DataFrame:
         fitted = fit(model, rows.filter(role.train), numeric, categorical)
@@ -192,8 +191,8 @@ def out_of_fold(
             on_fold(role.fold, scored)
         return scored
 
-    parts = in_parallel([lambda role=role: one(role) for role in used])
-    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("truncated", F.lit(len(used) < len(roles)))
+    parts = in_parallel([lambda role=role: one(role) for role in roles])
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def fold_metrics(oof: DataFrame, task: str) -> DataFrame:

@@ -31,7 +31,7 @@ def expected_npv(value, probability, recovery: float = 0.0) -> Column:
 def irr(flows: list, investment, low: float = -0.99, high: float = 10.0, steps: int = 100, margin: float = 0.01) -> Column:
     """Rate at which the present value is zero, by halving an interval inside one expression.
 
-    NULL without a sign change, and for the meaningless root next to the lower bound.
+    A middle that is a root itself stays in the interval. NULL without a sign change, and for the meaningless root next to the lower bound.
     """
     flows, investment = [col(x) for x in flows], col(investment)
 
@@ -44,7 +44,7 @@ def irr(flows: list, investment, low: float = -0.99, high: float = 10.0, steps:
 
     def halve(acc: Column, _: Column) -> Column:
         middle = (acc["lo"] + acc["hi"]) / 2
-        inside = value(acc["lo"]) * value(middle) < 0
+        inside = value(acc["lo"]) * value(middle) <= 0
         return F.struct(F.when(inside, acc["lo"]).otherwise(middle).alias("lo"), F.when(inside, middle).otherwise(acc["hi"]).alias("hi"))
 
     start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))

@@ -14,6 +14,7 @@ window, and a table below ``spark.ledgerline.minSplitRows`` rows costs no more t
 from __future__ import annotations
 
 import math
+import os
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import col, with_scalars
+from ..functions.scalar import col, matched, with_scalars
 from ..session import split_settings
 
 FIRST = Window.unboundedPreceding
@@ -109,48 +110,64 @@ class Cut:
 
     ``table`` has one row per such group: its key, ``_bounds`` (cut points) and ``_coarse``
     (every n-th cut point, for a two-step search).  There are at most 4 x partitions groups and,
-    over all of them, at most about 12 x partitions cut points, whatever the data size.
+    over all of them, at most about 12 x partitions cut points, whatever the data size.  ``skip``
+    is the number of leading bytes that all text keys share.
     """
 
     by: list[str]
     order: str
     table: DataFrame | None = None
     bounds: list = field(default_factory=list)
+    skip: int = 0
 
     def cold(self, df: DataFrame) -> DataFrame | None:
         if not self.by:
             return None
-        return df.join(F.broadcast(self.table.select(*self.by)), self.by, "left_anti")
+        return matched(df, self.table.select(*self.by), self.by, "left_anti", broadcast=True)
 
     def hot(self, df: DataFrame) -> DataFrame:
         if not self.by:
-            return with_slices(df, {self.order: self.bounds}, {self.order: "_slice"})
-        tagged = df.join(F.broadcast(self.table), self.by, "inner")
-        sliced = tagged.withColumn("_slice", _slice_of(numeric_key(df, self.order), F.col("_bounds"), F.col("_coarse"), F.col("_stride")))
+            return with_slices(df, {self.order: self.bounds}, {self.order: "_slice"}, self.skip)
+        tagged = matched(df, self.table, self.by, broadcast=True)
+        sliced = tagged.withColumn("_slice", _slice_of(numeric_key(df, self.order, self.skip), F.col("_bounds"), F.col("_coarse"), F.col("_stride")))
         return sliced.drop("_bounds", "_coarse", "_stride")
 
 
-def numeric_key(df: DataFrame, name: str) -> Column:
-    """A number that never falls when the column rises; what groups are cut by."""
+def numeric_key(df: DataFrame, name: str, skip: int = 0) -> Column:
+    """A number that never falls when the column rises; what groups are cut by. NULL for NULL.
+
+    Text counts by the six bytes after the first ``skip``, which all its values share.
+    """
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.DateType):
         return F.unix_date(name).cast("double")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(dtype, T.StringType):  # the first six bytes, in the order strings sort in
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(dtype, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1 + skip, 6)), 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("double")
 
 
-def with_slices(df: DataFrame, bounds: dict[str, list[float]], names: dict[str, str]) -> DataFrame:
-    """Number of cut points each column has reached, by a binary search per row in the JVM."""
+def shared_prefix(df: DataFrame, name: str) -> int:
+    """Number of leading bytes that all values of a text column share; 0 for other columns."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return 0
+    low, high = df.agg(F.encode(F.min(name), "utf-8"), F.encode(F.max(name), "utf-8")).first()
+    return len(os.path.commonprefix([bytes(low or b""), bytes(high or b"")]))
+
+
+def with_slices(df: DataFrame, bounds: dict[str, list[float]], names: dict[str, str], skip: int = 0) -> DataFrame:
+    """Number of cut points each column has reached, by a binary search per row in the JVM.
+
+    As Spark sorts, NULL comes before everything (slice -1) and NaN after (a last slice of its own).
+    """
     columns = list(bounds)
-    keyed = df.withColumns({f"{names[c]}_k": numeric_key(df, c) for c in columns})
+    keyed = df.withColumns({f"{names[c]}_k": numeric_key(df, c, skip) for c in columns})
     search = Bucketizer(
         splitsArray=[[-math.inf, *sorted(set(bounds[c])), math.inf] for c in columns],
         inputCols=[f"{names[c]}_k" for c in columns], outputCols=[names[c] for c in columns], handleInvalid="keep")
     out = search.transform(keyed)
-    return out.withColumns({n: F.col(n).cast("int") for n in names.values()}).drop(*[f"{n}_k" for n in names.values()])
+    return out.withColumns({n: F.coalesce(F.col(n).cast("int"), F.lit(-1)) for n in names.values()}).drop(*[f"{n}_k" for n in names.values()])
 
 
 def _slice_of(x: Column, bounds: Column, coarse: Column, stride: Column) -> Column:
@@ -175,11 +192,13 @@ def find_cut(df: DataFrame, by: list[str], order: str, probe: DataFrame | None =
         return None
     limit = settings.threshold(total)
     source = sized if order in sized.columns else df
-    base = source.select(*by, numeric_key(source, order).alias("_key"))
+    skip = shared_prefix(source, order)
+    base = source.select(*by, numeric_key(source, order, skip).alias("_key"))
+    base = base.where(~F.isnan("_key") & F.col("_key").isNotNull())
     if not by:
-        pieces = min(2 * math.ceil(total / limit), 20000)
+        pieces = 2 * math.ceil(total / limit)  # at most some 8 x partitions, see SplitSettings.threshold
         bounds = base.agg(_quantile_grid("_key", pieces).alias("b")).collect()[0]["b"]
-        return Cut([], order, bounds=sorted(set(bounds))) if bounds else None
+        return Cut([], order, bounds=sorted(set(bounds)), skip=skip) if bounds else None
     sizes = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     groups = sizes.collect()  # at most 4 x partitions rows, see SplitSettings.threshold
     if not groups:
@@ -188,7 +207,7 @@ def find_cut(df: DataFrame, by: list[str], order: str, probe: DataFrame | None =
     grid = 1024
     every = F.greatest(F.lit(1), F.floor(F.lit(float(grid)) * limit / (2 * F.col("_n")))).cast("int")
     cuts = (
-        base.join(F.broadcast(keys), by, "inner")
+        matched(base, keys, by, broadcast=True)
         .groupBy(*by, "_n")
         .agg(_quantile_grid("_key", grid).alias("_bounds"))
         .withColumn("_bounds", F.array_sort(F.array_distinct(F.filter("_bounds", lambda b, i: (i + 1) % every == 0))))
@@ -196,7 +215,7 @@ def find_cut(df: DataFrame, by: list[str], order: str, probe: DataFrame | None =
         .withColumn("_coarse", F.filter("_bounds", lambda b, i: (i + 1) % F.col("_stride") == 0))
         .select(*by, "_bounds", "_coarse", "_stride")
     )
-    return Cut(list(by), order, table=spark.createDataFrame(cuts.collect(), cuts.schema))
+    return Cut(list(by), order, table=spark.createDataFrame(cuts.collect(), cuts.schema), skip=skip)
 
 
 def _quantile_grid(order: str, pieces: int) -> Column:
@@ -230,7 +249,9 @@ def causal(
         window = Window.partitionBy(*by).orderBy(*order)
         return df.select("*", *[_plain(f, window).alias(n) for n, f in features.items()])
 
-    done = _sliced(cut.hot(df), by, order, features).select(*df.columns, *features)
+    plain = df.select(*[_plain(f, Window.partitionBy(*by).orderBy(*order)).alias(n) for n, f in features.items()]).schema
+    done = _sliced(cut.hot(df), by, order, features)
+    done = done.select(*df.columns, *[F.col(n).cast(plain[n].dataType).alias(n) for n in features])  # one type at any size
     cold = cut.cold(df)
     if cold is None:
         return done
@@ -243,7 +264,7 @@ def _sliced(hot: DataFrame, by: list[str], order: list[str], features: dict[str,
     ahead = max([f.size for f in features.values() if f.kind == "lead"], default=0)
     cumulative = sorted({f.column for f in features.values() if f.kind in ("expanding", "running")})
     earlier = _earlier_slices(hot, by, cumulative, back, ahead)
-    hot = hot.join(F.broadcast(earlier), [*by, "_slice"], "inner")
+    hot = matched(hot, earlier, [*by, "_slice"], broadcast=True)  # one row per slice
 
     own = Window.partitionBy(*by, "_slice").orderBy(*order)
     hot = hot.withColumn("_pos", F.col("_start") + F.row_number().over(own) - 1)
@@ -259,7 +280,7 @@ def _sliced(hot: DataFrame, by: list[str], order: list[str], features: dict[str,
         if feature.kind == "position":
             value = F.col("_pos").cast("bigint")
         elif feature.kind in ("expanding", "running"):
-            value = _with_prefix(feature, mine, own)
+            value = _with_prefix(hot, feature, mine, own)
         else:
             value = _plain(feature, own)
         computed.append(value.alias(name))
@@ -272,7 +293,7 @@ def _earlier_slices(hot: DataFrame, by: list[str], columns: list[str], back: int
     for c in columns:
         n, s = F.count(c), F.sum(F.col(c).cast("double"))
         sums += [
-            n.alias(f"_n_{c}"), s.alias(f"_s_{c}"), F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"),
+            n.alias(f"_n_{c}"), s.alias(f"_s_{c}"), _exact_sum(hot, c).alias(f"_t_{c}"), F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"),
             (F.coalesce(F.var_pop(c), F.lit(0.0)) * n + F.coalesce(s * s / n, F.lit(0.0))).alias(f"_q_{c}"),
         ]
     by_slice = Window.partitionBy(*by).orderBy("_slice")
@@ -282,6 +303,7 @@ def _earlier_slices(hot: DataFrame, by: list[str], columns: list[str], back: int
         kept += [
             F.coalesce(F.sum(f"_n_{c}").over(before), F.lit(0)).alias(f"_n_{c}"),
             F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0.0)).alias(f"_s_{c}"),
+            F.sum(f"_t_{c}").over(before).alias(f"_t_{c}"),
             F.coalesce(F.sum(f"_q_{c}").over(before), F.lit(0.0)).alias(f"_q_{c}"),
             F.min(f"_lo_{c}").over(before).alias(f"_lo_{c}"),
             F.max(f"_hi_{c}").over(before).alias(f"_hi_{c}"),
@@ -294,6 +316,12 @@ def _earlier_slices(hot: DataFrame, by: list[str], columns: list[str], back: int
     return per_slice.withColumn("_near", F.collect_list(spot).over(by_slice.rowsBetween(-ahead, back)))
 
 
+def _exact_sum(df: DataFrame, c: str) -> Column:
+    """Sum of a column, of integers and decimals without a detour over doubles."""
+    exact = isinstance(df.schema[c].dataType, (T.IntegralType, T.DecimalType))
+    return F.sum(c if exact else F.col(c).cast("double"))
+
+
 def _with_halo(hot: DataFrame, by: list[str], back: int, ahead: int) -> DataFrame:
     """Copy a row to every slice that has to look back or ahead to it."""
     pos = F.col("_pos")
@@ -307,7 +335,7 @@ def _with_halo(hot: DataFrame, by: list[str], back: int, ahead: int) -> DataFram
     return hot.withColumn("_target", F.explode(targets)).drop("_near")
 
 
-def _with_prefix(feature: Feature, mine: Column, window) -> Column:
+def _with_prefix(hot: DataFrame, feature: Feature, mine: Column, window) -> Column:
     """Statistic over the rows of earlier slices joined with the earlier rows of this slice."""
     c = feature.column
     value = F.when(mine, F.col(c))
@@ -319,9 +347,17 @@ def _with_prefix(feature: Feature, mine: Column, window) -> Column:
     if feature.stat == "count":
         out = n
     elif feature.stat == "sum":
-        out = F.when(n > 0, s1 + s2)
+        exact = isinstance(hot.schema[c].dataType, (T.IntegralType, T.DecimalType))
+        t1, t2 = F.col(f"_t_{c}"), F.sum(value if exact else value.cast("double")).over(over)
+        out = F.when(t1.isNull(), t2).when(t2.isNull(), t1).otherwise(t1 + t2)
     elif feature.stat == "mean":
         out = F.when(n > 0, (s1 + s2) / n)
+        kind = hot.schema[c].dataType
+        if isinstance(kind, T.DecimalType):
+            t1, t2 = F.col(f"_t_{c}"), F.sum(value).over(over)
+            total = F.when(t1.isNull(), t2).when(t2.isNull(), t1).otherwise(t1 + t2)
+            # As wide as a plain sum, so that the division keeps more digits than the mean has.
+            out = F.when(n > 0, total.cast(T.DecimalType(min(kind.precision + 10, 38), kind.scale)) / n)
     elif feature.stat == "min":
         out = F.least(F.col(f"_lo_{c}"), F.min(value).over(over))
     elif feature.stat == "max":
@@ -386,10 +422,10 @@ def _ranked_by_value(out, df, by, value, name, pct, probe) -> DataFrame:
     ranks = ranks.withColumn("_rank", F.col("_before") + (F.col("_c") + 1) / F.lit(2.0))
     if pct:
         sizes = hist.groupBy(*by).agg(F.sum("_c").alias("_size"))
-        ranks = ranks.join(sizes, by) if by else with_scalars(ranks, sizes)
+        ranks = matched(ranks, sizes, by) if by else with_scalars(ranks, sizes)
         ranks = ranks.withColumn("_rank", F.col("_rank") / F.col("_size"))
     columns = out.columns
-    return out.join(ranks.select(*by, value, F.col("_rank").alias(name)), [*by, value], "left").select(*columns, name)
+    return matched(out, ranks.select(*by, value, F.col("_rank").alias(name)), [*by, value], "left").select(*columns, name)
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, name: str, pct: bool = True, probe: DataFrame | None = None) -> DataFrame:
@@ -454,7 +490,7 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], tota
     if total <= settings.min_rows:
         row = base.agg(*[F.percentile(c, F.lit([float(p) for p in probs])).alias(c) for c in columns]).collect()[0]
         return {c: list(row[c] or []) for c in columns}
-    pieces = min(2 * math.ceil(total / settings.threshold(total)), 20000)
+    pieces = 2 * math.ceil(total / settings.threshold(total))  # at most some 8 x partitions
     grids = base.agg(*[_quantile_grid(c, pieces).alias(c) for c in columns]).collect()[0]
     slices = {c: f"_s{i}" for i, c in enumerate(columns)}
     sliced = with_slices(base, {c: list(grids[c] or []) for c in columns}, slices)
@@ -497,7 +533,7 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     hist = base.filter("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     sizes = hist.groupBy(*by).agg(F.sum("_c").alias("_size"))
     placed = cumulate(hist, by, "_v", {"_before": "_c"}, probe=base)
-    placed = placed.join(sizes, by) if by else with_scalars(placed, sizes)
+    placed = matched(placed, sizes, by) if by else with_scalars(placed, sizes)
     at = {n: F.lit(float(p)) * (F.col("_size") - 1) for n, p in probs.items()}
     holds = lambda w: F.when((w >= F.col("_before")) & (w < F.col("_before") + F.col("_c")), F.col("_v"))
     picked = placed.groupBy(*by, "_size").agg(

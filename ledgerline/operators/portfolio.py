@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_ppf
-from ..functions.scalar import uniform, with_scalars
+from ..functions.scalar import matched, uniform, with_scalars
 from ..sources import specs
 from .metrics import kupiec
 from .ordered import average_ranks, causal, group_quantiles, one_row_per_day, prior_count, row_position, running
@@ -21,9 +21,9 @@ def portfolio_metrics(
     """Return, volatility, Sharpe, Sortino, drawdown, Calmar and hit rate of each series."""
     r = F.col(value)
     df = returns.filter(r.isNotNull()).withColumn("_g", F.when(r > -1, F.log1p(r)))
-    daily = one_row_per_day(df, date)
-    df = causal(df, by, [date], {"_log": running("_g", "sum")}, bounded=daily)
-    df = causal(df, by, [date], {"_peak": running("_log", "max")}, bounded=daily)
+    # Several rows of one date are taken in the order of their values.
+    df = causal(df, by, [date, value], {"_log": running("_g", "sum")})
+    df = causal(df, by, [date, value], {"_peak": running("_log", "max")})
     loss = F.when(r < 0, r)
     agg = df.groupBy(*by).agg(
         (F.exp(F.sum("_g")) - 1).alias("total_return"), (F.count(F.lit(1)) / F.lit(float(periods))).alias("_years"),
@@ -170,7 +170,7 @@ def historical_risk(returns: DataFrame, by: list[str], value: str, confidence: f
     """Empirical value at risk and expected shortfall per series, as positive losses."""
     cut = group_quantiles(returns, by, value, {"_cut": round(1 - confidence, 12)})
     rows = returns.filter(F.col(value).isNotNull())
-    joined = rows.join(cut, by) if by else with_scalars(rows, cut)
+    joined = matched(rows, cut, by) if by else with_scalars(rows, cut)
     return joined.groupBy(*by).agg(
         (-F.max("_cut")).alias("var"), (-F.avg(F.when(F.col(value) <= F.col("_cut"), F.col(value)))).alias("expected_shortfall"),
         F.count(F.lit(1)).alias("n"))
@@ -196,21 +196,13 @@ def resampled_var(
     draws = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
     draws = draws.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     draws = draws.withColumn("_i", F.floor(uniform(*by, "path", "step", seed) * F.col("_n")))
-    totals = draws.join(rows, [*by, "_i"]).groupBy(*by, "path").agg(F.sum(value).alias("total"))
+    totals = matched(draws, rows, [*by, "_i"]).groupBy(*by, "path").agg(F.sum(value).alias("total"))
     cut = group_quantiles(totals, by, "total", {"_cut": round(1 - confidence, 12)})
     return cut.select(*by, (-F.col("_cut")).alias("var"))
 
 
 def var_backtest(returns: DataFrame, limits: DataFrame, by: list[str], value: str, confidence: float = 0.99) -> DataFrame:
     """Days on which the loss exceeded the limit, and whether that many are plausible."""
-    joined = returns.filter(F.col(value).isNotNull()).join(limits.select(*by, "var"), by)
+    joined = matched(returns.filter(F.col(value).isNotNull()), limits.select(*by, "var"), by)
     counts = joined.groupBy(*by).agg(F.count_if(F.col(value) < -F.col("var")).alias("exceptions"), F.count(F.lit(1)).alias("n_observations"))
     return counts.withColumns(kupiec("exceptions", "n_observations", confidence))
-
-
-def latest(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Last row per series."""
-    if not by:
-        return df.orderBy(F.col(order).desc()).limit(1)
-    kept = F.struct(*df.columns)
-    return df.groupBy(*by).agg(F.max_by(kept, order).alias("_x")).select("_x.*")

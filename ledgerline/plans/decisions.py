@@ -211,7 +211,7 @@ def _(t):
     s AS (SELECT id, a, b, c, i, -0.99::DOUBLE AS lo, 10.0::DOUBLE AS hi, 0 AS k FROM p WHERE (a / 0.01 + b / power(0.01, 2) + c / power(0.01, 3) - i) * (a / 11 + b / power(11, 2) + c / power(11, 3) - i) <= 0
       UNION ALL
       SELECT id, a, b, c, i, CASE WHEN neg THEN lo ELSE mid END, CASE WHEN neg THEN mid ELSE hi END, k + 1 FROM (SELECT *, (lo + hi) / 2 AS mid,
-        (a / (1 + lo) + b / power(1 + lo, 2) + c / power(1 + lo, 3) - i) * (a / (1 + (lo + hi) / 2) + b / power(1 + (lo + hi) / 2, 2) + c / power(1 + (lo + hi) / 2, 3) - i) < 0 AS neg FROM s WHERE k < 60)),
+        (a / (1 + lo) + b / power(1 + lo, 2) + c / power(1 + lo, 3) - i) * (a / (1 + (lo + hi) / 2) + b / power(1 + (lo + hi) / 2, 2) + c / power(1 + (lo + hi) / 2, 3) - i) <= 0 AS neg FROM s WHERE k < 60)),
     r AS (SELECT id, (lo + hi) / 2 AS irr FROM s WHERE k = 60)
     SELECT p.id AS Initiative_ID, CASE WHEN irr > -0.98 THEN irr END AS irr FROM p LEFT JOIN r USING (id)""",
     {"irr": 8},
@@ -220,6 +220,19 @@ def _(t):
     return t.initiatives.select("Initiative_ID", money.irr(_flows(), "Initial_Investment").alias("irr"))
 
 
+@query(
+    "project_irr_residual",
+    """SELECT Initiative_ID, (a / 0.01 + b / power(0.01, 2) + c / power(0.01, 3) - i) * (a / 11 + b / power(11, 2) + c / power(11, 3) - i) <= 0 AS bracketed, true AS solved
+       FROM (SELECT Initiative_ID, Revenue_Year1 - Operating_Cost AS a, Revenue_Year2 - Operating_Cost AS b, Revenue_Year3 - Operating_Cost AS c, Initial_Investment AS i FROM initiatives)""",
+)
+def _(t):
+    """The present value at the returned rate is zero, and there is a rate exactly where the ends of the interval differ in sign."""
+    df = t.initiatives.select("Initiative_ID", "Initial_Investment", F.array(*_flows()).alias("f"), money.irr(_flows(), "Initial_Investment").alias("r"))
+    value = lambda r: sum(F.get("f", F.lit(k)) / F.pow(1 + r, F.lit(k + 1.0)) for k in range(3)) - F.col("Initial_Investment")
+    near = F.abs(value(F.col("r"))) <= 1e-6 * F.greatest(F.col("Initial_Investment"), F.lit(1.0))
+    return df.select("Initiative_ID", (value(F.lit(-0.99)) * value(F.lit(10.0)) <= 0).alias("bracketed"), F.coalesce(near, F.lit(True)).alias("solved"))
+
+
 @query(
     "fund_decision",
     f"""WITH e AS (SELECT Initiative_ID, lower(Risk_Rating) AS r, round(success_probability * ({NPV_SQL} - Initial_Investment) + 20 + @N@, 6) AS v FROM initiatives)
@@ -329,14 +342,14 @@ def _(t):
     q AS (SELECT quantile_cont(Estimated_CLV, 0.5) AS v, quantile_cont(churn_p, 0.5) AS c FROM rr),
     z AS (SELECT *, Estimated_CLV * churn_p AS risk FROM rr, q)
     SELECT Customer_ID, CASE WHEN Estimated_CLV >= v AND churn_p >= c THEN 'Priority retention' WHEN Estimated_CLV >= v THEN 'Protect' WHEN churn_p >= c THEN 'Low-cost intervention' ELSE 'Maintain' END AS segment,
-      risk AS expected_value_at_risk, row_number() OVER (ORDER BY risk DESC, Customer_ID) AS contact_rank, CASE WHEN row_number() OVER (ORDER BY risk DESC, Customer_ID) <= 200 THEN 1 ELSE 0 END AS contact FROM z""",
+      risk AS expected_value_at_risk, row_number() OVER (ORDER BY risk DESC, Customer_ID) AS contact_rank, CASE WHEN row_number() OVER (ORDER BY risk DESC, Customer_ID) <= 1000 THEN 1 ELSE 0 END AS contact FROM z""",
     {"expected_value_at_risk": 4},
 )
 def _(t):
     from .views import NUDGE
 
     df = money.churn_proxy(t.customers, "Complaints", "Digital_Usage").withColumn("churn_p", F.round(F.col("churn_p") + NUDGE, 8))
-    return money.prioritise(df, "Estimated_CLV", "churn_p", "Customer_ID", budget=200).select(
+    return money.prioritise(df, "Estimated_CLV", "churn_p", "Customer_ID").select(
         "Customer_ID", "segment", "expected_value_at_risk", "contact_rank", "contact")
 
 
@@ -541,14 +554,14 @@ def _(t):
 @query(
     "panel_alignment",
     """WITH r AS (SELECT CAST(l_shipdate AS DATE) AS Date, l_returnflag AS e, sum(l_extendedprice) AS a FROM lineitem GROUP BY 1, 2),
-       s AS (SELECT CAST(l_shipdate AS DATE) AS Date, l_returnflag AS e, avg(l_discount) AS b FROM lineitem WHERE l_quantity > 25 GROUP BY 1, 2)
+       s AS (SELECT CAST(l_shipdate AS DATE) AS Date, l_returnflag AS e, avg(l_discount) AS b FROM lineitem GROUP BY 1, 2)
        SELECT e, count(*) AS n, corr(a, b) AS correlation FROM r JOIN s USING (Date, e) GROUP BY e""",
     {"correlation": 6},
 )
 def _(t):
     day = F.to_date("l_shipdate").alias("Date")
     returns = t.lineitem.groupBy(day, F.col("l_returnflag").alias("e")).agg(F.sum("l_extendedprice").alias("a"))
-    signals = t.lineitem.filter("l_quantity > 25").groupBy(day, F.col("l_returnflag").alias("e")).agg(F.avg("l_discount").alias("b"))
+    signals = t.lineitem.groupBy(day, F.col("l_returnflag").alias("e")).agg(F.avg("l_discount").alias("b"))
     return returns.join(signals, ["Date", "e"]).groupBy("e").agg(F.count(F.lit(1)).alias("n"), scalar.safe_corr("a", "b").alias("correlation"))
 
 
@@ -577,14 +590,14 @@ def _(t):
 @query(
     "resampled_var",
     """WITH nr AS (SELECT book, ret, row_number() OVER (PARTITION BY book ORDER BY Date) - 1 AS i, count(*) OVER (PARTITION BY book) AS n FROM book_returns),
-    d AS (SELECT book, path, CAST(floor(CAST(('0x' || substr(md5(concat_ws(':', book, CAST(path AS VARCHAR), CAST(step AS VARCHAR), '42')), 1, 8)) AS BIGINT) / 4294967296 * n) AS BIGINT) AS i
-      FROM (SELECT DISTINCT book, n FROM nr), (SELECT unnest(range(2000)) AS path), (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    d AS (SELECT book, path, CAST(floor(CAST(('0x' || substr(md5(concat_ws(':', book, CAST(path AS VARCHAR), CAST(step AS VARCHAR), '42')), 1, 13)) AS BIGINT) / 4503599627370496 * n) AS BIGINT) AS i
+      FROM (SELECT DISTINCT book, n FROM nr), (SELECT unnest(range(10000)) AS path), (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
     s AS (SELECT book, path, sum(ret) AS total FROM d JOIN nr USING (book, i) GROUP BY book, path)
     SELECT book, -quantile_cont(total, 0.01) AS var FROM s GROUP BY book""",
     {"var": 8},
 )
 def _(t):
-    return portfolio.resampled_var(t.book_returns, ["book"], ["Date"], "ret", 0.99, paths=2000, horizon=5)
+    return portfolio.resampled_var(t.book_returns, ["book"], ["Date"], "ret", 0.99, horizon=5)
 
 
 @query(

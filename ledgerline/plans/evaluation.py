@@ -231,7 +231,7 @@ POISSON = """CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.735758882342884
 @query(
     "bootstrap_interval",
     f"""WITH dr AS (SELECT rep, label, score, {POISSON} AS w FROM (SELECT rep, label, score,
-         CAST(('0x' || substr(md5(concat_ws(':', CAST(row_id AS VARCHAR), CAST(rep AS VARCHAR), '42')), 1, 8)) AS BIGINT) / 4294967296 AS u FROM scored, (SELECT unnest(range(1, 41)) AS rep))),
+         CAST(('0x' || substr(md5(concat_ws(':', CAST(row_id AS VARCHAR), CAST(rep AS VARCHAR), '42')), 1, 13)) AS BIGINT) / 4503599627370496 AS u FROM scored, (SELECT unnest(range(1, 41)) AS rep))),
     {ranked(src='dr', by='rep', w='w')},
     pt AS (SELECT sum(q.pos * (q.n - q.fp - q.neg + q.neg / 2.0)) / (max(q.p) * max(q.n)) AS point FROM (SELECT *, sum(neg) OVER (ORDER BY score DESC) - neg AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n
        FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY score)) q)
@@ -244,7 +244,7 @@ def _(t):
 
 @query(
     "permutation_test",
-    f"""WITH rp AS (SELECT rep, row_id, score, CAST(('0x' || substr(md5(concat_ws(':', CAST(row_id AS VARCHAR), CAST(rep AS VARCHAR), '42')), 1, 8)) AS BIGINT) / 4294967296 AS u
+    f"""WITH rp AS (SELECT rep, row_id, score, CAST(('0x' || substr(md5(concat_ws(':', CAST(row_id AS VARCHAR), CAST(rep AS VARCHAR), '42')), 1, 13)) AS BIGINT) / 4503599627370496 AS u
        FROM scored, (SELECT unnest(range(1, 41)) AS rep)),
     dl AS (SELECT rep, score, CASE WHEN row_number() OVER (PARTITION BY rep ORDER BY u, row_id) <= (SELECT sum(label) FROM scored) THEN 1 ELSE 0 END AS label FROM rp),
     {ranked(src='dl', by='rep')},

@@ -57,7 +57,7 @@ def _(t):
 
 @query(
     "baseline_prior",
-    """WITH st AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, ntile(3) OVER (PARTITION BY o_orderstatus = 'F' ORDER BY CAST(('0x' || substr(md5(concat_ws(':', CAST(o_orderkey AS VARCHAR), '1', '42')), 1, 8)) AS BIGINT) / 4294967296, o_orderkey) AS fold FROM orders),
+    """WITH st AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, ntile(3) OVER (PARTITION BY o_orderstatus = 'F' ORDER BY CAST(('0x' || substr(md5(concat_ws(':', CAST(o_orderkey AS VARCHAR), '1', '42')), 1, 13)) AS BIGINT) / 4503599627370496, o_orderkey) AS fold FROM orders),
     c AS (SELECT fold, count(*) AS n, sum(y) AS s FROM st GROUP BY 1)
     SELECT CAST(fold AS INT) AS fold, n, ((SELECT sum(s) FROM c) - s) / ((SELECT sum(n) FROM c) - n) AS score FROM c""",
     {"score": 8},

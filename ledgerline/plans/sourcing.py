@@ -258,7 +258,7 @@ def _(t):
 
 
 STRAT = """
-st AS (SELECT doc_id, toxic, CAST(rep AS INT) AS repeat, ntile(5) OVER (PARTITION BY toxic, rep ORDER BY CAST(('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(rep AS VARCHAR), '42')), 1, 8)) AS BIGINT) / 4294967296, doc_id) AS fold
+st AS (SELECT doc_id, toxic, CAST(rep AS INT) AS repeat, ntile(5) OVER (PARTITION BY toxic, rep ORDER BY CAST(('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(rep AS VARCHAR), '42')), 1, 13)) AS BIGINT) / 4503599627370496, doc_id) AS fold
    FROM labels, (SELECT unnest([1, 2, 3]) AS rep))
 """
 
@@ -274,7 +274,7 @@ def _(t):
 
 
 GROUPED = """SELECT Option_ID, Underlying, year(Expiry) || 'Q' || quarter(Expiry) AS q,
-   CAST(floor(CAST(('0x' || substr(md5(concat_ws(':', Underlying, year(Expiry) || 'Q' || quarter(Expiry), '42')), 1, 8)) AS BIGINT) / 4294967296 * 5) + 1 AS INT) AS fold FROM options"""
+   CAST(floor(CAST(('0x' || substr(md5(concat_ws(':', Underlying, year(Expiry) || 'Q' || quarter(Expiry), '42')), 1, 13)) AS BIGINT) / 4503599627370496 * 5) + 1 AS INT) AS fold FROM options"""
 
 
 def _grouped(t):

@@ -167,7 +167,7 @@ NUDGE = 1.2345678901e-9
 def _spark_text(text: str) -> str:
     text = re.sub(
         r"@U\((\w+),(\d+)\)@",
-        r"(CAST(conv(substr(md5(concat_ws(':', CAST(\1 AS STRING), '\2')), 1, 8), 16, 10) AS BIGINT) / 4294967296E0)", text,
+        r"(CAST(conv(substr(md5(concat_ws(':', CAST(\1 AS STRING), '\2')), 1, 13), 16, 10) AS BIGINT) / 4503599627370496E0)", text,
     )
     text = text.replace("@N@", f"{NUDGE!r}D")
     return re.sub(r"@JSON\((\w+),(\w+)\)@", r"get_json_object(\1, '$.\2')", text)
@@ -176,7 +176,7 @@ def _spark_text(text: str) -> str:
 def _oracle_text(text: str) -> str:
     text = re.sub(
         r"@U\(([\w.]+),(\w+)\)@",
-        r"(CAST(('0x' || substr(md5(concat_ws(':', CAST(\1 AS VARCHAR), '\2')), 1, 8)) AS BIGINT) / 4294967296)", text,
+        r"(CAST(('0x' || substr(md5(concat_ws(':', CAST(\1 AS VARCHAR), '\2')), 1, 13)) AS BIGINT) / 4503599627370496)", text,
     )
     text = re.sub(r"@JSON\((\w+),(\w+)\)@", r"json_extract_string(\1, '$.\2')", text)
     text = text.replace("@N@", f"{NUDGE!r}")

@@ -20,7 +20,7 @@ POSITIVE_RATE_TOLERANCE = 5e-4
 # ----------------------------------------------------------------------------------------------
 # Reading
 # ----------------------------------------------------------------------------------------------
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, formats: dict[str, str] | None = None, rows: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, formats: dict[str, str] | None = None) -> DataFrame:
     """A CSV table with a fixed schema; a malformed line stops the job.
 
     Columns in ``formats`` are read as text and parsed with their own pattern.
@@ -28,9 +28,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, formats: dict
     formats = formats or {}
     raw = T.StructType([T.StructField(f.name, T.StringType() if f.name in formats else f.dataType, f.nullable) for f in schema.fields])
     df = spark.read.schema(raw).option("header", True).option("mode", "FAILFAST").csv(path)
-    df = nan_to_null(df.select(*[
+    return nan_to_null(df.select(*[
         parse_time(F.col(f.name), formats[f.name], f.dataType).alias(f.name) if f.name in formats else F.col(f.name) for f in schema.fields]))
-    return df.limit(rows) if rows is not None else df
 
 
 def parse_time(text: Column, pattern: str, dtype: T.DataType) -> Column:

@@ -29,9 +29,6 @@ def test_every_row_is_scored_once_and_the_signal_is_found(toy):
     oof = ml.out_of_fold(toy, LOGISTIC, ml.kfold_roles("fold", 3), ["id"], NUMERIC, ["kind"], on_fold=lambda k, d: seen.append(k))
     assert oof.count() == 900 and oof.select("id").distinct().count() == 900 and sorted(seen) == [1, 2, 3]
     assert metrics.ranking_metrics(oof, "label", "score").first().roc_auc > 0.8
-    assert oof.filter("truncated").count() == 0
-    part = ml.out_of_fold(toy, LOGISTIC, ml.kfold_roles("fold", 3), ["id"], NUMERIC, [], max_folds=1)
-    assert part.filter("NOT truncated").count() == 0 and part.select("fold").distinct().count() == 1
 
 
 def test_trivial_baseline_scores_the_training_rate(toy):

@@ -137,3 +137,66 @@ def test_text_and_time_axes_are_cut_too(spark):
             assert [got[r[0]]["p"] for r in sorted(rows, key=key)] == list(range(400))
     finally:
         spark.conf.unset("spark.ledgerline.minSplitRows")
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """NULL and NaN order values, a hot NULL group, integers near 2^53 and beyond in sum, decimals, and text keys with one long prefix."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(600):
+        key = None if i % 3 == 0 else f"g{rng.randrange(3)}"
+        at = None if i % 40 == 0 else math.nan if i % 55 == 1 else float(rng.randrange(500))
+        rows.append((i, key, at, (1 << 53) + rng.randrange(1000), f"a very long shared prefix {rng.randrange(10**6):06d}", None if i % 9 == 0 else rng.randrange(90)))
+    df = spark.createDataFrame(rows, "id long, k string, t double, big long, name string, v int")
+    return df.withColumn("dec", (F.col("v") / 100).cast("decimal(12,2)")).cache()
+
+
+def both_ways(spark, make):
+    """Schema and rows of a result below the size threshold and above it."""
+    whole = make()
+    first = (whole.dtypes, sorted(map(repr, whole.collect())))
+    spark.conf.set("spark.ledgerline.minSplitRows", "40")
+    try:
+        cut = make()
+        return first, (cut.dtypes, sorted(map(repr, cut.collect())))
+    finally:
+        spark.conf.unset("spark.ledgerline.minSplitRows")
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+@pytest.mark.parametrize("order", ["t", "name"])
+def test_cut_keeps_rows_types_and_digits(spark, holes, by, order):
+    wanted = {
+        "sum": o.expanding("big", "sum"), "rsum": o.running("big", "sum"), "dsum": o.expanding("dec", "sum"), "dmean": o.running("dec", "mean"),
+        "lo": o.expanding("v", "min"), "n": o.expanding("v", "count"), "pos": o.prior_count(), "lag": o.lag("big", 2), "m": o.rolling("v", 4, "max"),
+    }
+    a, b = both_ways(spark, lambda: o.causal(holes, by, [order, "id"], wanted).select("id", *wanted))
+    assert a[0] == b[0] and a[1] == b[1] and len(a[1]) == 600
+
+
+@pytest.mark.parametrize("make", [
+    lambda df: o.row_position(df, ["t", "id"], "at").select("id", "at"),
+    lambda df: o.row_position(df, ["name", "id"], "at").select("id", "at"),
+    lambda df: o.average_ranks(df, ["k"], {"r": "v"}).select("id", F.round("r", 9).alias("r")),
+    lambda df: o.group_quantiles(df, ["k"], "v", {"q": 0.37}).withColumn("q", F.round("q", 9)),
+])
+def test_positions_ranks_and_quantiles_do_not_depend_on_size(spark, holes, make):
+    a, b = both_ways(spark, lambda: make(holes))
+    assert a == b
+
+
+def test_a_shared_prefix_still_cuts(spark, holes, split_small):
+    cut = o.find_cut(holes, [], "name")
+    sizes = cut.hot(holes).groupBy("_slice").count().agg(F.max("count")).first()[0]
+    assert sizes < 150
+
+
+def test_null_groups_are_groups(spark, holes):
+    from ledgerline.operators import features, metrics, portfolio
+
+    df = holes.withColumn("y", (F.col("id") % 2).cast("double")).withColumn("s", F.col("v") / 90.0)
+    assert metrics.ranking_metrics(df, "y", "s", ["k"]).count() == metrics.regression_metrics(df, "y", "s", ["k"]).count() == 4
+    assert portfolio.historical_risk(df, ["k"], "s").count() == 4
+    for bounded in (True, False):
+        assert features.group_relative(df, ["k"], "s", "d", bounded).filter("d IS NULL").count() == df.filter("s IS NULL").count()
