@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Words in each of a worker's two generations of memory, and the longest word worth it: at most some 200 MB.
-REMEMBERED = 500_000
+#: Words in each of a worker's two generations of memory, and the longest word worth it: at most some 100 MB.
+REMEMBERED = 250_000
 LONGEST = 40
 #: Words of one text encoded in one call.
 AT_ONCE = 50_000
@@ -35,7 +35,7 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
 
 
 #: Characters of the texts encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 #: A word that is one run of letters for the tokenizer's pattern, with or without a point or comma (a run of its own) behind it.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
