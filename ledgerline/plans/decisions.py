@@ -579,6 +579,16 @@ def _(t):
     return portfolio.historical_risk(t.book_returns, ["book"], "ret", 0.99)
 
 
+@query(
+    "historical_var_null_book",
+    """WITH b AS (SELECT CASE WHEN book = 'NO' THEN '(none)' ELSE book END AS g, ret FROM book_returns), q AS (SELECT g, quantile_cont(ret, 0.01) AS c FROM b GROUP BY g)
+       SELECT nullif(g, '(none)') AS book, -max(c) AS var, -avg(ret) FILTER (ret <= c) AS expected_shortfall, count(*) AS n FROM b JOIN q USING (g) GROUP BY g""",
+    {"var": 8, "expected_shortfall": 8},
+)
+def _(t):
+    return portfolio.historical_risk(t.book_returns.withColumn("book", F.nullif("book", F.lit("NO"))), ["book"], "ret", 0.99)
+
+
 @query(
     "parametric_var",
     f"SELECT book, -(avg(ret) + {normal.norm_ppf(1 - 0.99)!r} * stddev_samp(ret)) AS var FROM book_returns GROUP BY book", {"var": 8},

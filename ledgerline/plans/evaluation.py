@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics as m
@@ -31,6 +33,17 @@ def _(t):
     return m.ranking_metrics(t.scored, "label", "score", ["user_id"])
 
 
+@query(
+    "ranking_metrics_null_group",
+    f"""WITH kinds AS (SELECT label, score, CASE WHEN user_id % 5 = 0 THEN -1 ELSE user_id END AS g FROM scored), {ranked(src='kinds', by='g')}
+        SELECT nullif(g, -1) AS user_id, roc_auc, pr_auc, ks FROM metrics""",
+    {"roc_auc": 9, "pr_auc": 9, "ks": 9},
+)
+def _(t):
+    """One of the groups has no key."""
+    return m.ranking_metrics(t.scored.withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id"))), "label", "score", ["user_id"])
+
+
 CONFUSION = """
 b AS (SELECT avg((score - label) * (score - label)) AS brier,
    avg(-(label * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + (1 - label) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)))) AS log_loss,
@@ -224,8 +237,8 @@ def _(t):
     return m.population_stability(t.events.filter(f"ts < {cut}"), current, "value")
 
 
-POISSON = """CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3
- WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.9999167588507119 THEN 6 WHEN u < 0.9999897508033253 THEN 7 WHEN u < 0.999998874797402 THEN 8 ELSE 9 END"""
+POISSON = "CASE " + " ".join(
+    f"WHEN u < {math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r} THEN {k}" for k in range(17)) + " ELSE 17 END"
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
 from ..operators import splits
+from ..operators.ordered import row_position
 from ..session import fresh_dir
 from ..sources import specs, tables
 from .registry import query
@@ -217,6 +218,16 @@ def _(t):
     return splits.temporal_overlap(_purged(t), "Date", embargo=5)
 
 
+@query(
+    "temporal_overlap_found",
+    f"""WITH {PURGED} SELECT fold, max(Date) AS train_end, min(Date) AS test_start, CAST(0 AS BIGINT) AS gap FROM asg WHERE role = 'test' AND fold % 2 = 0 GROUP BY fold""",
+)
+def _(t):
+    """Every second fold also trains on its own test rows."""
+    good = _purged(t)
+    return splits.temporal_overlap(good.unionByName(good.filter("role = 'test' AND fold % 2 = 0").withColumn("role", F.lit("train"))), "Date", embargo=5)
+
+
 @query(
     "walk_forward_by_group",
     """WITH ax AS (SELECT seq, Trading_Day, Timestamp, dense_rank() OVER (ORDER BY Trading_Day) - 1 AS a FROM tape),
@@ -295,6 +306,38 @@ def _(t):
     return splits.group_overlap(rows, ["Underlying", "q"])
 
 
+@query(
+    "group_overlap_found",
+    f"""WITH g AS (SELECT Underlying, q, CAST(floor(@U(Option_ID,3)@ * 5) AS INT) + 1 AS home FROM ({GROUPED})), f AS (SELECT CAST(unnest(range(1, 6)) AS INT) AS fold)
+        SELECT fold, Underlying, q FROM g, f GROUP BY 1, 2, 3 HAVING count(*) FILTER (home = fold) BETWEEN 1 AND count(*) - 1""",
+)
+def _(t):
+    """Folds dealt by row, so that groups are torn apart."""
+    g = _grouped(t).withColumn("home", F.floor(uniform("Option_ID", 3) * 5).cast("int") + 1).drop("fold")
+    rows = g.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("role", F.when(F.col("home") == F.col("fold"), "test").otherwise("train"))
+    return splits.group_overlap(rows, ["Underlying", "q"])
+
+
+@query(
+    "fold_coverage_found",
+    "SELECT doc_id, CAST(CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_tests FROM labels WHERE (doc_id % 11 = 0) = (doc_id % 7 <> 0)",
+)
+def _(t):
+    """Some rows are never tested, some twice."""
+    f = splits.stratified_folds(t.labels, "doc_id", "toxic", 5)
+    tests = f.filter("doc_id % 7 <> 0").unionByName(f.filter("doc_id % 11 = 0")).withColumn("role", F.lit("test"))
+    return splits.coverage(tests.unionByName(f.withColumn("role", F.lit("train"))), "doc_id")
+
+
+@query(
+    "null_key_position",
+    """SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 7 <> 0 THEN ts END NULLS FIRST, event_id) - 1 AS position FROM events""",
+)
+def _(t):
+    """Positions of a table whose order column is missing in every seventh row."""
+    return row_position(t.events.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts")), ["ts", "event_id"], "position").drop("ts")
+
+
 @query("fold_coverage_check", "SELECT doc_id, CAST(0 AS BIGINT) AS n_tests FROM labels WHERE false")
 def _(t):
     f = splits.stratified_folds(t.labels, "doc_id", "toxic", 5).withColumnRenamed("fold", "home")
