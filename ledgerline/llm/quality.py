@@ -83,11 +83,14 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
-def counted(texts: pd.Series) -> pd.DataFrame:
+def _counts(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_counts(t) for t in texts], columns=list(COUNTS), dtype="int64")
 
 
+#: Told to be nondeterministic, so that a filter on the counts stays above them and no text is counted twice.
+counted = F.pandas_udf(_counts, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])).asNondeterministic()
+
+
 def stratum(docs: DataFrame) -> Column:
     return F.coalesce(docs["lang"].cast("string"), F.lit(""))
 
