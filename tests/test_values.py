@@ -157,16 +157,39 @@ def test_project_values(spark):
     assert rows[1].irr is None
 
 
-def test_funding_and_credit_decisions(spark):
-    df = spark.createDataFrame([(50.0, "Low"), (-5.0, "Low"), (-50.0, "Low"), (1.0, "Low"), (1.0, "HIGH")], "v double, r string")
-    got = [r[0] for r in df.select(money.fund_decision("v", "r")).collect()]
-    assert got == ["Fund", "Review", "Reject", "Fund", "Review"]
-    loans = spark.createDataFrame([(0.02, 100.0, 1e5), (0.02, 60000.0, 1e5), (0.35, 10.0, 1e5), (0.10, 5000.0, 1e5), (0.10, 5000.0, 0.0)], "p double, e double, x double")
-    assert [r[0] for r in loans.select(money.credit_decision("p", "e", "x")).collect()] == ["Approve", "Reject", "Reject", "Review", "Review"]
-    secured = loans.withColumn("cover", F.lit(2.0)).select(money.credit_decision("p", "e", "x", "cover")).collect()
-    assert secured[3][0] == "Approve" and secured[2][0] == "Reject"
-    bands_of = spark.createDataFrame([(0.02,), (0.10,), (0.22,), (0.55,), (0.05,)], "p double").select(money.risk_band("p")).collect()
-    assert [r[0] for r in bands_of] == ["low", "medium", "high", "very_high", "medium"]
+@pytest.mark.parametrize("rating, bar", [("medium", specs.FUND_THRESHOLD), ("High", specs.FUND_THRESHOLD + specs.HIGH_RISK_PENALTY)])
+def test_funding_changes_at_its_bars_and_only_there(spark, rating, bar):
+    """Along rising values the decision is Reject, Review, Fund, and changes exactly at the two bars."""
+    steps = [bar + k * 0.375 for k in range(-60, 40)] + [specs.REVIEW_BAND[0], bar]
+    got = {r.v: r.d for r in spark.createDataFrame([(v, rating) for v in steps], "v double, r string").select("v", money.fund_decision("v", "r").alias("d")).collect()}
+    for v, d in got.items():
+        assert d == ("Fund" if v > bar else "Review" if v >= specs.REVIEW_BAND[0] else "Reject"), v
+
+
+def test_credit_never_gets_easier_with_risk(spark):
+    """Over a grid, a higher default probability or loss ratio never improves a decision, and cover never worsens it."""
+    grid = [(p / 40, e * 0.03, c / 2) for p in range(17) for e in range(11) for c in range(5)]
+    df = spark.createDataFrame(grid, "p double, ratio double, cover double").withColumn("x", F.lit(800.0)).withColumn("e", F.col("ratio") * 800.0)
+    rows = df.select("p", "ratio", "cover", money.credit_decision("p", "e", "x").alias("plain"), money.credit_decision("p", "e", "x", "cover").alias("secured")).collect()
+    rank = {"Approve": 0, "Review": 1, "Reject": 2}
+    at = {(round(r.p * 40), round(r.ratio / 0.03), r.cover): r for r in rows}
+    for (p, e, c), r in at.items():
+        assert rank[r.secured] <= rank[r.plain]
+        assert r.secured == r.plain or (r.plain == "Review" and r.cover >= specs.UPGRADE_COVERAGE)
+        for worse in ((p + 1, e, c), (p, e + 1, c)):
+            if worse in at:
+                assert rank[at[worse].plain] >= rank[r.plain]
+    assert {r.plain for r in rows} == set(rank) and any(r.secured != r.plain for r in rows)
+    unknown = spark.createDataFrame([(0.1, 40.0, 0.0)], "p double, e double, x double").select(money.credit_decision("p", "e", "x"))
+    assert one(unknown)[0] == "Review"
+
+
+def test_bands_are_closed_on_the_left(spark):
+    edges = specs.PD_BAND_EDGES
+    points = [x for e in edges[1:] for x in (e - 1e-6, e)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in points], "p double").select(money.risk_band("p")).collect()]
+    names = [*specs.PD_BAND_LABELS, specs.PD_BAND_DEFAULT]
+    assert got == [n for k in range(len(edges) - 1) for n in names[k : k + 2]]
 
 
 def test_option_reference_point(spark):
@@ -278,15 +301,23 @@ def test_allocation_is_optimal_and_within_bounds(spark):
 
 
 # -------------------------------------------------------------------------------------- leaks
-def test_identity_alias_and_constant_are_found(spark):
-    rng = random.Random(1)
-    rows = [(i, a := rng.uniform(0, 100), b := rng.uniform(0, 100), b - a + rng.uniform(-0.01, 0.01), rng.gauss(11385, 11.4), rng.random()) for i in range(400)]
-    df = spark.createDataFrame(rows, "id long, inflow double, outflow double, gap double, steady double, noise double")
-    hits = audit.identity_scan(df, {"id"}, {"gap"}).collect()
-    assert [(h.subject, h.left_operand, h.operator, h.right_operand) for h in hits] == [("gap", "outflow", "-", "inflow")]
-    assert [r.column for r in audit.near_constant(df, {"id"}).collect()] == ["steady"]
-    df = df.withColumn("twice", F.col("noise") * 2 + 1)
-    assert [r.column for r in audit.target_aliases(df, "noise", {"id"}).collect()] == ["twice"]
+def test_identity_is_told_about_the_preferred_column(spark):
+    """Three relations among nine columns, one of them with missing parts; integers beside doubles."""
+    rng = random.Random(41)
+    rows = []
+    for i in range(260):
+        u, v, w, z = (rng.randrange(-900, 900) for _ in range(4))
+        rows.append((i, u, v, u + v, float(w), None if i % 6 == 0 else float(z), float(w - z), v - w))
+    df = spark.createDataFrame(rows, "row long, u long, v long, total long, w double, z double, rest double, mixed long")
+    hits = {h.subject: (h.left_operand, h.operator, h.right_operand) for h in audit.identity_scan(df, {"row"}, {"rest", "mixed"}).collect()}
+    assert hits == {"u": ("total", "-", "v"), "rest": ("w", "-", "z"), "mixed": ("v", "-", "w")}
+
+
+def test_constants_and_aliases_are_measured_by_spread_and_correlation(spark):
+    df = spark.range(500).select("id", (F.lit(5000.0) + F.col("id") % 7).alias("flat"), (F.col("id") % 97).cast("double").alias("wide"))
+    assert [r.column for r in audit.near_constant(df, {"id"}).collect()] == ["flat"]
+    df = df.withColumn("mirror", 12 - 0.5 * F.col("wide"))
+    assert [r.column for r in audit.target_aliases(df, "mirror", {"id"}).collect()] == ["wide"]
 
 
 def test_identity_that_fails_on_one_late_row_is_not_reported(spark):
@@ -294,12 +325,14 @@ def test_identity_that_fails_on_one_late_row_is_not_reported(spark):
     assert audit.identity_scan(df).count() == 0
 
 
-def test_label_cut_is_reconstructed(spark):
-    rng = random.Random(4)
-    rows = [(x := rng.gauss(0, 1e-4), "UP" if x > 5e-5 else "DOWN" if x < -5e-5 else "FLAT", rng.random()) for _ in range(2000)]
-    df = spark.createDataFrame(rows, "future double, label string, noise double")
-    got = {r.column: r.agreement for r in audit.label_reconstruction(df, "label", ["future", "noise"]).collect()}
-    assert got["future"] > 0.99 and got["noise"] < 0.6
+def test_a_cut_of_unequal_classes_is_found_and_a_shuffled_one_is_not(spark):
+    """Five classes of 1, 2, 3, 4 and 5 parts of a skewed amount, named in its order; a fifth of the amounts is missing."""
+    rng = random.Random(44)
+    amounts = sorted(rng.expovariate(0.2) for _ in range(1500))
+    edges = [100, 300, 600, 1000, 1500]
+    rows = [(None if k % 5 == 4 else x, next(f"c{i}" for i, e in enumerate(edges) if k < e), rng.random()) for k, x in enumerate(amounts)]
+    got = {r.column: r.agreement for r in audit.label_reconstruction(spark.createDataFrame(rows, "x double, y string, n double"), "y", ["x", "n"]).collect()}
+    assert got["x"] > 0.75 and got["n"] < 0.4
 
 
 def test_undeclared_leak_stops_and_declared_one_does_not(spark):
