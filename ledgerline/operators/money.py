@@ -9,7 +9,7 @@ from ..functions.bands import band
 from ..functions.normal import norm_cdf, norm_pdf
 from ..functions.scalar import col, flag, present_cash_flow, safe_div
 from ..sources import specs
-from .ordered import average_ranks, quantiles, row_position
+from .ordered import average_ranks, column_quantiles, row_position
 
 
 # ----------------------------------------------------------------------------------------------
@@ -147,12 +147,10 @@ def score_fraud_queue(
 def lifetime_value(
     revenue, retention=specs.CLV_RETENTION, discount: float = specs.DISCOUNT_RATE, years: int = specs.CLV_HORIZON_YEARS, margin: float = specs.CLV_MARGIN,
 ) -> Column:
-    """Discounted margin of a customer over a finite number of years."""
-    keep = col(retention) if not isinstance(retention, (int, float)) else F.lit(float(retention))
-    total = F.lit(0.0)
-    for year in range(1, years + 1):
-        total = total + col(revenue) * margin * F.pow(keep, F.lit(float(year))) / F.lit((1 + discount) ** year)
-    return total
+    """Discounted margin of a customer over a finite number of years: a geometric sum in q = retention / (1 + discount)."""
+    q = (F.lit(float(retention)) if isinstance(retention, (int, float)) else col(retention)) / F.lit(1.0 + discount)
+    terms = F.when(F.abs(q - 1) < 1e-12, F.lit(float(years))).otherwise(F.try_divide(q * (1 - F.pow(q, F.lit(float(years)))), 1 - q))
+    return col(revenue) * margin * terms
 
 
 def churn_proxy(df: DataFrame, complaints: str, engagement: str, name: str = "churn_p") -> DataFrame:
@@ -161,19 +159,23 @@ def churn_proxy(df: DataFrame, complaints: str, engagement: str, name: str = "ch
     return df.withColumn(name, F.col("_rc") * 0.6 + (1 - F.col("_re")) * 0.4).drop("_rc", "_re")
 
 
+#: By (below, above) the value cut, then by (below, above) the churn cut.
+SEGMENT_NAMES = ("Maintain", "Low-cost intervention", "Protect", "Priority retention")
+
+
 def prioritise(df: DataFrame, value: str, churn: str, key: str, budget: int = specs.CONTACT_BUDGET, value_q: float = 0.5, churn_q: float = 0.5) -> DataFrame:
     """Two-by-two segments around quantiles, value at risk and the contact list."""
-    value_cut, churn_cut = quantiles(df, value, [value_q])[0], quantiles(df, churn, [churn_q])[0]
-    rich = F.coalesce(F.col(value) >= value_cut, F.lit(False))
-    leaving = F.coalesce(F.col(churn) >= churn_cut, F.lit(False))
+    cuts = column_quantiles(df, [value, churn], sorted({value_q, churn_q}))
+    at = {q: k for k, q in enumerate(sorted({value_q, churn_q}))}
+    above = lambda c, q: flag(F.col(c) >= F.lit(cuts[c][at[q]] if cuts[c] else None))
     df = df.withColumns({
-        "segment": F.when(rich & leaving, "Priority retention").when(rich, "Protect").when(leaving, "Low-cost intervention").otherwise("Maintain"),
+        "segment": F.element_at(F.array(*[F.lit(s) for s in SEGMENT_NAMES]), 1 + 2 * above(value, value_q) + above(churn, churn_q)),
         "expected_value_at_risk": F.col(value) * F.col(churn),
     })
-    at_risk = F.col("expected_value_at_risk").isNotNull()
-    placed = row_position(df.filter(at_risk).select(key, "expected_value_at_risk"), ["expected_value_at_risk", key], "_at", descending=True)
-    df = df.join(placed.select(key, "_at"), key, "left")
-    return df.withColumn("contact_rank", F.col("_at") + 1).drop("_at").withColumn("contact", flag(F.col("contact_rank") <= budget))
+    # Positions travel with the rows; those without a value come last in falling order and are not ranked.
+    known = F.col("expected_value_at_risk").isNotNull()
+    ranked = row_position(df.filter(known), ["expected_value_at_risk", key], "_at", descending=True).unionByName(df.filter(~known).withColumn("_at", F.lit(None).cast("bigint")))
+    return ranked.withColumn("contact_rank", F.col("_at") + 1).drop("_at").withColumn("contact", flag(F.col("contact_rank") <= budget))
 
 
 def contact_list(df: DataFrame, score: str, key: str, budget: int) -> DataFrame:

@@ -126,6 +126,9 @@ def _doubles(*names: str) -> dict[str, str]:
     return dict.fromkeys(names, "double")
 
 
+# ----------------------------------------------------------------------------------------------
+# The contracts of the business tables (columns, expected sizes and rates, roles).
+# ----------------------------------------------------------------------------------------------
 TABLES: dict[str, TableSpec] = {
     "initiatives": TableSpec(
         "initiatives", "binary_classification", "Historical_Success",
