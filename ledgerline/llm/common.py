@@ -23,6 +23,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def split_id(df: DataFrame) -> list[Column]:
+    """The id as a plain number and whether there is one: pandas would turn a column of ids with nulls into doubles."""
+    own = df["doc_id"].cast("long")
+    return [F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNotNull().alias("known")]
+
+
+def joined_id(df: DataFrame) -> DataFrame:
+    """The id as it was, from the columns of ``split_id``."""
+    return df.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
+
+
 def body(docs: DataFrame, text: str = "text") -> Column:
     """The text of a row, empty where it is null."""
     return F.coalesce(docs[text].cast("string"), F.lit(""))

@@ -16,14 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from ..functions.scalar import matched
+from .common import joined_id, split_id, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one block.
 BLOCK = 10_000
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id long, known boolean, piece int, start long, length long, ids_crc32 long"
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -40,17 +41,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
         encode_all, end = encoder(path).encode_all, array("I", [end_id]).tobytes()
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encode_all(batch["text"])):
+            for doc_id, known, ids in zip(batch["doc_id"], batch["known"], encode_all(batch["text"])):
                 ids += end
                 for i, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, i, start, length, zlib.crc32(own)) + ((np.frombuffer(own, "<u4").astype("int32"),) if with_ids else ()))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    rows.append((doc_id, known, i, start, length, zlib.crc32(own)) + ((np.frombuffer(own, "<u4").astype("int32"),) if with_ids else ()))
+            yield pd.DataFrame(rows, columns=["doc_id", "known", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInPandas(cut, PIECE + ", ids array<int>" * with_ids)
+    return joined_id(docs.select(*split_id(docs), docs["text"].cast("string").alias("text")).mapInPandas(cut, PIECE + ", ids array<int>" * with_ids))
 
 
 def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[int]:
@@ -148,7 +146,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
 
     Offsets are gapless from 0 within a sequence. Repeated pieces are pieces like any other. An empty table gives no rows.
     """
-    parts = written(parts.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
+    parts = written(parts.select(*split_id(parts), "piece", "start", "length", "ids_crc32"), "pieces")
     blocks = max(1, -(-parts.count() // block))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +159,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
         yield rows
 
-    return parts.repartition(blocks).mapInPandas(place, PIECE + ", sequence_id long, offset long")  # dealt row by row, so by no key
+    return joined_id(parts.repartition(blocks).mapInPandas(place, PIECE + ", sequence_id long, offset long"))  # dealt row by row, so by no key
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
@@ -177,5 +175,6 @@ def sequences(docs: DataFrame, placed: DataFrame, capacity: int = CAPACITY, end_
     """sequence_id and its ids in order: the sequences themselves, at most ``capacity`` ids each."""
     at = placed.select("doc_id", "piece", "ids_crc32", "sequence_id", "offset")
     cut = pieces(docs, capacity, end_id, path, with_ids=True)
-    joined = at.join(cut.dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"])
+    same = ["doc_id", "piece", "ids_crc32"]
+    joined = matched(at, cut.select(*same, "ids").dropDuplicates(same), same)
     return joined.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_dir
-from .common import body, written
+from .common import body, joined_id, split_id, written
 from .tokens import encoder, tokenizer_path
 
 END_ID = 2
@@ -128,16 +128,17 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
         with fs.open_output_stream(temporary) as out:
             file = Writer(out)
             for rows in chain([first], batches):
-                for doc_id, ids in zip(rows["doc_id"], encode_all(rows["text"])):
-                    file.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
+                for doc_id, known, ids in zip(rows["doc_id"], rows["known"], encode_all(rows["text"])):
+                    file.add(int(doc_id) if known else None, ids + end)
             file.end()
             n_bytes = out.tell()
         fs.move(temporary, name)
         yield pd.DataFrame([(part, f"{folder}/ids-{part:06d}.zst", len(file.documents), file.n_ids, n_bytes)], columns=["part", "file", "n_docs", "n_ids", "n_bytes"])
 
     text = body(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    return written(rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInPandas(store, MANIFEST), "manifest")
+    rows = docs.select(*split_id(docs), text.alias("text"), F.xxhash64(text).alias("tie"))
+    order = ["known", "doc_id", "tie"]
+    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "known", "text").mapInPandas(store, MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame, doc_ids: list[int] | None = None, with_ids: bool = False) -> DataFrame:
@@ -157,7 +158,7 @@ def read(manifest: DataFrame, doc_ids: list[int] | None = None, with_ids: bool =
                 rows = []
                 for k in ask:
                     ids = reader.ids(k)
-                    rows.append((int(d["doc_id"][k]) if d["known"][k] else None, int(base + plain[d["frame"][k]]), len(ids) // 4, zlib.crc32(ids)) + ((np.frombuffer(ids, "<u4").astype("int32"),) if with_ids else ()))
+                    rows.append((int(d["doc_id"][k]), bool(d["known"][k]), int(base + plain[d["frame"][k]]), len(ids) // 4, zlib.crc32(ids)) + ((np.frombuffer(ids, "<u4").astype("int32"),) if with_ids else ()))
                     if len(rows) == 1000 or with_ids:
                         yield _frame(rows, with_ids)
                         rows = []
@@ -168,13 +169,11 @@ def read(manifest: DataFrame, doc_ids: list[int] | None = None, with_ids: bool =
     # One row per file, so this window and the deal that follows are over a short table.
     based = manifest.select("file", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     spread = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return based.repartition(spread).mapInPandas(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return joined_id(based.repartition(spread).mapInPandas(fetch, "doc_id long, known boolean, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids))
 
 
 def _frame(rows: list[tuple], with_ids: bool) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+    return pd.DataFrame(rows, columns=["doc_id", "known", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
 
 def round_trip(docs: DataFrame, folder: str | None = None) -> DataFrame:

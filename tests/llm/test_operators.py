@@ -170,7 +170,8 @@ def test_packed_pieces_hold_every_id(spark, odd, odd_rows, empty):
             end += n
         assert end <= 2048
     assert packing.packed(empty).count() == 0
-    docs = spark.createDataFrame([(1, prose(1, 900)), (2, prose(2, 30)), (3, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([((1 << 60) + 1, prose(1, 900)), (None, prose(2, 30)), (3, None)], "doc_id long, text string")
+    assert rows(packing.packed(docs), "doc_id")[-1] == (None,) and ((1 << 60) + 1,) in rows(packing.packed(docs), "doc_id")
     made = packing.sequences(docs, packing.packed(docs)).collect()
     assert sorted(i for r in made for i in r["ids"]) == sorted(i for t in (prose(1, 900), prose(2, 30), "") for i in tk.encode(t, add_special_tokens=False).ids + [0])
 
