@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Words in each of a worker's two generations of memory, and the longest word worth it: at most some 100 MB.
-REMEMBERED = 250_000
+#: Words in each of a worker's two generations of memory, and the longest word worth it: at most some 160 MB.
+REMEMBERED = 400_000
 LONGEST = 40
 #: Words of one text encoded in one call.
 AT_ONCE = 50_000

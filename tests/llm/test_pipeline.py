@@ -1,12 +1,14 @@
 """The pipeline's stages on odd rows and on the small table, and what is registered."""
+import re
+
 import corpus_pipeline
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 
 def test_every_operator_has_its_query():
-    names = sorted(n for n in entry.queries() if n.startswith("op"))
-    assert [n.split("_")[0] for n in names] == ["op1", "op10", *(f"op{k}" for k in range(2, 10))] and "pipeline" in entry.queries()
+    names = [n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n)]
+    assert sorted(names) == sorted(f"op{k}" for k in range(1, 11)) and "pipeline" in entry.queries()
 
 
 def test_stages_keep_the_columns(spark, odd, sf):
@@ -16,7 +18,9 @@ def test_stages_keep_the_columns(spark, odd, sf):
         assert after.columns == docs.columns, name
         assert after.count() <= docs.count()
         docs = after
-    assert docs.where("doc_id = 1").count() == 1 and docs.where("doc_id in (2, 5, 6, 7, 8)").count() == 0
+    assert docs.where("doc_id = 1").count() == 1 and docs.where("doc_id in (5, 6, 7, 8)").count() == 0
+    # A copy loses all its lines; of the documents that are empty by then one row stays.
+    assert docs.where("trim(text) = ''").count() == docs.where("doc_id = 2").count() == 1
 
 
 def test_stages_take_empty_tables(spark, empty, sf):
