@@ -252,6 +252,39 @@ def test_line_dedup_equals_all_windows(spark, odd, sf):
     assert got.agg(F.sum("n_deleted_lines")).first()[0] > 20
 
 
+def plain_runs(data, least=50):
+    """Texts without the lines of any run of ``least`` words that stood earlier, found by comparing all pairs of places."""
+    order = sorted(range(len(data)), key=lambda i: data[i][0])
+    lines = {i: data[i][1].split("\n") for i in order}
+    gone = {i: set() for i in order}
+    places = [(i, k) for i in order for k in range(len(lines[i]))]
+    for x, (i, a) in enumerate(places):
+        for j, b in places[x + 1 :]:
+            if a and b and lines[i][a - 1] == lines[j][b - 1]:
+                continue  # inside a longer run
+            n = 0
+            while a + n < len(lines[i]) and b + n < len(lines[j]) and lines[i][a + n] == lines[j][b + n] and (i != j or a + n < b):
+                n += 1
+            if sum(len(t.split()) for t in lines[j][b : b + n]) >= least:
+                gone[j] |= set(range(b, b + n))
+    return {data[i][0]: "\n".join(t for k, t in enumerate(lines[i]) if k not in gone[i]) for i in order}
+
+
+def test_runs_go_up_to_both_ends(spark):
+    r = random.Random(4)
+    line = {k: prose(300 + k, r.choice([3, 8, 20, 30, 60])) for k in range(40)}
+    pool = [[line[k] for k in range(a, a + 8)] for a in range(0, 40, 8)]
+    data = [(0, "\n".join([prose(400, 60), prose(401, 30)])), (1, "\n".join([prose(402, 9), prose(400, 60), prose(401, 30), prose(403, 9)]))]
+    for d in range(2, 30):
+        run = r.choice(pool)
+        a, b = sorted(r.sample(range(9), 2))
+        data.append((d, "\n".join([prose(500 + d, 7), *run[a:b], prose(600 + d, 7)])))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = dict(rows(line_dedup.dedup(docs, both_ways=True), "doc_id", "text"))
+    assert got == plain_runs(data)
+    assert got[1] == "\n".join([prose(402, 9), prose(403, 9)]) and dict(rows(line_dedup.dedup(docs), "doc_id", "text"))[1] != got[1]
+
+
 # Token counts
 
 def test_counts_equal_the_tokenizer(spark, odd, odd_rows):
