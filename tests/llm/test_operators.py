@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from ledgerline.llm import (
-    components, decontaminate, golay, licences, line_dedup, packing, quality, secret_scan, sharding, simhash, token_counts, token_files, tokens,
+    components, decontaminate, golay, licences, line_dedup, near_copies, packing, quality, secret_scan, sharding, simhash, token_counts, token_files, tokens,
 )
 
 from .conftest import prose
@@ -75,6 +75,35 @@ def test_components_of_chain_and_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(31)}, 200: 200, 201: 200}
 
 
+def test_near_copies_equal_all_pairs(spark, odd):
+    r = random.Random(6)
+    made = []
+    for k in range(6):  # groups with 0 to 12 changed words of 150: similarities on both sides of 0.8
+        base = prose(700 + k, 150).split()
+        for c in range(14):
+            own = list(base)
+            for at in r.sample(range(150), c % 13):
+                own[at] = f"new{r.randrange(10**6)}"
+            made.append((1000 + 20 * k + c, " ".join(own)))
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    data = [tuple(x) for x in docs.collect()]
+    sets = []
+    for _, t in data:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(data)))
+    links = [(i, j) for i, j in combinations(range(len(data)), 2) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    for _ in data:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    far = sum((simhash.fingerprint(data[i][1]) ^ simhash.fingerprint(data[j][1])).bit_count() > 3 for i, j in links)
+    assert far > 20
+    want = sorted(min(((data[i][0] is None, data[i][0] or 0) for i in range(len(data)) if root[i] == k)) for k in set(root))
+    got = near_copies.keep_one(docs.withColumn("own_id", F.lit(1)))
+    assert got.columns == ["doc_id", "text", "own_id"]
+    assert sorted((d is None, d or 0) for d, in rows(got, "doc_id")) == want
+
+
 # Shards
 
 def test_shards_are_even_and_numbered(odd, odd_rows, sf, spark, tmp_path):
