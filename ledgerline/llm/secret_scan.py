@@ -1,6 +1,7 @@
 """Secret scans over a trigram inverted index.
 
-From each rule's regular expression follows a Boolean query over trigrams that every matching text must contain. Postings
+Each rule declares, beside its regular expression, the literals that a match must contain; they are not derived from the
+pattern, and who edits one must edit the other. From them follows a Boolean query over trigrams. Postings
 (trigram -> document) of the queried trigrams are intersected, and only the surviving pairs of rule and document are
 verified by the expression itself. A rule without mandatory trigrams (a run of hex digits) scans every text.
 """
