@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, line_dedup, packing, quality, secret_scan, sharding, simhash, token_counts, token_files
+from . import decontaminate, fill_middle, licences, line_dedup, packing, periodic_runs, quality, secret_scan, sharding, simhash, token_counts, token_files
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -107,3 +107,51 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, with cut-offs fitted on all labels."""
     judged = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rules")
+
+
+@query("op12_cover_lce_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, one id in ten with a planted one, and the text with one period of each left."""
+    found = periodic_runs.periodic(table(spark, sf_dir, "documents"), periodic_runs.planted)
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+#: The same by substrings of code points; the text is rebuilt from the output by the places of its marks.
+_FIM_SQL = """
+WITH hashed AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+    SELECT doc_id, text, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+           CAST('0x' || h[17:24] AS BIGINT) % 100 AS u, CAST('0x' || h[25:32] AS BIGINT) % 100 AS v FROM hashed
+), formed AS (
+    SELECT doc_id, text, n, least(x, y) AS a, greatest(x, y) AS b,
+           CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR u >= 90 THEN 'plain' WHEN v < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), made AS (
+    SELECT *, CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN '<P>' || left(text, a) || '<S>' || substring(text, b + 1) || '<M>' || substring(text, a + 1, b - a)
+        ELSE '<S>' || substring(text, b + 1) || '<P>' || left(text, a) || '<M>' || substring(text, a + 1, b - a) END AS output
+    FROM formed
+), split AS (
+    SELECT *, instr(output, '<P>') AS p, instr(output, '<S>') AS s, instr(output, '<M>') AS m FROM made
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+           WHEN 'psm' THEN substring(output, 4, s - 4) || substring(output, m + 3) || substring(output, s + 3, m - s - 3)
+           ELSE substring(output, p + 3, m - p - 3) || substring(output, m + 3) || substring(output, 4, p - 4) END) AS restored_sha256
+FROM split
+"""
+
+
+@query("op13_counted_fill_middle", _FIM_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two drawn code points, with digests of the output and of the text read back from it."""
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
