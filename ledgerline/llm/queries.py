@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, licences, line_dedup, packing, periodic_runs, quality, secret_scan, sharding, simhash, token_counts, token_files
+from . import context_tree, decontaminate, fill_middle, licences, line_dedup, packing, periodic_runs, quality, secret_scan, sharding, simhash, token_counts, token_files
 from .common import table
 from .registry import ORACLES, QUERIES, query
 
@@ -109,6 +109,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rules")
 
 
+@query("op11_context_tree_scores")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by context-tree weighting, and by the unigram base, learnt from nine documents in ten."""
+    return context_tree.scored(table(spark, sf_dir, "documents"))
+
+
 @query("op12_cover_lce_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words in every document, one id in ten with a planted one, and the text with one period of each left."""
