@@ -16,11 +16,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark removes the shuffle files of a query at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, by: str | None = None) -> str:
+    """The path of the table, written to the folder all executors share; what was shuffled for it goes once it is there."""
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write if by is None else df.write.partitionBy(by)
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the folder all executors share and read again: several jobs read it, none computes it anew."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """The table written and read again: several jobs read it, none computes it anew."""
+    return df.sparkSession.read.parquet(stored(df, name))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, wherever Spark wrote it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def split_id(df: DataFrame) -> list[Column]:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import body, joined_id, split_id, written
+from .common import body, discard, split_id, stored, written
 
 DEPTH = 5
 #: Bytes of context by which grams are brought together.
@@ -167,14 +167,27 @@ def _gram_logs(levels: list[_Level], n: int, zero: np.ndarray, one: np.ndarray,
 
 # Steps over tables
 
-_ASKED = "kind int, chunk long, doc_id long, known boolean, text string, gram long, word binary, n long"
-_DOC, _GRAM, _WORD = 2, 0, 1
+#: One table: packed documents, the grams that a chunk asks for, and its words.
+_ASKED = "kind int, chunk long, docs binary, gram long, word binary, n long"
+_GRAM, _WORD, _DOCS = 0, 1, 2
 #: Stands for the end of a text among words, none of which is empty.
 _END_WORD = b""
+#: Bytes of text packed together.
+PACKED = 1_000_000
 
 
-def _lowered(texts: pa.Array) -> list[bytes]:
-    return [t.lower() for t in texts.cast(pa.binary()).to_pylist()]  # of bytes: A-Z alone
+def _pack(ids: list[int | None], texts: list[bytes]) -> bytes:
+    """Documents as one compressed record batch: they travel twice, and texts compress to a third."""
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], names=["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> tuple[list[int | None], list[bytes]]:
+    table = pa.ipc.open_stream(data).read_all()
+    return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
 
 
 class _Chunk:
@@ -222,36 +235,45 @@ class _Chunk:
         yield _batch(len(self.words), kind=_WORD, chunk=self.number, word=pa.array(list(self.words), pa.binary()), n=pa.array(list(self.words.values()), pa.int64()))
 
 
-_ARROW = {"kind": pa.int32(), "chunk": pa.int64(), "doc_id": pa.int64(), "known": pa.bool_(), "text": pa.string(), "gram": pa.int64(), "word": pa.binary(), "n": pa.int64()}
+_ARROW = {"kind": pa.int32(), "chunk": pa.int64(), "docs": pa.binary(), "gram": pa.int64(), "word": pa.binary(), "n": pa.int64()}
 
 
 def _batch(size: int, kind: int, chunk: int, **columns) -> pa.RecordBatch:
     columns |= {"kind": pa.array(np.full(size, kind, np.int32)), "chunk": pa.array(np.full(size, chunk, np.int64))}
-    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)).cast(t) for c, t in _ARROW.items()], names=list(_ARROW))
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in _ARROW.items()], names=list(_ARROW))
 
 
 def asked(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The documents with the chunk each belongs to, and what every chunk asks: its distinct grams and words, n times in training texts."""
+    """The documents, packed, with the chunk they belong to, and what every chunk asks: its distinct grams and words, n times in training texts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        chunk = _Chunk(first, depth, chunk_bytes)
+        chunk = _Chunk(TaskContext.get().partitionId() << 32, depth, chunk_bytes)
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            return _batch(1, kind=_DOCS, chunk=chunk.number, docs=pa.array([_pack(ids, texts)], pa.binary()))
+
         for batch in batches:
-            ids, known, texts = batch.column("doc_id"), batch.column("known"), batch.column("text")
-            low = 0
-            for k, (d, is_known, text) in enumerate(zip(ids.to_pylist(), known.to_pylist(), _lowered(texts))):
-                chunk.add(text, not held_out(d if is_known else None))
-                if chunk.full() or k == len(ids) - 1:
-                    own = slice(low, k + 1)
-                    yield _batch(k + 1 - low, kind=_DOC, chunk=chunk.number, doc_id=ids[own], known=known[own], text=texts[own])
-                    low = k + 1
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                text = text.lower()  # of bytes: A-Z alone
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text) + 1
+                chunk.add(text, not held_out(doc_id))
+                if size >= PACKED or chunk.full():
+                    yield packed()
+                    ids, texts, size = [], [], 0
                 if chunk.full():
                     yield from chunk.rows()
                     chunk = _Chunk(chunk.number + 1, depth, chunk_bytes)
+        if ids:
+            yield packed()
         if chunk.bytes:
             yield from chunk.rows()
 
-    return docs.select(*split_id(docs), body(docs).alias("text")).mapInArrow(emit, _ASKED)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).alias("text")).mapInArrow(emit, _ASKED)
 
 
 def _blocks(frames: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
@@ -323,7 +345,7 @@ def gram_logs(counted: DataFrame, depth: int = DEPTH, top: int = TOP, block: int
     return both.repartition("context").sortWithinPartitions("context").mapInPandas(down, "gram long, log double")
 
 
-_SCORES = "doc_id long, known boolean, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
 
 
 def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -334,31 +356,34 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
     empty texts: an end alone. Null ids stay null. Repeated rows each count and each get their score. Without training
     documents every bit has probability one half. Only doc_id and text are read. Empty tables give no rows.
     """
-    rows = written(asked(docs, depth, chunk_bytes), "lm-chunks")
-    of_kind = lambda kind: rows.where(F.col("kind") == kind)
-    counted = written(of_kind(_GRAM).groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
-    logs = gram_logs(counted, depth)
-    words = written(of_kind(_WORD).groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    spark = docs.sparkSession
+    path = stored(asked(docs, depth, chunk_bytes), "lm-chunks", by="kind")
+    of_kind = lambda kind: spark.read.schema(_ASKED).parquet(path).where(F.col("kind") == kind)
+    counted = stored(of_kind(_GRAM).groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
+    counted_words = stored(of_kind(_WORD).groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    words = spark.read.parquet(counted_words)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("distinct")).first()
     tokens, distinct = int(total["tokens"]), int(total["distinct"])
-    blank = {"doc_id": "long", "known": "boolean", "text": "string", "gram": "long", "log": "double", "word": "binary", "n": "long"}
-    shape = lambda df: df.select("chunk", "kind", *[c if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in blank.items()])
-    answers = shape(of_kind(_GRAM).select("chunk", "kind", "gram").join(logs, "gram"))
-    counts = shape(of_kind(_WORD).select("chunk", "kind", "word").join(words, "word"))
-    texts = shape(of_kind(_DOC).select("chunk", "kind", "doc_id", "known", "text"))
+    logs = stored(gram_logs(spark.read.parquet(counted), depth), "lm-logs")
+    blank = {"docs": "binary", "gram": "long", "log": "double", "word": "binary", "n": "long"}
+    shape = lambda df, kind: df.select("chunk", F.lit(kind).alias("kind"), *[c if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in blank.items()])
+    answers = spark.read.parquet(stored(of_kind(_GRAM).select("chunk", "gram").join(spark.read.parquet(logs), "gram"), "lm-answers"))
+    counts = spark.read.parquet(stored(of_kind(_WORD).select("chunk", "word").join(words, "word"), "lm-answers"))
+    for done in (counted, counted_words, logs, f"{path}/kind={_GRAM}", f"{path}/kind={_WORD}"):
+        discard(spark, done)
+    texts = of_kind(_DOCS).select("chunk", "docs")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, parts in _segments(batches):
+        for _, parts in _segments(batches):
             model = _Answers(tokens, distinct, depth)
             for kind, part in parts:
-                if kind == _DOC:
-                    yield from model.score(part)
+                if kind == _DOCS:
+                    yield from map(model.scores, part.column("docs").to_pylist())
                 else:
                     model.take(kind, part)
 
-    ordered = answers.unionAll(counts).unionAll(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    found = joined_id(ordered.mapInArrow(emit, _SCORES))
-    return found.select(
+    ordered = shape(answers, _GRAM).unionAll(shape(counts, _WORD)).unionAll(shape(texts, _DOCS)).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return ordered.mapInArrow(emit, _SCORES).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes",
         (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
@@ -394,26 +419,19 @@ class _Answers:
         else:
             self.words.update(zip(part.column("word").to_pylist(), part.column("n").to_pylist()))
 
-    def score(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def scores(self, packed: bytes) -> pa.RecordBatch:
         if self.grams is None:
             keys, logs = (np.concatenate(c) for c in zip(*self.parts))
             order = np.argsort(keys)
             self.grams, self.logs, self.parts = keys[order], logs[order], []
-        texts = _lowered(part.column("text"))
-        sizes = np.cumsum([len(t) + 1 for t in texts])
-        cuts = [0, *(np.flatnonzero(np.diff(sizes // AT_ONCE)) + 1).tolist(), len(texts)]
-        scores = np.concatenate([self._scores(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
-        base = [self._base(t) for t in texts]
-        ids, known = part.column("doc_id"), part.column("known")
-        out = [d if k else None for d, k in zip(ids.to_pylist(), known.to_pylist())]
-        yield pa.RecordBatch.from_arrays([
-            ids, known, pa.array([held_out(d) for d in out], pa.bool_()), pa.array([n for n, _, _ in base], pa.int64()), pa.array([k for _, k, _ in base], pa.int64()),
-            pa.array([len(t) for t in texts], pa.int64()), pa.array([b for _, _, b in base], pa.float64()), pa.array(scores),
-        ], names=["doc_id", "known", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"])
-
-    def _scores(self, texts: list[bytes]) -> np.ndarray:
+        ids, texts = _unpack(packed)
         keys, bounds = grams(texts, self.depth)
-        return np.add.reduceat(self.logs[np.searchsorted(self.grams, keys)], bounds[:-1]) / math.log(10)
+        score = np.add.reduceat(self.logs[np.searchsorted(self.grams, keys)], bounds[:-1]) / math.log(10)
+        n_tokens, n_known, base = zip(*map(self._base, texts))
+        return pa.RecordBatch.from_arrays([
+            pa.array(ids, pa.int64()), pa.array(map(held_out, ids), pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+            pa.array(map(len, texts), pa.int64()), pa.array(base, pa.float64()), pa.array(score),
+        ], names=["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"])
 
     def _base(self, text: bytes) -> tuple[int, int, float]:
         words = text.split()
