@@ -7,7 +7,8 @@ partition; what a slice needs from its neighbours travels as
 * a halo: the few rows before (lag, rolling) or after (lead) the slice, copied to it, and
 * a prefix: sums, extremes and moments of all earlier slices, one row per slice.
 
-Results are exact, only the cut points come from a sketch.  All other groups use one plain
+Results are exact, only the cut points come from a sketch.  Sums of doubles depend on the order of addition; they are added
+in blocks by row number, so they do not depend on the cut points either (see ``_in_blocks``).  All other groups use one plain
 window, and a table below ``spark.ledgerline.minSplitRows`` rows costs no more than a count.
 """
 
@@ -26,6 +27,8 @@ from ..functions.scalar import col, matched, with_scalars
 from ..session import split_settings
 
 FIRST = Window.unboundedPreceding
+#: Rows of a group whose doubles are added one after the other; sums of whole blocks are then added in order.
+BLOCK = 500_000
 STATS = ("mean", "std", "sum", "min", "max", "median", "count")
 
 
@@ -243,20 +246,68 @@ def causal(
     number of rows, or a bound on it, if known.
     """
     by, order = list(by), list(order)
+    if not bounded and total is None:
+        total = (probe if probe is not None else df).count()
     cut = None if bounded else find_cut(df, by, order[0], probe, total)
+    folded = {n: f for n, f in features.items() if _depends_on_order(df, f)}
+    # A group that may hold more rows than a block has its doubles added block by block, wherever it is computed.
+    largest = 0 if bounded else total if cut is None else min(total, split_settings(df.sparkSession).threshold(total))
+    blocks = bool(folded) and largest > BLOCK
     if cut is None or any(f.kind in ("expanding", "running") and f.stat == "median" for f in features.values()):
         # A median of all earlier rows cannot be put together from parts, so it keeps one window.
-        window = Window.partitionBy(*by).orderBy(*order)
-        return df.select("*", *[_plain(f, window).alias(n) for n, f in features.items()])
+        return _one_window(df, by, order, features, folded if blocks else {})
 
     plain = df.select(*[_plain(f, Window.partitionBy(*by).orderBy(*order)).alias(n) for n, f in features.items()]).schema
-    done = _sliced(cut.hot(df), by, order, features)
+    rest = {n: f for n, f in features.items() if n not in folded}
+    done = _sliced(cut.hot(df), by, order, rest)
+    if folded:
+        done = _in_blocks(done.select(*df.columns, *rest, "_pos"), by, order, folded)
     done = done.select(*df.columns, *[F.col(n).cast(plain[n].dataType).alias(n) for n in features])  # one type at any size
     cold = cut.cold(df)
     if cold is None:
         return done
+    return _one_window(cold, by, order, features, folded if blocks else {}).unionByName(done)
+
+
+def _one_window(df: DataFrame, by: list[str], order: list[str], features: dict[str, Feature], folded: dict[str, Feature]) -> DataFrame:
+    """Every group in one window, but for the features in ``folded``."""
     window = Window.partitionBy(*by).orderBy(*order)
-    return cold.select("*", *[_plain(f, window).alias(n) for n, f in features.items()]).unionByName(done)
+    rest = {n: f for n, f in features.items() if n not in folded} | ({"_pos": prior_count()} if folded else {})
+    out = df.select("*", *[_plain(f, window).alias(n) for n, f in rest.items()])
+    return _in_blocks(out, by, order, folded).select(*df.columns, *features) if folded else out
+
+
+def _depends_on_order(df: DataFrame, feature: Feature) -> bool:
+    """Whether the order in which values are added can change the last bits of a cumulative statistic."""
+    if feature.kind not in ("expanding", "running"):
+        return False
+    return feature.stat == "std" or (feature.stat in ("sum", "mean") and isinstance(df.schema[feature.column].dataType, T.FractionalType) and not isinstance(df.schema[feature.column].dataType, T.DecimalType))
+
+
+def _in_blocks(df: DataFrame, by: list[str], order: list[str], features: dict[str, Feature]) -> DataFrame:
+    """Cumulative sums, means and deviations with one order of addition, whatever the cut points.
+
+    ``_pos`` numbers the rows of a group. A block is ``BLOCK`` rows by number, added one after the other in one window; the
+    sums of whole blocks are added in order, one row per block. Both depend on the earlier rows of the group alone, so a
+    table whose later rows differ gives equal bits. Below one block the result is that of a plain window.
+    """
+    df = df.withColumn("_block", F.floor(F.col("_pos") / BLOCK).cast("bigint"))
+    own = Window.partitionBy(*by, "_block").orderBy(*order)
+    columns = sorted({f.column for f in features.values()})
+    upto, whole, fold = own.rowsBetween(FIRST, 0), [], []
+    across = Window.partitionBy(*by).orderBy("_block").rowsBetween(FIRST, 0)
+    for c in columns:
+        n, s = F.count(c).over(upto), F.coalesce(F.sum(F.col(c).cast("double")).over(upto), F.lit(0.0))
+        q = F.coalesce(F.var_pop(c).over(upto), F.lit(0.0)) * n + F.when(n > 0, s * s / n).otherwise(0.0)
+        whole += [n.alias(f"_n_{c}"), s.alias(f"_s_{c}"), q.alias(f"_q_{c}")]
+        fold += [F.sum(f"_{k}_{c}").over(across).alias(f"_{k}_{c}") for k in "nsq"]
+    ended = df.select(*by, "_block", "_pos", *whole).where(F.col("_pos") % BLOCK == BLOCK - 1)
+    earlier = ended.select(*by, (F.col("_block") + 1).alias("_block"), F.lit(True).alias("_later"), *fold)
+    both = matched(df, earlier, [*by, "_block"], "left")
+    both = both.withColumns({f"_{k}_{c}": F.coalesce(f"_{k}_{c}", F.lit(0)) for k in "nsq" for c in columns})
+    both = both.withColumns({f"_t_{c}": F.when(F.col(f"_n_{c}") > 0, F.col(f"_s_{c}")) for c in columns})
+    computed = [F.when(F.col("_later"), _with_prefix(both, f, F.lit(True), own)).otherwise(_plain(f, own)).alias(n) for n, f in features.items()]
+    return both.select("*", *computed)
 
 
 def _sliced(hot: DataFrame, by: list[str], order: list[str], features: dict[str, Feature]) -> DataFrame:

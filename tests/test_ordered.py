@@ -200,3 +200,36 @@ def test_null_groups_are_groups(spark, holes):
     assert portfolio.historical_risk(df, ["k"], "s").count() == 4
     for bounded in (True, False):
         assert features.group_relative(df, ["k"], "s", "d", bounded).filter("d IS NULL").count() == df.filter("s IS NULL").count()
+
+
+def test_sums_do_not_depend_on_cut_points(spark, monkeypatch):
+    """Every bit of cumulative sums, means and deviations, with blocks smaller and larger than the slices and than the table."""
+    rng = random.Random(8)
+    rows = [(i, "hot" if i % 3 else f"k{rng.randrange(5)}", float(i // 2), None if i % 11 == 0 else rng.gauss(0, 1) * 10.0 ** rng.randrange(-9, 9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k string, t double, v double")
+    wanted = {
+        "xs": o.expanding("v", "sum"), "xm": o.expanding("v", "mean", 3), "xd": o.expanding("v", "std"), "rs": o.running("v", "sum"),
+        "rm": o.running("v", "mean"), "rd": o.running("v", "std"), "lag": o.lag("v", 2), "n": o.expanding("v", "count"),
+    }
+    sums = {}
+    for block in (70, 256, 500_000):
+        monkeypatch.setattr(o, "BLOCK", block)
+        for by in (["k"], []):
+            a, b = both_ways(spark, lambda: o.causal(df, by, ["t", "id"], wanted).select("id", *wanted))
+            assert a[0] == b[0] and a[1] == b[1] and len(a[1]) == 900, (block, by)
+            sums[block, len(by)] = table(o.causal(df, by, ["t", "id"], wanted))
+    for n in (0, 1):
+        for i, row in sums[500_000, n].items():
+            assert all(close(row[c], sums[70, n][i][c]) for c in ("rs", "rm", "n", "lag"))
+            assert all(row[c] is None and sums[70, n][i][c] is None or math.isclose(row[c], sums[70, n][i][c], rel_tol=1e-6) for c in ("xd", "rd"))
+
+
+def test_later_rows_move_no_earlier_sum(spark, monkeypatch, split_small):
+    """Damage to late rows moves the cut points; early sums keep every bit."""
+    monkeypatch.setattr(o, "BLOCK", 90)
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, "a", float(i), rng.gauss(0, 1) * 10.0 ** rng.randrange(-9, 9)) for i in range(700)], "id long, k string, t double, v double")
+    damaged = df.withColumns({"v": F.when(F.col("id") >= 400, -F.col("v") * 7 - 13).otherwise(F.col("v")), "t": F.when(F.col("id") >= 400, F.col("t") * 50).otherwise(F.col("t"))})
+    wanted = {"s": o.expanding("v", "sum"), "m": o.running("v", "mean"), "d": o.expanding("v", "std")}
+    early = lambda x: sorted(map(repr, o.causal(x, ["k"], ["t", "id"], wanted).where("id < 400").select("id", *wanted).collect()))
+    assert early(df) == early(damaged)
