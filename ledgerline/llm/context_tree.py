@@ -424,15 +424,28 @@ class _Answers:
             keys, logs = (np.concatenate(c) for c in zip(*self.parts))
             order = np.argsort(keys)
             self.grams, self.logs, self.parts = keys[order], logs[order], []
+            self.shift = np.uint64(64 - max(8, int(len(keys) * 4 - 1).bit_length()))
+            self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+            self.slots[self._slot(self.grams)] = np.arange(len(keys), dtype=np.int32)
         ids, texts = _unpack(packed)
         keys, bounds = grams(texts, self.depth)
-        score = np.add.reduceat(self.logs[np.searchsorted(self.grams, keys)], bounds[:-1]) / math.log(10)
+        score = np.add.reduceat(self.logs[self._places(keys)], bounds[:-1]) / math.log(10)
         n_tokens, n_known, base = zip(*map(self._base, texts))
         return pa.RecordBatch.from_arrays([
             pa.array(ids, pa.int64()), pa.array(map(held_out, ids), pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
             pa.array(map(len, texts), pa.int64()), pa.array(base, pa.float64()), pa.array(score),
         ], names=["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"])
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each gram stands: by its slot, or by search where another gram took the slot."""
+        place = self.slots[self._slot(keys)]
+        lost = np.flatnonzero(self.grams[place] != keys)
+        place[lost] = np.searchsorted(self.grams, keys[lost])
+        return place
+
     def _base(self, text: bytes) -> tuple[int, int, float]:
         words = text.split()
         n = np.fromiter(map(self.words.__getitem__, [*words, _END_WORD]), np.int64, len(words) + 1)

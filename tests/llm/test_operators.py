@@ -104,6 +104,48 @@ def test_near_copies_equal_all_pairs(spark, odd):
     assert sorted((d is None, d or 0) for d, in rows(got, "doc_id")) == want
 
 
+def test_near_copies_recall(spark):
+    """Planted copies of 0.8 to 0.95 in groups of 2 to 40, over one shared passage that alone makes no copy: at least 0.9 of all links found."""
+    r = random.Random(11)
+    shared, made = prose(799, 60), []
+    for g, size in enumerate([2] * 30 + [5] * 12 + [40] * 3):
+        base = prose(800 + g, 200).split()
+        for c in range(size):
+            own = list(base)
+            for at in r.sample(range(200), r.choice([0, 1, 2, 2])):
+                own[at] = f"new{r.randrange(10**6)}"
+            made.append((len(made), shared + " " + " ".join(own)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in made)]
+    links = [(i, j) for i, j in combinations(range(len(made)), 2) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    hard = sum(len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j]) for i, j in links)
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    root = dict(rows(near_copies.rooted(docs), "doc_id", "root"))
+    assert hard > 500 and sum(root[i] == root[j] for i, j in links) >= 0.9 * len(links)
+    reach = list(range(len(made)))
+    for _ in range(4):
+        for i, j in links:
+            reach[i] = reach[j] = min(reach[i], reach[j])
+    same = defaultdict(set)
+    for i, k in root.items():
+        same[k].add(reach[i])
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_near_copies_recall_on_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
+    data = dict(rows(docs, "doc_id", "text"))
+    sets = {d: frozenset(near_copies.shingles(t).tolist()) for d, t in data.items()}
+    where = defaultdict(set)
+    for s in set(sets.values()):
+        for x in s:
+            where[x].add(s)
+    pairs = {frozenset((a, b)) for v in where.values() for a, b in combinations(v, 2)}
+    near = [tuple(p) for p in pairs if len(p) == 2 and (lambda a, b: 10 * len(a & b) >= 8 * len(a | b))(*p)]
+    root = dict(rows(near_copies.rooted(docs), "doc_id", "root"))
+    of = {s: root[d] for d, s in sets.items()}
+    assert len(near) >= 5 and sum(of[a] == of[b] for a, b in near) >= 0.9 * len(near)
+
+
 # Shards
 
 def test_shards_are_even_and_numbered(odd, odd_rows, sf, spark, tmp_path):
