@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bands import band
 from ..functions.normal import norm_pdf
@@ -352,28 +353,40 @@ def pct_change(df: DataFrame, by: list[str], order: list[str], value: str, name:
 # Proof that features do not look ahead
 # ----------------------------------------------------------------------------------------------
 def causality_proof(
-    df: DataFrame, build, key: str, order: str, cut, corrupt: list[str], features: list[str],
+    df: DataFrame, build, key: str | list[str], order: str, cut, corrupt: list[str], features: list[str],
 ) -> DataFrame:
     """Build on the table and on a copy whose late rows are corrupted; count early features that moved.
 
     One row per feature with the number of early rows compared and of those that differ.  Early
-    means ``order < cut``.  Values are compared exactly, NULL equal to NULL.
+    means ``order < cut``.  Numbers are turned and shifted, texts changed (so late rows change
+    groups), dates and times moved further on; the key stays.  Values are compared bit for bit,
+    NULL equal to NULL: cumulative sums do not depend on where groups are cut.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     late = c(order) >= F.lit(cut)
-    field = {f.name: f.dataType for f in df.schema.fields}
-    damaged = df.withColumns({n: F.when(late, (-(c(n).cast("double")) * 7 - 13)).otherwise(c(n)).cast(field[n]) for n in corrupt})
-    left = build(df).filter(~late).select(key, *features)
-    right = build(damaged).filter(~late).select(key, *[c(f).alias(f"{f}__b") for f in features])
-    both = left.join(right, key, "full")
+    damaged = df.withColumns({n: F.when(late, _damage(n, df.schema[n].dataType)).otherwise(c(n)) for n in corrupt})
+    left = build(df).filter(~late).select(*keys, *features, F.lit(True).alias("_left"))
+    right = build(damaged).filter(~late).select(*keys, *[c(f).alias(f"{f}__b") for f in features], F.lit(True).alias("_right"))
+    both = matched(left, right, keys, "full")
+    one_sided = c("_left").isNull() | c("_right").isNull()
     moved = both.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(~c(f).eqNullSafe(c(f"{f}__b"))).alias(f) for f in features],
+        *[F.count_if(one_sided | ~c(f).eqNullSafe(c(f"{f}__b"))).alias(f) for f in features],
     )
     pairs = ", ".join(f"'{f}', `{f}`" for f in features)
     return moved.selectExpr("n AS n_compared", f"stack({len(features)}, {pairs}) AS (feature, n_changed)").withColumn(
         "is_causal", c("n_changed") == 0)
 
 
+def _damage(name: str, kind: T.DataType) -> Column:
+    """Another value of the same type that no honest early feature can see."""
+    if isinstance(kind, T.StringType):
+        return F.concat(F.lit("~"), c(name))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return (c(name) + F.expr("INTERVAL 5 DAYS")).cast(kind)
+    return (-(c(name).cast("double")) * 7 - 13).cast(kind)
+
+
 def simple_equity(returns: str) -> Column:
     """log growth of one period, guarded against a total loss."""
     return F.when(c(returns) > -1, F.log1p(c(returns)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions.bands import bin_right_closed
@@ -348,26 +350,78 @@ def _(t):
     return df.select("book", "Date", "equity", (F.col("equity") / F.col("peak") - 1).alias("drawdown"))
 
 
-CAUSAL_FEATURES = [
-    "cust_prev_amount", "cust_mean_amount_5", "cust_std_amount_5", "cust_max_amount_10", "cust_mean_amount_all", "cust_txn_count",
-    "amount_z_vs_cust", "rapid_repeat", "device_txn_count", "device_mean_amount", "device_customer_changed",
-]
+CAUSAL_FEATURES = [*TX_OUT, *TX_INT]
 
 
-@query(
-    "causality_proof",
-    f"""
-    WITH n AS (SELECT count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-25 00:00:00')
+def _causal_sql(count: str, features: list[str]) -> str:
+    return f"""
+    WITH n AS ({count})
     SELECT n AS n_compared, feature, CAST(0 AS BIGINT) AS n_changed, true AS is_causal
-    FROM n, (SELECT unnest([{", ".join(f"'{f}'" for f in CAUSAL_FEATURES)}]) AS feature)
+    FROM n, (SELECT unnest([{", ".join(f"'{f}'" for f in features)}]) AS feature)
+    """
+
+
+@query("causality_proof", _causal_sql("SELECT count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-25 00:00:00'", CAUSAL_FEATURES))
+def _(t):
+    return fx.causality_proof(
+        t.transactions, fx.transaction_features, "Transaction_ID", "Timestamp", dt.datetime(2024, 1, 25),
+        ["Amount", "Historical_Avg_Transaction", "Customer_ID", "Device_ID", "Account_Age_Months", "Timestamp"], CAUSAL_FEATURES)
+
+
+PANEL_PAST = [*(f for f in PANEL_OUT if not f.startswith("fwd_")), "high_vol_regime", "rank_volume_surprise"]
+
+
+@query("causality_proof_panel", _causal_sql(
+    """SELECT count(*) AS n FROM (SELECT Date, lead(Return) OVER (PARTITION BY Ticker ORDER BY Date) AS f FROM market)
+       WHERE f IS NOT NULL AND Date < DATE '1996-06-01'""", PANEL_PAST))
+def _(t):
+    return fx.causality_proof(
+        t.market, fx.panel_features, ["Ticker", "Date"], "Date", dt.date(1996, 6, 1),
+        ["Return", "Market_Return", "VIX", "Volume", "Momentum_20D", "Volatility_20D", "Sector"], PANEL_PAST)
+
+
+SERIES_PAST = [*(f for f in SERIES_OUT if not f.startswith("fwd_")), "stress_flag_lag1"]
+
+
+@query("causality_proof_series", _causal_sql(
+    """SELECT count(*) AS n FROM (SELECT Date, lead(Expected_Outflows, 5) OVER (ORDER BY Date) AS f FROM liquidity)
+       WHERE f IS NOT NULL AND Date < DATE '1996-06-01'""", SERIES_PAST))
+def _(t):
+    return fx.causality_proof(t.liquidity, fx.series_features, "Date", "Date", dt.date(1996, 6, 1), [*SERIES_BASE, "Cash", "Securities_Holdings"], SERIES_PAST)
+
+
+TAPE_PAST = [*TAPE_OUT, "tick_index"]
+
+
+@query("causality_proof_tape", _causal_sql("SELECT count(*) AS n FROM tape WHERE Timestamp < TIMESTAMP '2024-01-15 11:00:00'", TAPE_PAST))
+def _(t):
+    return fx.causality_proof(
+        t.tape, fx.tape_features, "seq", "Timestamp", dt.datetime(2024, 1, 15, 11),
+        ["OBI_Level1", "OBI_3Level", "Mid_Price", "Relative_Spread", "Trade_Volume", "Trade_Side", "Event_Type", "Stock"], TAPE_PAST)
+
+
+def _leaky(df):
+    """Two features that look ahead beside one that does not."""
+    df = causal(df, ["Customer_ID"], ["Timestamp", "Transaction_ID"], {"prev_amount": lag("Amount"), "next_amount": lead("Amount")})
+    return fx.group_relative(df, ["Customer_ID"], "Amount", "amount_vs_customer")
+
+
+@query(
+    "causality_leak_found",
+    """
+    WITH w AS (SELECT *, lead(Timestamp) OVER c AS next_time, lead(Amount) OVER c AS next_amount, max(Timestamp) FILTER (Amount IS NOT NULL) OVER (PARTITION BY Customer_ID) AS last_time
+               FROM transactions WINDOW c AS (PARTITION BY Customer_ID ORDER BY Timestamp, Transaction_ID)),
+    e AS (SELECT *, TIMESTAMP '2024-01-25 00:00:00' AS cut FROM w WHERE Timestamp < TIMESTAMP '2024-01-25 00:00:00'),
+    s AS (SELECT count(*) AS n_compared, count(*) FILTER (next_time >= cut AND next_amount IS NOT NULL) AS ahead,
+                 count(*) FILTER (last_time >= cut AND Amount IS NOT NULL) AS whole FROM e)
+    SELECT n_compared, 'prev_amount' AS feature, CAST(0 AS BIGINT) AS n_changed, true AS is_causal FROM s
+    UNION ALL SELECT n_compared, 'next_amount', ahead, ahead = 0 FROM s
+    UNION ALL SELECT n_compared, 'amount_vs_customer', whole, whole = 0 FROM s
     """,
 )
 def _(t):
-    import datetime as dt
-
     return fx.causality_proof(
-        t.transactions, fx.transaction_features, "Transaction_ID", "Timestamp", dt.datetime(2024, 1, 25),
-        ["Amount", "Historical_Avg_Transaction", "Customer_ID"], CAUSAL_FEATURES)
+        t.transactions, _leaky, "Transaction_ID", "Timestamp", dt.datetime(2024, 1, 25), ["Amount"], ["prev_amount", "next_amount", "amount_vs_customer"])
 
 
 @query(
