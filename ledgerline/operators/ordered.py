@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import col, matched, with_scalars
-from ..session import split_settings
+from ..session import materialise, split_settings
 
 FIRST = Window.unboundedPreceding
 #: Rows of a group whose doubles are added one after the other; sums of whole blocks are then added in order.
@@ -253,15 +253,18 @@ def causal(
     # A group that may hold more rows than a block has its doubles added block by block, wherever it is computed.
     largest = 0 if bounded else total if cut is None else min(total, split_settings(df.sparkSession).threshold(total))
     blocks = bool(folded) and largest > BLOCK
-    if cut is None or any(f.kind in ("expanding", "running") and f.stat == "median" for f in features.values()):
-        # A median of all earlier rows cannot be put together from parts, so it keeps one window.
+    if cut is None:
         return _one_window(df, by, order, features, folded if blocks else {})
 
     plain = df.select(*[_plain(f, Window.partitionBy(*by).orderBy(*order)).alias(n) for n, f in features.items()]).schema
-    rest = {n: f for n, f in features.items() if n not in folded}
-    done = _sliced(cut.hot(df), by, order, rest)
+    medians = {n: f for n, f in features.items() if f.kind in ("expanding", "running") and f.stat == "median"}
+    rest = {n: f for n, f in features.items() if n not in folded and n not in medians}
+    counts = {f"_m_{n}": Feature(f.kind, f.column, 0, "count") for n, f in medians.items()}
+    done = _sliced(cut.hot(df), by, order, rest | counts).select(*df.columns, *rest, *counts, "_pos")
     if folded:
-        done = _in_blocks(done.select(*df.columns, *rest, "_pos"), by, order, folded)
+        done = _in_blocks(done, by, order, folded)
+    if medians:
+        done = _prefix_medians(done, by, medians)
     done = done.select(*df.columns, *[F.col(n).cast(plain[n].dataType).alias(n) for n in features])  # one type at any size
     cold = cut.cold(df)
     if cold is None:
@@ -310,6 +313,59 @@ def _in_blocks(df: DataFrame, by: list[str], order: list[str], features: dict[st
     return both.select("*", *computed)
 
 
+#: Bits of a value's rank decided per step, and so running counts per step.
+DIGIT_BITS = 4
+
+
+def _prefix_medians(hot: DataFrame, by: list[str], features: dict[str, Feature]) -> DataFrame:
+    """Medians of all rows up to each row, found digit by digit in a tree over the values' ranks.
+
+    A value's code is its rank in the group, written in digits of ``DIGIT_BITS`` bits.  A row asks for
+    one or two order statistics of its prefix; in every step it stands at a node, the leading digits
+    decided so far, and running counts of the next digit over the rows of that node, in their order,
+    tell the digit and how many to skip.  The counts come from ``causal`` itself, so a node that holds
+    most of a group is cut again, and no group is ever in one task.  ``hot`` has ``_pos`` and the count
+    of every prefix as ``_m_<name>``.
+    """
+    hot = materialise(hot.withColumnRenamed("_pos", "_row"), "medians")  # steps number rows of their own
+    for name, feature in features.items():
+        value = F.col(feature.column).cast("double")
+        ranked = average_ranks(hot.select(*by, "_row", value.alias("_v")), by, {"_rank": "_v"}, pct=False).where("_v IS NOT NULL")
+        coded = materialise(ranked.select(*by, "_row", "_v", (F.col("_rank") * 2).cast("bigint").alias("_code")), "median-codes")
+        most = coded.agg(F.max("_code")).collect()[0][0] or 0
+        steps = max(-(-int(most).bit_length() // DIGIT_BITS), 1)
+        digits = range(1 << DIGIT_BITS)
+        # Rows stand at odd places; a row asks from just before or just after its own.
+        after = 2 if feature.kind == "running" else 0
+        wanted = F.explode(F.array_distinct(F.array(*[F.floor(x / 2).cast("bigint") for x in (F.col("_m") - 1, F.col("_m"))])))
+        asking = hot.where(F.col(f"_m_{name}") > 0).select(*by, "_row", F.col(f"_m_{name}").alias("_m"))
+        asking = asking.select(*by, "_row", wanted.alias("_k")).withColumns({"_which": F.col("_k"), "_node": F.lit(0).cast("bigint")})
+        for step in range(steps - 1, -1, -1):
+            shift = DIGIT_BITS * step
+            no = F.lit(None).cast("bigint")
+            there = coded.select(
+                *by, F.shiftright("_code", shift + DIGIT_BITS).alias("_node"), (F.col("_row") * 2 + 1).alias("_at"), F.lit(-1).cast("bigint").alias("_which"),
+                F.shiftright("_code", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)).alias("_digit"), no.alias("_k"), F.col("_row"))
+            asks = asking.select(*by, "_node", (F.col("_row") * 2 + after).alias("_at"), "_which", no.alias("_digit"), "_k", "_row")
+            both = there.unionByName(asks).withColumns({f"_b{d}": F.coalesce((F.col("_digit") == d).cast("bigint"), F.lit(0)) for d in digits})
+            counted = causal(both, [*by, "_node"], ["_at", "_which"], {f"_c{d}": running(f"_b{d}", "sum") for d in digits}).where("_k IS NOT NULL")
+            below = [F.lit(0).cast("bigint")]
+            for d in digits:
+                below.append(below[-1] + F.col(f"_c{d}"))
+            digit = F.coalesce(*[F.when(below[d + 1] > F.col("_k"), d) for d in digits]).cast("bigint")
+            skipped = F.element_at(F.array(*below[:-1]), (F.col("_d") + 1).cast("int"))
+            asking = materialise(
+                counted.withColumn("_d", digit)
+                .select(*by, "_row", "_which", (F.col("_k") - skipped).alias("_k"), (F.shiftleft("_node", DIGIT_BITS) + F.col("_d")).alias("_node")), "median-steps")
+        values = coded.groupBy(*by, F.col("_code").alias("_node")).agg(F.min("_v").alias("_v"))
+        found = matched(asking, values, [*by, "_node"]).groupBy(*by, "_row").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        middle = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") * 0.5 + F.col("_high") * 0.5)
+        hot = matched(hot, found.select(*by, "_row", middle.alias(name)), [*by, "_row"], "left")
+        if feature.min_periods > 1:
+            hot = hot.withColumn(name, F.when(F.col(f"_m_{name}") >= feature.min_periods, F.col(name)))
+    return hot
+
+
 def _sliced(hot: DataFrame, by: list[str], order: list[str], features: dict[str, Feature]) -> DataFrame:
     back = max([f.size for f in features.values() if f.kind in ("lag", "rolling")], default=0)
     ahead = max([f.size for f in features.values() if f.kind == "lead"], default=0)

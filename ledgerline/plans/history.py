@@ -424,6 +424,21 @@ def _(t):
         t.transactions, _leaky, "Transaction_ID", "Timestamp", dt.datetime(2024, 1, 25), ["Amount"], ["prev_amount", "next_amount", "amount_vs_customer"])
 
 
+@query(
+    "running_median",
+    """
+    SELECT event_id, quantile_cont(value, 0.5) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS median_before,
+      quantile_cont(value, 0.5) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS median_upto
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
+    """,
+    {"median_before": 6, "median_upto": 6},
+)
+def _(t):
+    """Few groups, each with a large share of all rows: where they are cut, no task holds a whole one."""
+    wanted = {"median_before": expanding("value", "median"), "median_upto": running("value", "median")}
+    return causal(t.events, ["event_type"], ["ts", "event_id"], wanted).select("event_id", *wanted)
+
+
 @query(
     "global_position",
     "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position FROM events",

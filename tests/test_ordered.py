@@ -1,6 +1,7 @@
 """Cut groups must give the same answers as whole ones."""
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +234,21 @@ def test_later_rows_move_no_earlier_sum(spark, monkeypatch, split_small):
     wanted = {"s": o.expanding("v", "sum"), "m": o.running("v", "mean"), "d": o.expanding("v", "std")}
     early = lambda x: sorted(map(repr, o.causal(x, ["k"], ["t", "id"], wanted).where("id < 400").select("id", *wanted).collect()))
     assert early(df) == early(damaged)
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_running_medians_of_cut_groups(spark, skewed, split_small, by):
+    """Order statistics over prefixes, found in steps over ranks, against sorting every prefix."""
+    wanted = {"xm": o.expanding("v", "median", 9 if by else 1), "rm": o.running("v", "median"), "n": o.prior_count(), "m": o.expanding("v", "mean")}
+    small = skewed.where("id < 210")
+    got = table(o.causal(small, by, ["t", "id"], wanted))
+    past = {}
+    for r in sorted(small.collect(), key=lambda r: (r["t"], r["id"])):
+        key, row = r["k"] if by else None, got[r["id"]]
+        seen = past.setdefault(key, [])
+        values = [v for v in seen if v is not None]
+        upto = values + ([] if r["v"] is None else [r["v"]])
+        assert row["n"] == len(seen)
+        assert close(row["xm"], statistics.median(values) if len(values) >= (9 if by else 1) else None) and close(row["rm"], statistics.median(upto) if upto else None)
+        seen.append(r["v"])
+    assert len(got) == 210
