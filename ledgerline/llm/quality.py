@@ -1,15 +1,18 @@
 """Quality rules whose cut-offs carry a guarantee.
 
-Every rule is a measure of a text and a ladder of cut-offs from mild to strict. Labelled documents show, per stratum and
-rule, how many good ones a cut-off would reject. A cut-off may be used when an exact binomial test rejects "it rejects more
-than ``risk`` of the good documents"; the ladder is walked from its mild end and stops at the first failure, and the level
-is divided among all strata and rules (Bonferroni), so with probability 1 - ``level`` no cut-off in use breaks its limit.
-Among the allowed cut-offs the rule takes the mildest that rejects the most bad documents net of good ones.
+Every rule is a measure of a text in thousandths. A rung of the ladder cuts all measures at one height, and the ladder leads
+from mild to strict. Labelled documents show, per stratum, how many good ones a rung would reject through any of its rules.
+A rung may be used when an exact binomial test rejects "it rejects more than ``risk`` of the good documents"; the ladder is
+walked from its mild end and stops at the first failure, so a stratum's walk needs no division among its rungs or rules. The
+level is divided among the strata that have labels enough to pass at all, by Holm's steps: a stratum that passes its whole
+ladder leaves its part to the others. So with probability 1 - ``level`` no rung in use breaks its limit. Among the allowed
+rungs a stratum takes the mildest that rejects the most bad documents net of good ones.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,7 @@ RULES: dict[str, tuple[str, str]] = {
     "repeats": ("n_repeat_words", "n_words"),
     "copied_lines": ("n_dup_lines", "n_lines"),
 }
-#: Cut-offs in thousandths, from mild to strict.
+#: Rungs in thousandths, from mild to strict; a document is rejected where any measure lies above.
 LADDER = (900, 800, 700, 600, 500, 400, 300, 200, 150, 100, 50)
 RISK = 0.02
 LEVEL = 0.05
@@ -129,47 +132,64 @@ def choose(good: list[int], bad: list[int], risk: float, level: float) -> int |
     return found
 
 
+def least_labels(risk: float, level: float) -> int:
+    """Good labels below which even a rung that loses none of them is not allowed."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def whole_ladder(good: list[int], risk: float) -> float:
+    """The p-value of a stratum's whole ladder: the largest among its rungs."""
+    return max(binomial_tail(lost, sum(good), risk) for lost in np.cumsum(good[:-1]).tolist())
+
+
+def shared_level(ladders: list[float], strata: int, level: float) -> float:
+    """The level each stratum tests at, by Holm's steps over the p-values of whole ladders; those above ``level`` can be left out."""
+    left = strata
+    for p in sorted(ladders):
+        if left == 1 or p > level / left:
+            break
+        left -= 1
+    return level / max(left, 1)
+
+
 def cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """stratum, one column per rule: the cut-off in thousandths, null where none is allowed or none helps.
+    """stratum, cutoff: in thousandths, for all rules; null where no rung is allowed or none helps.
 
-    ``risk`` bounds the share of good documents a stratum loses to all its rules together; each rule gets an equal part.
-    All labelled rows are used. They meet the counts in one join; what follows are sums over strata x rules x rungs.
+    ``risk`` bounds the share of good documents a stratum loses to all its rules together. All labelled rows are used. They
+    meet the counts in one join; what follows are sums over strata x rungs, and one number per stratum that passes its whole
+    ladder on the driver.
     """
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("good"))
-    rungs = F.array(*[F.lit(float(c)) for c in LADDER])
-    first = lambda r: F.size(F.filter(rungs, lambda c: c >= _thousandths(r)))  # noqa: E731  rungs not exceeded come first
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), first(r).alias("rung")) for r in RULES])).alias("x")
-    cells = written(
-        counts.join(good, "doc_id").select("stratum", "good", each)
-        .groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.rung").alias("rung"))
-        .agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")),
-        "quality-cells",
-    )
-    strata, n_rules, n_rungs = cells.select("stratum").distinct().count(), len(RULES), len(LADDER)
+    worst = F.greatest(*[_thousandths(r) for r in RULES])
+    rung = F.size(F.filter(F.array(*[F.lit(float(c)) for c in LADDER]), lambda c: c >= worst))  # rungs not exceeded come first
+    cells = counts.select("doc_id", "stratum", rung.alias("rung")).join(good, "doc_id").groupBy("stratum", "rung").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+
+    def tested(cell: pd.DataFrame) -> pd.DataFrame:
+        by = {k: np.bincount(cell["rung"], cell[k], len(LADDER) + 1).astype(int).tolist() for k in ("good", "bad")}
+        return pd.DataFrame({"stratum": [cell["stratum"].iloc[0]], **{k: [v] for k, v in by.items()}, "n_good": [sum(by["good"])], "whole": [whole_ladder(by["good"], risk)]})
+
+    ladders = written(cells.groupBy("stratum").applyInPandas(tested, "stratum string, good array<long>, bad array<long>, n_good long, whole double"), "quality-ladders")  # a rung a row
+    able = ladders.where(F.col("n_good") >= least_labels(risk, level))
+    each = shared_level([r["whole"] for r in able.where(F.col("whole") <= level).select("whole").collect()], able.count(), level)
 
-    def pick(cell: pd.DataFrame) -> pd.DataFrame:
-        by = {k: [0] * (n_rungs + 1) for k in ("good", "bad")}
-        for r in cell.itertuples():
-            by["good"][r.rung] += int(r.good)
-            by["bad"][r.rung] += int(r.bad)
-        found = choose(by["good"], by["bad"], risk / n_rules, level / (n_rules * strata))
-        return pd.DataFrame({"stratum": [cell["stratum"].iloc[0]], "rule": [cell["rule"].iloc[0]], "cutoff": [None if found is None else float(LADDER[found])]})
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [choose(list(g), list(b), risk, each) for g, b in zip(batch["good"], batch["bad"])]
+            yield pd.DataFrame({"stratum": batch["stratum"], "cutoff": [None if k is None else float(LADDER[k]) for k in found]})
 
-    chosen = cells.groupBy("stratum", "rule").applyInPandas(pick, "stratum string, rule string, cutoff double")  # a rung a row
-    return chosen.groupBy("stratum").pivot("rule", list(RULES)).agg(F.max("cutoff"))
+    return ladders.mapInPandas(pick, "stratum string, cutoff double")
 
 
 def verdicts(counts: DataFrame, cuts: DataFrame) -> DataFrame:
     """Counts with base_failed, kept and the names of the rules that reject a document.
 
     A document fails the base rules with fewer than 20 words or more than 30 % of its words in repeated windows. A stratum
-    without labels, or without an allowed cut-off, is judged by the base rules alone.
+    without labels, or without an allowed rung, is judged by the base rules alone.
     """
-    named = cuts.select(F.col("stratum"), *[F.col(r).alias(f"cut_{r}") for r in RULES])
-    fired = F.filter(F.array(*[F.when(_thousandths(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]), lambda r: r.isNotNull())
+    fired = F.filter(F.array(*[F.when(_thousandths(r) > F.col("cutoff"), F.lit(r)) for r in RULES]), lambda r: r.isNotNull())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return (
-        counts.join(named, "stratum", "left").withColumn("base_failed", failed).withColumn("rules", F.concat_ws(",", fired))
+        counts.join(cuts.select("stratum", "cutoff"), "stratum", "left").withColumn("base_failed", failed).withColumn("rules", F.concat_ws(",", fired))
         .withColumn("kept", ~F.col("base_failed") & (F.col("rules") == ""))
     )
 
@@ -186,8 +206,10 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns. Texts are counted again where they lie, so no text is shuffled."""
-    cuts = written(cutoffs(written(measured(docs), "quality-counts"), labels, risk, level), "quality-cuts")
+    """The rows of ``docs`` that pass, with their own columns. Each text is counted once: rows are written beside their counts,
+    and the cut-offs read the counts alone."""
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    counts = docs.select(row, stratum(docs).alias("stratum"), counted(docs["text"].cast("string")).alias("c")).select("row", "stratum", "c.*")
+    beside = docs.select(row, docs["doc_id"].cast("long").alias("doc_id"), stratum(docs).alias("stratum"), counted(docs["text"].cast("string")).alias("c"))
+    counts = written(beside.select("row", "doc_id", "stratum", "c.*"), "quality-rows")
+    cuts = written(cutoffs(counts.drop("row"), labels, risk, level), "quality-cuts")
     return verdicts(counts, cuts).where("kept").select("row.*")

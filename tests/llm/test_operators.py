@@ -474,21 +474,49 @@ def test_cutoff_stops_where_the_risk_is_not_refuted():
 def test_rejections_stay_below_the_risk(spark):
     r = random.Random(6)
     docs, labels = [], []
-    for i in range(3000):
+    for i in range(3160):
         bad = i % 4 == 0
         words = [w + ("$$$" if bad and r.random() < 0.8 else "#" if r.random() < 0.004 else "") for w in prose(i, 60).split()]
-        docs.append((i, " ".join(words), "en" if i % 3 else None))
+        docs.append((i, " ".join(words), "fr" if i >= 3000 else "en" if i % 3 else None))
         labels.append((i, int(not bad)))
     labels += [(None, 1), (5, None), (99999, 1), (4, 1)]
     df, lab = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
     got = quality.judged(df, lab).where(~F.col("base_failed")).groupBy("stratum", (F.col("doc_id") % 4 == 0).alias("bad")).agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     share = {(r["stratum"], r["bad"]): r["kept"] for r in got}
-    assert share["en", False] > 0.98 and share["en", True] < 0.02
-    assert share["", False] == share["", True] == 1  # too few labels to allow a cut-off
+    for lang in ("en", ""):
+        assert share[lang, False] > 0.98 and share[lang, True] < 0.02
+    assert share["fr", False] == share["fr", True] == 1  # too few labels to allow a rung
     kept = quality.keep(df.withColumn("kept", F.lit("x")), lab)
     assert kept.columns == ["doc_id", "text", "lang", "kept"] and kept.count() == quality.judged(df, lab).where("kept").count()
 
 
+def test_levels_are_shared_by_holm():
+    assert quality.shared_level([], 4, 0.05) == 0.0125 and quality.shared_level([0.2], 1, 0.05) == 0.05
+    assert quality.shared_level([0.001, 0.016], 4, 0.05) == 0.05 / 2 and quality.shared_level([0.001, 0.02], 4, 0.05) == 0.05 / 3
+    assert quality.shared_level([0.0, 0.0], 2, 0.05) == 0.05
+    assert quality.least_labels(0.02, 0.05 / 4) == 217 and quality.binomial_tail(0, 217, 0.02) <= 0.0125 < quality.binomial_tail(0, 216, 0.02)
+
+
+def test_the_limit_is_kept_in_simulations():
+    """Three strata whose second rung just breaks the risk: some stratum uses it in at most the level's share of draws."""
+    r = np.random.default_rng(11)
+    broken = used = 0
+    for _ in range(600):
+        good = [r.multinomial(n, [0.004, 0.017, 0.979]).tolist() for n in (230, 500, 2000)]
+        able = [quality.whole_ladder(g, 0.02) for g in good]
+        each = quality.shared_level(able, 3, 0.05)
+        chosen = [quality.choose(g, [30, 70, 0], 0.02, each) for g in good]
+        broken += any(c == 1 for c in chosen)
+        used += sum(c == 0 for c in chosen)
+    assert broken <= 0.05 * 600 + 3 * (600 * 0.05 * 0.95) ** 0.5 and used > 600
+
+
+def test_every_language_of_the_table_has_a_cutoff(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["stratum"]: r["cutoff"] for r in quality.cutoffs(quality.written(quality.measured(docs), "counts"), labels).collect()}
+    assert set(got) == {"en", "de", "fr", "es"} and all(c is not None for c in got.values())
+
+
 def test_quality_without_labels(spark, odd, odd_rows, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judged(odd, none)
