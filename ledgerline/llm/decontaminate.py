@@ -8,6 +8,7 @@ hashes of the benchmark; each hit is then verified word by word along its diagon
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from .common import body
 #: Offsets a mask looks at. Every window of 13 to 20 words of which at most a fifth is substituted holds a hit of one of
 #: these (tests/llm go through all patterns).
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3, 5, 6), (0, 2, 5, 9, 10, 11), (0, 1, 2, 6, 8, 9))
+#: Words up to which an item has masks of its own size.
+SHORT = 12
 #: Words of the window that must agree, or all words of a shorter item.
 WINDOW = 20
 #: Percent of the window's words that must be equal.
@@ -25,17 +28,32 @@ AGREE = 80
 SEEDS_AT_ONCE = 1_000_000
 
 
+def short_masks(size: int) -> tuple[tuple[int, ...], ...]:
+    """Offsets in an item of ``size`` words, fewer than the masks above need: of all substitutions that ``AGREE`` allows, each
+    leaves the words of some mask alone. Words are dealt to one group more than twice the substitutions; a mask ignores as
+    many groups as there may be substitutions."""
+    allowed = size - -(-size * AGREE // 100)
+    groups = [range(g, size, min(size, 2 * allowed + 1)) for g in range(2 * allowed + 1)] if allowed else []
+    ignored = combinations(groups, allowed) if allowed else [()]
+    return tuple(tuple(k for k in range(size) if not any(k in g for g in some)) for some in ignored)
+
+
 def words(text: Column) -> Column:
     """Hashes of the lower-cased words: runs of letters and digits."""
     parts = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: str, place: str) -> Column:
-    """The hash under each mask at one place; null where the mask reaches beyond the end."""
-    reach = lambda m: F.col(place) + m[-1] < F.size(hashes)
-    looked = lambda m: F.xxhash64(F.lit(len(m) * 64 + m[-1]), *[F.get(F.col(hashes), F.col(place) + o) for o in m])
-    return F.array(*[F.struct(F.when(reach(m), looked(m)).alias("seed"), F.lit(m[-1] + 1).alias("span")) for m in MASKS])
+def _seeds(hashes: str, place: str, short: list[int], item: bool = False) -> Column:
+    """The hash under each mask at one place; null where the mask reaches beyond the end. Masks of short items (``short``:
+    their sizes) hold for whole items only."""
+    at, size = F.col(place), F.size(hashes)
+    looked = lambda m, k: F.xxhash64(F.lit(k), *[F.get(F.col(hashes), at + o) for o in m])
+    each = [(m, m[-1] + 1, len(m) * 64 + m[-1], (size > SHORT) & (at + m[-1] < size) if item else at + m[-1] < size) for m in MASKS]
+    for n in short:
+        whole = (size == n) & (at == 0) if item else at + n <= size
+        each += [(m, n, -(n * 64 + k), whole) for k, m in enumerate(short_masks(n))]
+    return F.array(*[F.struct(F.when(holds, looked(m, k)).alias("seed"), F.lit(span).alias("span")) for m, span, k, holds in each])
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -44,9 +62,14 @@ def items(benchmark: DataFrame) -> DataFrame:
     return each.where(F.size("b") > 0).groupBy("b").agg(F.min("item_id").alias("item_id")).select("item_id", "b")
 
 
-def item_seeds(tests: DataFrame) -> DataFrame:
+def short_sizes(tests: DataFrame) -> list[int]:
+    """The sizes of the items of at most ``SHORT`` words; only masks for these are looked up."""
+    return sorted(r["n"] for r in tests.where(F.size("b") <= SHORT).select(F.size("b").alias("n")).distinct().collect())  # twelve at most
+
+
+def item_seeds(tests: DataFrame, short: list[int]) -> DataFrame:
     placed = tests.select("item_id", "b", F.posexplode("b").alias("item_at", "word"))
-    each = placed.select("item_id", "item_at", F.explode(_seeds("b", "item_at")).alias("s")).select("item_id", "item_at", "s.seed", "s.span")
+    each = placed.select("item_id", "item_at", F.explode(_seeds("b", "item_at", short, item=True)).alias("s")).select("item_id", "item_at", "s.seed", "s.span")
     return each.where(F.col("seed").isNotNull()).distinct()
 
 
@@ -68,16 +91,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A pair counts when ``WINDOW`` consecutive words (all of a shorter item) agree in at least ``AGREE`` percent, position by
     position, anywhere in the whole text. Copies within the benchmark are reported once, under the smallest id. Null and
-    empty texts and items without words match nothing; items under 13 words are found only if the masks that fit them hit.
+    empty texts and items without words match nothing.
     Rows equal in id and text are reported once. Empty tables give no rows. Only doc_id, text and item_id, text are read.
     """
     tests = items(benchmark)
-    seeds = item_seeds(tests)
+    short = short_sizes(tests)
+    seeds = item_seeds(tests, short)
     blocks = max(1, -(-seeds.count() // SEEDS_AT_ONCE))
     text = body(docs)
     placed = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("digest"), words(text).alias("w"))
     # The words stay with every place by reference until a seed is found, within one generated loop.
-    looked = placed.select("doc_id", "digest", "w", F.posexplode("w").alias("doc_at", "word")).select("doc_id", "digest", "w", "doc_at", F.explode(_seeds("w", "doc_at")).alias("s"))
+    looked = placed.select("doc_id", "digest", "w", F.posexplode("w").alias("doc_at", "word")).select("doc_id", "digest", "w", "doc_at", F.explode(_seeds("w", "doc_at", short)).alias("s"))
     looked = looked.select("doc_id", "digest", "w", "doc_at", F.col("s.seed").alias("looked"))
     own = lambda k: seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k)
     hits = reduce(DataFrame.unionAll, [looked.join(F.broadcast(own(k)), F.col("looked") == F.col("seed")) for k in range(blocks)])  # at most about SEEDS_AT_ONCE rows each

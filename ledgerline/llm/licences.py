@@ -170,7 +170,8 @@ def prose(docs: DataFrame, sample: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the templates and their edits, and on ``sample`` paragraphs of the corpus without licence wording, as "none".
+    """Fit on the templates and their edits, and on ``sample`` paragraphs of the corpus without licence wording, as "none";
+    a table with fewer, or none, is made up to that number by paragraphs without features.
 
     Grams that ordinary paragraphs of the sample contain tell nothing and are no features, so few paragraphs pass the screen.
     """
@@ -183,9 +184,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     vocabulary = [g for g in candidates if g not in common]
     given = spark.createDataFrame([(float(classes.index(k)), held, grams_of(t)) for t, k, held in notices], "label double, held boolean, g array<string>")
     none = ordinary.orderBy("h").select(F.lit(0.0).alias("label"), (F.pmod("h", F.lit(5)) == 4).alias("held"), "g")
+    # Where the corpus has fewer ordinary paragraphs, some without any feature stand in: most are like that.
+    short = spark.range(max(0, sample - ordinary.count())).select(F.lit(0.0).alias("label"), (F.col("id") % 5 == 4).alias("held"), F.array().cast("array<string>").alias("g"))
     features = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="features").setBinary(True)
     # A bounded table in one partition: sums have one order, so every run finds the same weights.
-    rows = written(features.transform(given.unionByName(none)).select("features", "label", "held").coalesce(1), "licence-examples").coalesce(1)
+    rows = written(features.transform(given.unionByName(none).unionByName(short)).select("features", "label", "held").coalesce(1), "licence-examples").coalesce(1)
     model = LogisticRegression(family="multinomial", regParam=2e-3, elasticNetParam=0.5, maxIter=60, standardization=False).fit(rows.where(~F.col("held")))
     weights = model.coefficientMatrix.toArray()
     kept = {g: tuple(float(x) for x in weights[:, j]) for j, g in enumerate(vocabulary) if weights[:, j].any()}

@@ -3,14 +3,13 @@
 A run of consecutive lines with at least ``MIN_WORDS`` words that stood earlier in the corpus is deleted, line by line; the
 first one stays. Documents are ordered by id, lines by place. Lines without words are passed over.
 
-For every line the shortest run of ``MIN_WORDS`` words from it on is a window. Inside, shorter runs (grams) have hashes; the
+For every line the shortest run of ``MIN_WORDS`` words from it on is a window, and the shortest one up to it. Inside, shorter runs (grams) have hashes; the
 smallest one in a window is its fingerprint, a choice that depends on the window's lines alone, so equal windows have equal
 fingerprints wherever they stand. Only fingerprints found at two places or more lead on: the match is extended both ways to
 the windows around it, whose whole contents are compared, and overlapping repeated windows join to runs of any length.
 
-Windows that start at a line leave the last lines of a repeated run when none of them ends on the run's last line; op6's SQL
-is stated so. With ``both_ways`` the shortest run that ends at a line is a window too: then every line of a repeated run of
-``MIN_WORDS`` words or more lies in a repeated window, and the whole run goes. The pipeline asks for that.
+Every line of a repeated run of ``MIN_WORDS`` words or more lies in a repeated window, so maximal runs go whole, up to both
+their ends.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ def _run_starts(before: np.ndarray, least: int) -> np.ndarray:
     return np.searchsorted(before, before[1:] - least, side="right") - 1
 
 
-def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, both_ways: bool = False) -> list[tuple[int, int, int, bytes]]:
+def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> list[tuple[int, int, int, bytes]]:
     """(first line, last line, fingerprint, 128-bit content hash) of every window; lines are numbered in the whole text.
 
     Whether a run is a window follows from its own lines, so all its copies are windows. A run that is one in both ways comes once.
@@ -55,8 +54,7 @@ def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS,
     gram_end, window_end = _run_ends(before, gram_words), _run_ends(before, min_words)
     grams = [xxhash.xxh64_intdigest(b"".join(hashes[i : gram_end[i] + 1])) >> 1 if gram_end[i] < n else 0 for i in range(n)]
     bounds = [(i, int(j)) for i, j in enumerate(window_end) if j < n]
-    if both_ways:
-        bounds += [(int(i), j) for j, i in enumerate(_run_starts(before, min_words)) if i >= 0 and window_end[i] != j]
+    bounds += [(int(i), j) for j, i in enumerate(_run_starts(before, min_words)) if i >= 0 and window_end[i] != j]
     found = []
     for i, j in bounds:
         inside = min(grams[s] for s in range(i, j + 1) if gram_end[s] <= j)
@@ -64,12 +62,12 @@ def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS,
     return found
 
 
-def placed_windows(docs: DataFrame, min_words: int, gram_words: int, both_ways: bool = False) -> DataFrame:
+def placed_windows(docs: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     """doc_id, digest and the windows of every whole text."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, k, g, *w) for d, k, g, text in zip(batch["doc_id"], batch["known"], batch["digest"], batch["text"]) for w in windows(text, min_words, gram_words, both_ways)]
+            rows = [(d, k, g, *w) for d, k, g, text in zip(batch["doc_id"], batch["known"], batch["digest"], batch["text"]) for w in windows(text, min_words, gram_words)]
             yield pd.DataFrame(rows, columns=["doc_id", "known", "digest", "first", "last", "fingerprint", "content"])
 
     text = body(docs)
@@ -81,12 +79,12 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"), F.col("first"), F.col("last"))
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, both_ways: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """doc_id, digest, deleted (array of first and last line): the repeated windows of every document that has some.
 
     Every step is a sum per hash, joined back; no two occurrences are ever paired with each other.
     """
-    placed = written(placed_windows(docs, min_words, gram_words, both_ways), "line-windows")
+    placed = written(placed_windows(docs, min_words, gram_words), "line-windows")
     again = placed.groupBy("fingerprint").agg(F.min(_place()).alias("a"), F.max(_place()).alias("z")).where("a != z").select("fingerprint")
     near = placed.join(again, "fingerprint", "left_semi")
     origin = near.groupBy("content").agg(F.min(_place()).alias("origin"), F.max(_place()).alias("z")).where("origin != z").select("content", "origin")
@@ -108,14 +106,14 @@ def _cut(text: str, spans) -> tuple[str, int, int]:
     return "\n".join(line for line, s in zip(lines, stays) if s), len(lines), int((~stays).sum())
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, both_ways: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """``docs`` with the shortened text, and n_lines, n_deleted_lines.
 
     All texts are compared whole. A null text stays null (no lines); a text all of whose lines stood earlier becomes empty.
     Rows equal in id and text are one document and are cut alike. Null ids come last in the order. Columns named as the two
     counts are replaced; all others stay. An empty table stays empty.
     """
-    spans = repeats(docs, min_words, gram_words, both_ways).withColumnsRenamed({"doc_id": "span_doc_id", "digest": "span_digest"})
+    spans = repeats(docs, min_words, gram_words).withColumnsRenamed({"doc_id": "span_doc_id", "digest": "span_digest"})
     text = body(docs)
     other = [c for c in docs.columns if c not in ("n_lines", "n_deleted_lines")]
     row = docs.select(F.struct(*[docs[c] for c in other]).alias("row"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(text, F.octet_length(text)).alias("own_digest"))

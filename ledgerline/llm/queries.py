@@ -48,11 +48,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
-#: The same by lists: j is the end of the shortest run of 50 words from line i on, and a window's content is compared as text.
+#: The same by lists: j is the end of the shortest run of 50 words from line i on, or its start where it ends on line i; a
+#: window's content is compared as text.
 _LINES_SQL = r"""
 WITH line AS (
     SELECT doc_id, k - 1 AS k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL)
 ), worded AS (
     SELECT doc_id, k, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, words,
            row_number() OVER w AS i, sum(words) OVER w AS upto
@@ -60,9 +61,11 @@ WITH line AS (
 ), doc AS (
     SELECT doc_id, list(line ORDER BY i) AS lines, list(k ORDER BY i) AS ks, list(upto ORDER BY i) AS sums FROM worded GROUP BY 1
 ), ended AS (
-    SELECT doc_id, k AS first, i, lines, ks, list_position(list_transform(sums, lambda x: x >= upto - words + 50), true) AS j FROM worded JOIN doc USING (doc_id)
+    SELECT doc_id, i, lines, ks, list_position(list_transform(sums, lambda x: x >= upto - words + 50), true) AS j FROM worded JOIN doc USING (doc_id)
+    UNION
+    SELECT doc_id, len(list_filter(sums, lambda x: x <= upto - 50)) + CASE WHEN list_contains(sums, upto - 50) OR upto = 50 THEN 1 ELSE 0 END, lines, ks, i FROM worded JOIN doc USING (doc_id) WHERE upto >= 50
 ), win AS (
-    SELECT doc_id, first, ks[j] AS last, array_to_string(lines[i:j], chr(10)) AS content FROM ended WHERE j > 0
+    SELECT doc_id, ks[i] AS first, ks[j] AS last, array_to_string(lines[i:j], chr(10)) AS content FROM ended WHERE j > 0
 ), origin AS (
     SELECT content, min(struct_pack(doc_id := doc_id, first := first, last := last)) AS o FROM win GROUP BY 1
 ), later AS (
@@ -74,6 +77,7 @@ WITH line AS (
 SELECT doc_id, count(*) AS n_lines, count(gone.k) AS n_deleted_lines,
        md5(coalesce(string_agg(line, chr(10) ORDER BY line.k) FILTER (gone.k IS NULL), '')) AS text_md5
 FROM line LEFT JOIN gone USING (doc_id, k) GROUP BY 1
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 

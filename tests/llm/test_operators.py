@@ -190,9 +190,48 @@ def test_secrets_equal_plain_expressions(spark, odd, sf):
     assert got == want and any(s for _, s in got)
 
 
-def test_trigram_queries_follow_the_literals():
+def test_trigram_queries_follow_the_patterns():
     q = secret_scan.queries()
     assert set(q) == {"assign", "access"} and q["access"] == [{(False, "AKI"), (False, "KIA")}] and len(q["assign"]) == 6
+    assert {(True, g) for g in ("api", "pik", "ike", "key")} in q["assign"] and {(True, g) for g in ("tok", "oke", "ken")} in q["assign"]
+    grams = lambda p: {frozenset(g for _, g in a) for a in secret_scan.trigram_query(p)}
+    assert grams("ab(c|d)e?f") == {frozenset(x) for x in (("abc", "bce", "cef"), ("abc", "bcf"), ("abd", "bde", "def"), ("abd", "bdf"))}
+    assert grams("gh[op]_+xyz") == {frozenset(("gho", "ho_", "xyz")), frozenset(("ghp", "hp_", "xyz"))}
+    assert grams("(abc)?def") == {frozenset(("def",))} and grams("abc|[0-9]+") == {frozenset()} and grams("(abc){2,}") == {frozenset(("abc", "bca", "cab"))}
+
+
+def test_a_new_rule_needs_its_pattern_only(spark):
+    """Random patterns: the query holds on every text with a match, and the scan equals the plain expression."""
+    r = random.Random(21)
+
+    def pattern(depth):
+        kind = r.randrange(7 if depth else 2)
+        if kind < 2:
+            return "".join(r.choice("abkX_") for _ in range(r.randrange(1, 5)))
+        if kind == 2:
+            return f"(?:{pattern(depth - 1)}|{pattern(depth - 1)})"
+        if kind == 3:
+            return f"(?:{pattern(depth - 1)}){r.choice(['?', '+', '{2}', '{1,3}', '*'])}"
+        if kind == 4:
+            return r.choice(["[ab]", "[^a]", "[a-k]", "(?i:ab)", "(?i:kX_a)"])
+        return pattern(depth - 1) + pattern(depth - 1)
+
+    texts = [" ".join("".join(r.choice("abkXAB_") for _ in range(r.randrange(3, 12))) for _ in range(6)) for _ in range(300)] + ["", "abXk" * 500]
+    matched = queried = 0
+    for _ in range(400):
+        p = pattern(3)
+        query, plain = secret_scan.trigram_query(p), re.compile(p, re.A)
+        for t in texts:
+            if plain.search(t):
+                assert any(all(g in (t.lower() if fold else t) for fold, g in a) for a in query), (p, t)
+                matched += 1
+        queried += all(query)
+    assert matched > 1000 and queried > 50
+    rules = tuple(secret_scan.Rule(f"k{i}", p) for i, p in enumerate(["(?:ab|kX)_?[ab]+k", "(?i:xk)+_a", "[abk]{9,}", *[f"{a}{b}[X_]{c}" for a in "abkA" for b in "ab_B" for c in "aXkb"]]))
+    assert len(secret_scan.vocabulary(rules)) > 63
+    got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules).collect()
+    want = {i: sorted((m.start(), k, m.end()) for k, rule in enumerate(rules) for m in re.finditer(rule.pattern, t, re.A)) for i, t in enumerate(texts)}
+    assert {x["doc_id"]: [(s["start"], int(s["kind"][1:]), s["end"]) for s in x["spans"]] for x in got} == want
 
 
 # Packing and token files
@@ -290,24 +329,22 @@ def test_long_documents_take_several_frames(tmp_path, monkeypatch):
 # Lines
 
 def plain_dedup(data, least=50):
-    """Deleted line numbers per row index, by going through all windows in order."""
+    """Texts by row index, by going through all windows in order: from every line on, and up to every line."""
     seen, out = {}, {}
     order = sorted(range(len(data)), key=lambda i: (data[i][0] is None, data[i][0] or 0, data[i][2]))
     for i in order:
         lines = (data[i][1] or "").split("\n")
         real = [(k, s.strip(" \t\n\x0b\x0c\r")) for k, s in enumerate(lines) if s.strip(" \t\n\x0b\x0c\r")]
-        gone = set()
+        size = [len(s.encode().split()) for _, s in real]
+        wins = set()
         for a in range(len(real)):
-            n = 0
-            for b in range(a, len(real)):
-                n += len(real[b][1].encode().split())
-                if n >= least:
-                    key = tuple(s for _, s in real[a : b + 1])
-                    me = (data[i][0], data[i][2])
-                    own, first, last = seen.setdefault(key, (me, real[a][0], real[b][0]))
-                    if (own, first) != (me, real[a][0]):
-                        gone |= set(range(real[a][0] if own != me else max(real[a][0], last + 1), real[b][0] + 1))
-                    break
+            wins |= {(a, b) for b in range(a, len(real)) if sum(size[a : b + 1]) >= least and sum(size[a:b]) < least}
+            wins |= {(b, a) for b in range(a + 1) if sum(size[b : a + 1]) >= least and sum(size[b + 1 : a + 1]) < least}
+        gone, me = set(), (data[i][0], data[i][2])
+        for a, b in sorted(wins):
+            own, first, last = seen.setdefault(tuple(s for _, s in real[a : b + 1]), (me, real[a][0], real[b][0]))
+            if (own, first) != (me, real[a][0]):
+                gone |= set(range(real[a][0] if own != me else max(real[a][0], last + 1), real[b][0] + 1))
         out[i] = "\n".join(s for k, s in enumerate(lines) if k not in gone) if data[i][1] is not None else None
     return out
 
@@ -351,9 +388,9 @@ def test_runs_go_up_to_both_ends(spark):
         a, b = sorted(r.sample(range(9), 2))
         data.append((d, "\n".join([prose(500 + d, 7), *run[a:b], prose(600 + d, 7)])))
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    got = dict(rows(line_dedup.dedup(docs, both_ways=True), "doc_id", "text"))
+    got = dict(rows(line_dedup.dedup(docs), "doc_id", "text"))
     assert got == plain_runs(data)
-    assert got[1] == "\n".join([prose(402, 9), prose(403, 9)]) and dict(rows(line_dedup.dedup(docs), "doc_id", "text"))[1] != got[1]
+    assert got[1] == "\n".join([prose(402, 9), prose(403, 9)])
 
 
 # Token counts
@@ -391,6 +428,29 @@ def test_masks_find_every_allowed_substitution():
             assert any(not h & bad for h in hits), (size, changed)
 
 
+def test_short_masks_find_every_allowed_substitution():
+    for size in range(1, 13):
+        masks = decontaminate.short_masks(size)
+        allowed = size - math.ceil(size * decontaminate.AGREE / 100)
+        assert all(max(m) < size and len(m) >= (size + 1) // 2 for m in masks)
+        for changed in combinations(range(size), allowed):
+            assert any(not set(m) & set(changed) for m in masks), (size, changed)
+
+
+def test_short_items_equal_brute_force(spark):
+    r = random.Random(9)
+    items = [(i, prose(900 + i, i)) for i in range(1, 13)] + [(20, prose(950, 8)), (21, prose(951, 30))]
+    docs = []
+    for k in range(120):
+        own = items[r.randrange(len(items))][1].split()
+        for _ in range(r.randrange(0, 4)):
+            own[r.randrange(len(own))] = "changed"
+        docs.append((k, f"{prose(100 + k, r.randrange(0, 30))} {' '.join(own)} {prose(200 + k, r.randrange(0, 30))}"))
+    docs += [(500, items[5][1]), (501, items[11][1]), (502, None)]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_overlaps(docs, items) and len({i for _, i in got}) == len(items)
+
+
 def plain_overlaps(docs, items):
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     first = {}
@@ -545,6 +605,13 @@ def test_licences_are_found_confirmed_and_told_apart(spark, odd, model, sf):
     assert licences.scan(odd, model).count() == 0 and licences.scan(odd.limit(0), model).count() == 0
 
 
+def test_licences_in_empty_and_tiny_tables(spark, empty):
+    assert licences.scan(empty).count() == 0
+    tiny = spark.createDataFrame([(1, "Released under the MIT License."), (2, prose(1, 30)), (3, None), (4, "Licensed under the Zebrafish License.")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licences.scan(tiny).collect()}
+    assert got == {1: ("MIT", True), 4: ("unknown", False)}
+
+
 def test_the_screen_loses_nothing(spark, model, sf):
     """Every paragraph that the weights do not call "none" passes the screen."""
     none = model.classes.index("none")
