@@ -184,7 +184,7 @@ def _numbered(grams: Column, number: Column) -> Column:
 
 
 def candidates(lists: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, digest and one flag per indexed rule: the documents on which the rule's Boolean query holds.
+    """doc_id, digest, may (array of kinds): the documents on which the Boolean query of some rule holds, and those rules.
 
     Each document's postings meet as the bits of numbers (partial sums before the shuffle), and the query is a mask on them.
     """
@@ -197,10 +197,10 @@ def candidates(lists: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         masks = {k: sum(1 << place[g] % MASK for g in alternative if place[g] // MASK == k) for k in words}
         return reduce(and_, [F.col(f"bits{k}").bitwiseAND(F.lit(m)) == m for k, m in masks.items() if m])
 
-    flags = {kind: reduce(or_, [held(a) for a in alternatives]) for kind, alternatives in queries(rules).items()}
-    if not flags:
-        return bits.where(F.lit(False)).select("doc_id", "digest")
-    return bits.where(reduce(or_, flags.values())).select("doc_id", "digest", *[f.alias(f"may_{k}") for k, f in flags.items()])
+    # One array rather than a flag per rule: the optimizer's constraints over many flags grow exponentially.
+    hold = [F.when(reduce(or_, [held(a) for a in alternatives]), F.lit(kind)) for kind, alternatives in queries(rules).items()]
+    may = F.array_compact(F.array(*hold).cast("array<string>"))
+    return bits.select("doc_id", "digest", may.alias("may")).where(F.size("may") > 0)
 
 
 def found(text: Column, rule: Rule) -> Column:
@@ -241,7 +241,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     indexed = queries(rules)
     each = []
     for i, r in enumerate(rules):
-        asked = F.coalesce(F.col(f"may_{r.kind}"), F.lit(False)) if r.kind in indexed else F.col("text").rlike(r.pattern)
+        asked = F.coalesce(F.array_contains("may", r.kind), F.lit(False)) if r.kind in indexed else F.col("text").rlike(r.pattern)
         spans = F.when(asked, found(F.col("text"), r)).otherwise(none)
         each.append(_named(spans, i, r.kind))
     return joined.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))

@@ -232,6 +232,8 @@ def test_a_new_rule_needs_its_pattern_only(spark):
     got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules).collect()
     want = {i: sorted((m.start(), k, m.end()) for k, rule in enumerate(rules) for m in re.finditer(rule.pattern, t, re.A)) for i, t in enumerate(texts)}
     assert {x["doc_id"]: [(s["start"], int(s["kind"][1:]), s["end"]) for s in x["spans"]] for x in got} == want
+    alone = secret_scan.scan(spark.createDataFrame([(1, "a" * 40), (2, None)], "doc_id long, text string"), secret_scan.RULES[2:])  # no rule has a trigram
+    assert dict(rows(alone.select("doc_id", F.size("spans").alias("n")), "doc_id", "n")) == {1: 1, 2: 0}
 
 
 # Packing and token files
