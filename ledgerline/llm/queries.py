@@ -63,7 +63,7 @@ WITH line AS (
 ), ended AS (
     SELECT doc_id, i, lines, ks, list_position(list_transform(sums, lambda x: x >= upto - words + 50), true) AS j FROM worded JOIN doc USING (doc_id)
     UNION
-    SELECT doc_id, len(list_filter(sums, lambda x: x <= upto - 50)) + CASE WHEN list_contains(sums, upto - 50) OR upto = 50 THEN 1 ELSE 0 END, lines, ks, i FROM worded JOIN doc USING (doc_id) WHERE upto >= 50
+    SELECT doc_id, len(list_filter(sums, lambda x: x <= upto - 50)) + 1, lines, ks, i FROM worded JOIN doc USING (doc_id) WHERE upto >= 50
 ), win AS (
     SELECT doc_id, ks[i] AS first, ks[j] AS last, array_to_string(lines[i:j], chr(10)) AS content FROM ended WHERE j > 0
 ), origin AS (
