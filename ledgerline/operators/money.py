@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,28 +33,37 @@ def expected_npv(value, probability, recovery: float = 0.0) -> Column:
 
 
 def irr(flows: list, investment, low: float = -0.99, high: float = 10.0, steps: int = 100, margin: float = 0.01) -> Column:
-    """Rate at which the present value is zero, by halving an interval inside one expression.
+    """Rate at which the present value is zero, by halving an interval, for a batch of rows at once.
 
     A middle that is a root itself stays in the interval. NULL without a sign change, and for the meaningless root next to the lower bound.
     """
-    flows, investment = [col(x) for x in flows], col(investment)
-
-    def value(rate: Column) -> Column:
-        total = None
-        for t, x in enumerate(flows, start=1):
-            part = x / F.pow(1 + rate, F.lit(float(t)))
-            total = part if total is None else total + part
-        return total - investment
-
-    def halve(acc: Column, _: Column) -> Column:
-        middle = (acc["lo"] + acc["hi"]) / 2
-        inside = value(acc["lo"]) * value(middle) <= 0
-        return F.struct(F.when(inside, acc["lo"]).otherwise(middle).alias("lo"), F.when(inside, middle).otherwise(acc["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    brackets = value(F.lit(low)) * value(F.lit(high)) <= 0
-    return F.when(brackets, F.when(root > low + margin, root))
+
+    @F.pandas_udf("double")
+    def solved(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            paid, *gained = [c.to_numpy("float64", na_value=np.nan) for c in columns]
+            with np.errstate(all="ignore"):
+                yield pd.Series(_halved(gained, paid, low, high, steps, margin))
+
+    return solved(*[col(x).cast("double") for x in [investment, *flows]])
+
+
+def _halved(flows: list[np.ndarray], investment: np.ndarray, low: float, high: float, steps: int, margin: float) -> np.ndarray:
+    def value(rate: np.ndarray) -> np.ndarray:
+        return sum(x / np.power(1 + rate, float(t)) for t, x in enumerate(flows, start=1)) - investment
+
+    lo, hi = np.full(len(investment), low), np.full(len(investment), high)
+    at_lo = value(lo)
+    brackets = at_lo * value(hi) <= 0
+    for _ in range(steps):
+        middle = (lo + hi) / 2
+        if not ((middle != lo) & (middle != hi) & brackets).any():
+            break  # no number lies between the ends any more
+        at_middle = value(middle)
+        inside = at_lo * at_middle <= 0
+        lo, at_lo, hi = np.where(inside, lo, middle), np.where(inside, at_lo, at_middle), np.where(inside, middle, hi)
+    root = (lo + hi) / 2
+    return np.where(brackets & (root > low + margin), root, np.nan)
 
 
 def fund_decision(

@@ -469,3 +469,27 @@ def test_duplicates_and_overlap_with_a_heavy_key(spark):
     assert one(audit.duplicate_rows(df)).n_duplicates == 50
     got = {(r.left_table, r.right_table): r.n_shared for r in audit.entity_overlap({"x": (df, "k"), "y": (df.filter("k = 'a'"), "k"), "z": (df.limit(0), "k")}).collect()}
     assert got["x", "x"] == 2 and got["x", "y"] == 1 and got["x", "z"] == 0
+
+
+def test_irr_solves_batches_of_rows(spark):
+    """The halving runs over batches, not inside one expression per row; rates are those of plain halving."""
+    rows = [(float(k), 40.0 + k % 60, None if k % 50 == 7 else 30.0 - k % 80, 100.0 + k % 9) for k in range(400)]
+    got = spark.createDataFrame(rows, "k double, a double, b double, i double").select("k", "a", "b", "i", money.irr(["a", "b"], "i").alias("r"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+    def plain(a, b, i):
+        value = lambda r: a / (1 + r) + b / (1 + r) ** 2 - i
+        lo, hi = -0.99, 10.0
+        if value(lo) * value(hi) > 0:
+            return None
+        for _ in range(100):
+            middle = (lo + hi) / 2
+            lo, hi = (lo, middle) if value(lo) * value(middle) <= 0 else (middle, hi)
+        return (lo + hi) / 2 if (lo + hi) / 2 > -0.98 else None
+
+    want = {k: None if b is None else plain(a, b, i) for k, a, b, i in rows}
+    found = {r.k: r.r for r in got.collect()}
+    assert {k for k, v in want.items() if v is None} == {k for k, v in found.items() if v is None}
+    assert sum(v is not None for v in want.values()) > 100
+    assert all(found[k] == pytest.approx(v, abs=1e-9) for k, v in want.items() if v is not None)
