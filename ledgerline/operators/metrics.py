@@ -16,7 +16,7 @@ from pyspark.sql import Window
 from ..functions.bands import bin_left_closed, count_edges
 from ..functions.normal import erfc
 from ..functions.scalar import matched, safe_corr, safe_div, uniform, with_scalars
-from ..session import split_settings
+from ..session import materialise, split_settings
 from ..sources import specs
 from .ordered import average_ranks, causal, cumulate, group_quantiles, prior_count, quantiles
 
@@ -47,8 +47,12 @@ def ranking_metrics(
     """
     by = list(by or [])
     rows = pairs(df, label, score, *by, *([weight] if weight else []))
-    counts = score_counts(rows, by, weight)
-    placed = cumulate(counts, by, "score", {"tp": "pos", "fp": "neg"}, descending=True, probe=rows, bounded=bounded, total=total)
+    return ranked_counts(score_counts(rows, by, weight), by, rows, bounded, total)
+
+
+def ranked_counts(counts: DataFrame, by: list[str], probe: DataFrame | None = None, bounded: bool = False, total: int | None = None) -> DataFrame:
+    """The same metrics from the positives and negatives per group and distinct score."""
+    placed = cumulate(counts, by, "score", {"tp": "pos", "fp": "neg"}, descending=True, probe=probe, bounded=bounded, total=total)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     placed = matched(placed, totals, by) if by else with_scalars(placed, totals)
     pos, neg, tp, fp, p, n = (F.col(x).cast("double") for x in ("pos", "neg", "tp", "fp", "p", "n"))
@@ -353,21 +357,49 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, key: str, replicates: i
     small = n <= split_settings(df.sparkSession).min_rows
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = reps.withColumn("w", poisson_weight(uniform(key, "rep", seed))).filter("w > 0")
-    auc = ranking_metrics(drawn, "label", "score", ["rep"], weight="w", bounded=small).filter("roc_auc IS NOT NULL")
+    counts = materialise(score_counts(drawn, ["rep"], "w"), "replicates")  # drawn once, whatever reads the counts
+    auc = ranked_counts(counts, ["rep"], bounded=small).filter("roc_auc IS NOT NULL")
     spread = auc.agg(
         F.percentile("roc_auc", alpha / 2).alias("lower"), F.percentile("roc_auc", 1 - alpha / 2).alias("upper"),
         F.stddev_samp("roc_auc").alias("std"), F.count(F.lit(1)).alias("n_boot"))
     return with_scalars(ranking_metrics(rows, "label", "score", total=n).select(F.col("roc_auc").alias("point")), spread)
 
 
+#: Cells of the unit interval in which random numbers are counted before any is ordered.
+CELLS = 1 << 12
+
+
+def dealt_counts(reps: DataFrame, key: str, positives: int) -> DataFrame:
+    """Per ``rep`` and score: the rows (``pos``) among the first ``positives`` by (``u``, key), and the others (``neg``).
+
+    Random numbers are counted by cells; only those of the cell in which the last positive lies are ordered, as counts. Rows
+    equal in number and key count by score, the lowest first.
+    """
+    celled = reps.withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
+    upto = F.sum("c").over(Window.partitionBy("rep").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    cells = celled.groupBy("rep", "cell").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto)
+    edge = cells.where((F.col("upto") >= positives) & (F.col("upto") - F.col("c") < positives))
+    edge = materialise(edge.select("rep", F.col("cell").alias("edge"), (F.col("upto") - F.col("c")).alias("before")), "edges")  # one row per rep
+    marked = celled.join(F.broadcast(edge), "rep", "left").withColumn("cut", F.coalesce(F.col("cell") == F.col("edge"), F.lit(False)))
+    inside = lambda c: F.when(F.col("cut"), F.col(c))
+    grouped = marked.groupBy("rep", "before", "score", "cut", inside("u").alias("u"), inside(key).alias("at")).agg(
+        F.count(F.lit(1)).alias("c"), F.count_if(F.col("cell") < F.col("edge")).alias("sure"))
+    grouped = materialise(grouped, "dealt")
+    through = F.sum("c").over(Window.partitionBy("rep").orderBy("u", "at", "score").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = grouped.where("cut").withColumn("room", positives - F.col("before") - through + F.col("c"))
+    taken = F.least(F.greatest(F.col("room"), F.lit(0)), F.col("c"))
+    both = grouped.where("NOT cut").select("rep", "score", "c", "sure").unionByName(ordered.select("rep", "score", "c", taken.alias("sure")))
+    return both.groupBy("rep", "score").agg(F.sum("sure").alias("pos"), (F.sum("c") - F.sum("sure")).alias("neg"))
+
+
 def permutation_test(df: DataFrame, label: str, score: str, key: str, permutations: int = 200, seed: int = 42) -> DataFrame:
     """Chance of an AUC at least as large when the labels are dealt out at random, for a fixed score."""
     rows, n = spread_pairs(df, label, score, key)
     small = n <= split_settings(df.sparkSession).min_rows
     positives = int(rows.agg(F.count_if(F.col("label") > 0.5)).collect()[0][0])
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("u", uniform(key, "rep", seed))
-    dealt = causal(reps, ["rep"], ["u", key], {"at": prior_count()}, bounded=small).withColumn("dealt", (F.col("at") < positives).cast("double"))
-    null = ranking_metrics(dealt, "dealt", "score", ["rep"], bounded=small).select(F.col("roc_auc").alias("null_auc"))
+    counts = materialise(dealt_counts(reps, key, positives), "permutations")
+    null = ranked_counts(counts, ["rep"], bounded=small).select(F.col("roc_auc").alias("null_auc"))
     observed = ranking_metrics(rows, "label", "score", total=n).select(F.col("roc_auc").alias("observed"))
     both = with_scalars(null, observed)
     return both.groupBy("observed").agg(

@@ -493,3 +493,24 @@ def test_irr_solves_batches_of_rows(spark):
     assert {k for k, v in want.items() if v is None} == {k for k, v in found.items() if v is None}
     assert sum(v is not None for v in want.values()) > 100
     assert all(found[k] == pytest.approx(v, abs=1e-9) for k, v in want.items() if v is not None)
+
+
+def test_dealt_labels_equal_a_sort_of_all_rows(spark):
+    """Positives are dealt by counts per cell, not by ordering every replicate; equal numbers and keys share a cell."""
+    r = random.Random(3)
+    rows = [(k, None if k < 200 else k, float(r.randrange(20)), rep, 0.5 if k < 200 else r.random()) for rep in (1, 2, 3) for k in range(3000)]
+    reps = spark.createDataFrame(rows, "n int, key int, score double, rep int, u double")
+    for positives in (0, 7, 1450, 1550, 3000):
+        got = {(x.rep, x.score): (x.pos, x.neg) for x in metrics.dealt_counts(reps, "key", positives).collect()}
+        for rep in (1, 2, 3):
+            order = sorted((x for x in rows if x[3] == rep), key=lambda x: (x[4], x[1] is not None, x[1] or 0, x[2]))
+            for score in range(20):
+                n = sum(x[2] == score for x in order)
+                pos = sum(x[2] == score for x in order[:positives])
+                assert got[rep, float(score)] == (pos, n - pos)
+
+
+def test_bootstrap_draws_once(spark, monkeypatch):
+    df, seen = scores(spark, [0, 1] * 30, range(60)), []
+    monkeypatch.setattr(metrics, "materialise", lambda d, name: seen.append(name) or d)
+    assert one(metrics.bootstrap_auc(df, "y", "s", "id", replicates=5)).n_boot == 5 and seen == ["replicates"]
