@@ -16,8 +16,13 @@ from __future__ import annotations
 
 import math
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from heapq import heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -257,14 +262,13 @@ def causal(
         return _one_window(df, by, order, features, folded if blocks else {})
 
     plain = df.select(*[_plain(f, Window.partitionBy(*by).orderBy(*order)).alias(n) for n, f in features.items()]).schema
-    medians = {n: f for n, f in features.items() if f.kind in ("expanding", "running") and f.stat == "median"}
+    medians = {n: f for n, f in features.items() if _is_median(f)}
     rest = {n: f for n, f in features.items() if n not in folded and n not in medians}
-    counts = {f"_m_{n}": Feature(f.kind, f.column, 0, "count") for n, f in medians.items()}
-    done = _sliced(cut.hot(df), by, order, rest | counts).select(*df.columns, *rest, *counts, "_pos")
+    done = _sliced(cut.hot(df), by, order, rest).select(*df.columns, *rest, "_pos", "_slice")
     if folded:
         done = _in_blocks(done, by, order, folded)
     if medians:
-        done = _prefix_medians(done, by, medians)
+        done = _sliced_medians(done, by, order, medians)
     done = done.select(*df.columns, *[F.col(n).cast(plain[n].dataType).alias(n) for n in features])  # one type at any size
     cold = cut.cold(df)
     if cold is None:
@@ -275,9 +279,12 @@ def causal(
 def _one_window(df: DataFrame, by: list[str], order: list[str], features: dict[str, Feature], folded: dict[str, Feature]) -> DataFrame:
     """Every group in one window, but for the features in ``folded``."""
     window = Window.partitionBy(*by).orderBy(*order)
-    rest = {n: f for n, f in features.items() if n not in folded} | ({"_pos": prior_count()} if folded else {})
+    medians = {n: f for n, f in features.items() if _is_median(f)}
+    rest = {n: f for n, f in features.items() if n not in folded and n not in medians} | ({"_pos": prior_count()} if folded else {})
     out = df.select("*", *[_plain(f, window).alias(n) for n, f in rest.items()])
-    return _in_blocks(out, by, order, folded).select(*df.columns, *features) if folded else out
+    if folded:
+        out = _in_blocks(out, by, order, folded)
+    return (_medians(out, by, order, medians) if medians else out).select(*df.columns, *features)
 
 
 def _depends_on_order(df: DataFrame, feature: Feature) -> bool:
@@ -313,57 +320,170 @@ def _in_blocks(df: DataFrame, by: list[str], order: list[str], features: dict[st
     return both.select("*", *computed)
 
 
-#: Bits of a value's rank decided per step, and so running counts per step.
-DIGIT_BITS = 4
+def _is_median(feature: Feature) -> bool:
+    return feature.kind in ("expanding", "running") and feature.stat == "median"
 
 
-def _prefix_medians(hot: DataFrame, by: list[str], features: dict[str, Feature]) -> DataFrame:
-    """Medians of all rows up to each row, found digit by digit in a tree over the values' ranks.
+def _medians(df: DataFrame, by: list[str], order: list[str], features: dict[str, Feature], earlier: DataFrame | None = None) -> DataFrame:
+    """Medians of all rows up to each row, in one pass over the ordered rows of every group.
 
-    A value's code is its rank in the group, written in digits of ``DIGIT_BITS`` bits.  A row asks for
-    one or two order statistics of its prefix; in every step it stands at a node, the leading digits
-    decided so far, and running counts of the next digit over the rows of that node, in their order,
-    tell the digit and how many to skip.  The counts come from ``causal`` itself, so a node that holds
-    most of a group is cut again, and no group is ever in one task.  ``hot`` has ``_pos`` and the count
-    of every prefix as ``_m_<name>``.
+    ``earlier`` holds what a group needs to know of rows that are not in it; see ``_middle_of_earlier``.
     """
-    hot = materialise(hot.withColumnRenamed("_pos", "_row"), "medians")  # steps number rows of their own
-    for name, feature in features.items():
-        value = F.col(feature.column).cast("double")
-        ranked = average_ranks(hot.select(*by, "_row", value.alias("_v")), by, {"_rank": "_v"}, pct=False).where("_v IS NOT NULL")
-        coded = materialise(ranked.select(*by, "_row", "_v", (F.col("_rank") * 2).cast("bigint").alias("_code")), "median-codes")
-        most = coded.agg(F.max("_code")).collect()[0][0] or 0
-        steps = max(-(-int(most).bit_length() // DIGIT_BITS), 1)
-        digits = range(1 << DIGIT_BITS)
-        # Rows stand at odd places; a row asks from just before or just after its own.
-        after = 2 if feature.kind == "running" else 0
-        wanted = F.explode(F.array_distinct(F.array(*[F.floor(x / 2).cast("bigint") for x in (F.col("_m") - 1, F.col("_m"))])))
-        asking = hot.where(F.col(f"_m_{name}") > 0).select(*by, "_row", F.col(f"_m_{name}").alias("_m"))
-        asking = asking.select(*by, "_row", wanted.alias("_k")).withColumns({"_which": F.col("_k"), "_node": F.lit(0).cast("bigint")})
-        for step in range(steps - 1, -1, -1):
-            shift = DIGIT_BITS * step
-            no = F.lit(None).cast("bigint")
-            there = coded.select(
-                *by, F.shiftright("_code", shift + DIGIT_BITS).alias("_node"), (F.col("_row") * 2 + 1).alias("_at"), F.lit(-1).cast("bigint").alias("_which"),
-                F.shiftright("_code", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)).alias("_digit"), no.alias("_k"), F.col("_row"))
-            asks = asking.select(*by, "_node", (F.col("_row") * 2 + after).alias("_at"), "_which", no.alias("_digit"), "_k", "_row")
-            both = there.unionByName(asks).withColumns({f"_b{d}": F.coalesce((F.col("_digit") == d).cast("bigint"), F.lit(0)) for d in digits})
-            counted = causal(both, [*by, "_node"], ["_at", "_which"], {f"_c{d}": running(f"_b{d}", "sum") for d in digits}).where("_k IS NOT NULL")
-            below = [F.lit(0).cast("bigint")]
-            for d in digits:
-                below.append(below[-1] + F.col(f"_c{d}"))
-            digit = F.coalesce(*[F.when(below[d + 1] > F.col("_k"), d) for d in digits]).cast("bigint")
-            skipped = F.element_at(F.array(*below[:-1]), (F.col("_d") + 1).cast("int"))
-            asking = materialise(
-                counted.withColumn("_d", digit)
-                .select(*by, "_row", "_which", (F.col("_k") - skipped).alias("_k"), (F.shiftleft("_node", DIGIT_BITS) + F.col("_d")).alias("_node")), "median-steps")
-        values = coded.groupBy(*by, F.col("_code").alias("_node")).agg(F.min("_v").alias("_v"))
-        found = matched(asking, values, [*by, "_node"]).groupBy(*by, "_row").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        middle = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") * 0.5 + F.col("_high") * 0.5)
-        hot = matched(hot, found.select(*by, "_row", middle.alias(name)), [*by, "_row"], "left")
-        if feature.min_periods > 1:
-            hot = hot.withColumn(name, F.when(F.col(f"_m_{name}") >= feature.min_periods, F.col(name)))
-    return hot
+    columns = sorted({f.column for f in features.values()})
+    rows = df.withColumns({f"_v{i}": F.col(c).cast("double") for i, c in enumerate(columns)}).withColumn("_own", F.lit(True))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("_own", *order)))
+    added = [T.StructField(n, T.DoubleType()) for n in features]
+    wanted = [(n, columns.index(f.column), f.kind == "running", f.min_periods) for n, f in features.items()]
+    kept, names, width, sliced = list(df.columns), list(features), len(columns), earlier is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middles = [Middle() for _ in range(width)]
+        for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))
+            own = get("_own").to_numpy(zero_copy_only=False)
+            first = (get("_at").to_numpy(zero_copy_only=False) == 1).tolist()
+            found = []
+            for i, middle in enumerate(middles):
+                base = [None] * len(own)
+                if sliced:
+                    base = list(zip(*[get(c).to_pylist() for c in ("_which", "_count", "_prior", "_least", "_most", "_skip")]))
+                    base = [None if mine else b for mine, b in zip(own.tolist(), base)]
+                found.append(middle.follow(ordered_keys(get(f"_v{i}")), first, base, i))
+            computed = []
+            for _, i, after, least in wanted:
+                value, n = found[i][after]
+                computed.append(pa.array(value[own], pa.float64(), mask=(n < max(least, 1))[own]))
+            rest = batch.select(kept).filter(pa.array(own)) if sliced else batch.select(kept)
+            yield pa.RecordBatch.from_arrays([*rest.columns, *computed], names=[*kept, *names])
+
+    return rows.sortWithinPartitions(*by, "_at").mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+
+
+def ordered_keys(values: pa.Array) -> list[int | None]:
+    """Integers in the order of the doubles, NaN last; None for a null."""
+    keys = _flipped(np.where(np.isnan(x := values.to_numpy(zero_copy_only=False)), np.nan, x + 0.0).view(np.int64)).astype(object)
+    keys[~values.is_valid().to_numpy(zero_copy_only=False)] = None
+    return keys.tolist()
+
+
+def _flipped(bits: np.ndarray) -> np.ndarray:
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
+class Middle:
+    """The two values in the middle of a growing multiset: a heap of its lower half and one of its upper half.
+
+    Values so far out that they cannot get to the middle may be left out and count as ``below`` or ``above`` only.
+    """
+
+    def __init__(self):
+        self.start()
+
+    def start(self, values: list[int] | None = None, prior: int = 0, below: int = 0):
+        """``values``, sorted, are the ``prior`` earlier ones without ``below`` smallest and some of the largest."""
+        at = (prior + 1) // 2 - below
+        self.low, self.high = [-x for x in reversed((values or [])[:at])], (values or [])[at:]
+        self.n_low, self.n_high, self.waiting = (prior + 1) // 2, prior // 2, []
+
+    def take_waiting(self):
+        (_, _, prior, least, most, skip), now, values = self.waiting[0][1], self.waiting[0][1][5], []
+        for key, (_, count, *_) in sorted(self.waiting):
+            values += [key] * max(min(now + count, most + 1) - max(now, least), 0)
+            now += count
+        self.start(values, prior, least)
+
+    def follow(self, keys: list, first: list[bool], base: list, which: int) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
+        """Median and number of values before (False) and after (True) each row; ``first`` starts a group.
+
+        A row with a ``base`` is an earlier value with its count, if it is one of this column.
+        """
+        size = len(keys)
+        lows, highs, counts = ([0] * size, [0] * size), ([0] * size, [0] * size), ([0] * size, [0] * size)
+        for k, (x, new, earlier) in enumerate(zip(keys, first, base)):
+            if new:
+                self.start()
+            if earlier is not None:
+                if earlier[0] == which:
+                    self.waiting.append((x, earlier))
+                continue
+            if self.waiting:
+                self.take_waiting()
+            for after in (0, 1):
+                if after and x is not None:
+                    self.add(x)
+                if n := self.n_low + self.n_high:
+                    lows[after][k] = -self.low[0]
+                    highs[after][k] = -self.low[0] if self.n_low > self.n_high else self.high[0]
+                    counts[after][k] = n
+        out = {}
+        for after in (0, 1):
+            low, high = (_flipped(np.array(x[after], np.int64)).view(np.float64) for x in (lows, highs))
+            with np.errstate(all="ignore"):
+                out[bool(after)] = np.where(low == high, low, low * 0.5 + high * 0.5), np.array(counts[after], np.int64)
+        return out
+
+    def add(self, x: int):
+        if self.n_low and x <= -self.low[0]:
+            heappush(self.low, -x)
+            self.n_low += 1
+            if self.n_low > self.n_high + 1:
+                heappush(self.high, -heappop(self.low))
+                self.n_low, self.n_high = self.n_low - 1, self.n_high + 1
+        else:
+            heappush(self.high, x)
+            self.n_high += 1
+            if self.n_high > self.n_low:
+                heappush(self.low, -heappop(self.high))
+                self.n_low, self.n_high = self.n_low + 1, self.n_high - 1
+
+
+#: Cells into which the values of a cut group are dealt to find the middle of its earlier slices.
+CELLS = 1024
+
+
+def _middle_of_earlier(hot: DataFrame, by: list[str], column: str, which: int) -> DataFrame:
+    """Per slice: the values of earlier slices that can become the median of a row in it, with their counts.
+
+    A slice of m values moves the median by m / 2 places at most, so it needs about m of the earlier values, however many there
+    are. Counts by slice and cell tell in which cells they lie. One row per slice and value: ``_v<which>``, ``_count``, the
+    number of earlier values (``_prior``), the places asked for (``_least`` to ``_most``) and the place of the first value (``_skip``).
+    """
+    spread = lambda a, b, broadcast=False: matched(a, b, by, broadcast=broadcast) if by else a.crossJoin(F.broadcast(b) if broadcast else b)
+    values = hot.select(*by, "_slice", F.col(column).cast("double").alias("_v")).where("_v IS NOT NULL")
+    grid = values.where(~F.isnan("_v")).groupBy(*by).agg(_quantile_grid("_v", CELLS).alias("_bounds"))
+    grid = grid.withColumn("_bounds", F.coalesce(F.array_distinct("_bounds"), F.array().cast("array<double>")))
+    grid = grid.withColumn("_stride", F.greatest(F.sqrt(F.size("_bounds")).cast("int"), F.lit(1)))
+    grid = materialise(grid.withColumn("_coarse", F.filter("_bounds", lambda b, i: (i + 1) % F.col("_stride") == 0)), "median-grid")
+    counted = values.groupBy(*by, "_slice", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    joined = matched(counted, grid, by, "left", broadcast=True) if by else counted.crossJoin(F.broadcast(grid))
+    cell = F.coalesce(_slice_of(F.col("_v"), F.col("_bounds"), F.col("_coarse"), F.col("_stride")), F.lit(0))
+    celled = materialise(joined.select(*by, "_slice", "_v", "_c", cell.alias("_cell")), "median-cells")
+
+    through = Window.partitionBy(*by).orderBy("_slice").rowsBetween(FIRST, -1)
+    slices = hot.groupBy(*by, "_slice").agg(F.count(column).alias("_m")).withColumn("_prior", F.coalesce(F.sum("_m").over(through), F.lit(0)))
+    reach = F.ceil(F.col("_m") / 2) + 1
+    slices = slices.withColumns({
+        "_least": F.greatest(F.floor((F.col("_prior") - 1) / 2) - reach, F.lit(0)), "_most": F.least(F.floor(F.col("_prior") / 2) + reach, F.col("_prior") - 1)})
+    sums = celled.groupBy(*by, "_slice", "_cell").agg(F.sum("_c").alias("_c"))
+    dense = matched(spread(slices, sums.select(*by, "_cell").distinct()), sums, [*by, "_slice", "_cell"], "left")
+    dense = dense.withColumn("_n", F.coalesce(F.sum("_c").over(Window.partitionBy(*by, "_cell").orderBy("_slice").rowsBetween(FIRST, -1)), F.lit(0)))
+    dense = dense.withColumn("_below", F.sum("_n").over(Window.partitionBy(*by, "_slice").orderBy("_cell").rowsBetween(FIRST, 0)) - F.col("_n"))
+    asked = dense.where((F.col("_n") > 0) & (F.col("_below") + F.col("_n") > F.col("_least")) & (F.col("_below") <= F.col("_most")))
+    asked = asked.withColumn("_skip", F.min("_below").over(Window.partitionBy(*by, "_slice")))
+    asked = materialise(asked.select(*by, "_cell", F.col("_slice").alias("_for"), "_prior", "_least", "_most", "_skip"), "median-asked")
+    met = matched(celled, asked, [*by, "_cell"]).where("_slice < _for")
+    met = met.groupBy(*by, "_for", "_prior", "_least", "_most", "_skip", "_v").agg(F.sum("_c").alias("_count"))
+    return met.withColumnsRenamed({"_for": "_slice", "_v": f"_v{which}"}).withColumn("_which", F.lit(which))
+
+
+def _sliced_medians(hot: DataFrame, by: list[str], order: list[str], features: dict[str, Feature]) -> DataFrame:
+    """The same for groups that are cut: a slice is a group that knows the middle of the earlier ones."""
+    hot = materialise(hot, "medians")
+    parts = [_middle_of_earlier(hot, by, c, i) for i, c in enumerate(sorted({f.column for f in features.values()}))]
+    earlier = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _medians(hot, [*by, "_slice"], order, features, earlier)
 
 
 def _sliced(hot: DataFrame, by: list[str], order: list[str], features: dict[str, Feature]) -> DataFrame:

@@ -2,6 +2,7 @@
 import math
 import random
 import statistics
+from bisect import insort
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +253,38 @@ def test_running_medians_of_cut_groups(spark, skewed, split_small, by):
         assert close(row["xm"], statistics.median(values) if len(values) >= (9 if by else 1) else None) and close(row["rm"], statistics.median(upto) if upto else None)
         seen.append(r["v"])
     assert len(got) == 210
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_running_medians_take_one_pass(spark, cut):
+    """No median is computed anew from all earlier rows: plain windows did that, and took the square of a group's size."""
+    r = random.Random(8)
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 2.0, 2.0]
+    rows = [(g, k, r.choice(odd) if k % 5 == 0 else r.choice([2.0, r.gauss(0, 9) + (k > 2000)])) for g, n in (("a", 4000), (None, 300)) for k in range(n)]
+    spark.conf.set("spark.ledgerline.minSplitRows", "500" if cut else "500000")
+    try:
+        df = spark.createDataFrame(rows, "g string, k int, v double").withColumn("w", -F.col("v"))
+        out = o.causal(df, ["g"], ["k"], {"xm": o.expanding("v", "median", 3), "rm": o.running("v", "median"), "wm": o.running("w", "median")})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "percentile" not in plan
+        got = {(x.g, x.k): x for x in out.collect()}
+    finally:
+        spark.conf.unset("spark.ledgerline.minSplitRows")
+    assert len(got) == len(rows)
+    place = lambda x: (math.isnan(x), 0.0 if math.isnan(x) else x)
+
+    def middle(seen, least=1):
+        if len(seen) < least:
+            return None
+        low, high = seen[(len(seen) - 1) // 2], seen[len(seen) // 2]
+        return low if low == high else low * 0.5 + high * 0.5
+
+    same = lambda a, b: a == b or (a is not None and b is not None and (math.isnan(a) and math.isnan(b) or math.isclose(a, b)))
+    for g in ("a", None):
+        seen, back = [], []
+        for _, k, v in (x for x in rows if x[0] == g):
+            assert same(got[g, k].xm, middle(seen, 3)), k
+            if v is not None:
+                insort(seen, v, key=place)
+                insort(back, -v, key=place)
+            assert same(got[g, k].rm, middle(seen)) and same(got[g, k].wm, middle(back)), k
