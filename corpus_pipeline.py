@@ -27,8 +27,9 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id: five-word shingles, similarity 0.8."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies stays, the one with the smallest id. Links are those of op1 (fingerprints within
+    three bits) and those of five-word shingles at similarity 0.8."""
+    return near_copies.keep_one(docs, fingerprints=True)
 
 
 def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ Texts with equal sets are one node. No pairs are formed within a band. In the fi
 smallest one; links join components. From then on each band that still holds several components names pivots: ``PIVOTS``
 nodes of the largest, and one node each of ``PIVOTS`` others, drawn by hashes that change with the round. Members are
 compared with the pivots of components as large as their own or larger, so a round takes 2 x ``PIVOTS`` comparisons per
-member at most, and next to none for the members of a large component. Rounds end when one adds no link. What may be missed,
-besides pairs that meet in no band, are members all of whose partners were no pivot in any round, which takes a band of
-several components; tests hold the recall against all pairs, and the README states it.
+member at most, and next to none for the members of a large component. Rounds end when one adds no link. Then all pairs that
+still meet in a band but lie in different components, and are not too unequal in size, are compared, so no pair that meets in
+a band is left out. Pairs that are no links remain in that step, and in a band of many components they grow with the square of
+its size. What is missed are pairs that meet in no band; tests hold the recall against all pairs, and the README states it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import body, written
 from .components import components
 
@@ -108,18 +110,35 @@ def rooted(docs: DataFrame) -> DataFrame:
     sets = written(texts.select("node", shingle_sets("text").alias("shingles")), "near-sets")
     stars = members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(stars, sets)
-    roots, turn = None, 0
+    roots, turn, apart = None, 0, False
     while True:
         new = written(links, "near-links")
         if turn and new.isEmpty():
-            break
+            if apart:
+                break
+            apart = True
+            links = confirmed(_left_apart(members, roots, sets), sets)
+            continue
         known = new if roots is None else new.unionByName(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
         roots = written(components(known), "near-roots")
+        if apart:
+            break
         turn += 1
         links = confirmed(_with_pivots(members, roots, turn), sets)
     return marked.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", "node", F.coalesce("root", "node").alias("root"))
 
 
+def _left_apart(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a < b of all nodes that meet in a band, lie in different components and may be similar enough by their sizes."""
+    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    sized = written(placed.join(several, "key").join(sets.select("node", F.size("shingles").alias("size")), "node"), "near-apart")
+    one, other = sized.toDF("node_a", "key", "root_a", "size_a"), sized.toDF("node_b", "key", "root_b", "size_b")
+    least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    near = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (least * 100 >= most * SIMILAR_PERCENT)
+    return one.join(other, "key").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _with_pivots(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Pairs a < b of a member of a band and a pivot of another component there; minima of hashes choose pivots, so no band is sorted."""
     placed = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-placed")
@@ -134,14 +153,25 @@ def _with_pivots(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _with_fingerprints(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the roots that follow if texts whose fingerprints ``simhash`` links are near copies, too."""
+    roots = rows.select("digest", "root").distinct()
+    met = roots.join(simhash.rooted(docs).select("digest", F.col("root").alias("print")).distinct(), "digest").select("root", "print").distinct()
+    least = met.groupBy("print").agg(F.min("root").alias("a"))
+    links = met.join(least, "print").where("root != a").select("a", F.col("root").alias("b"))
+    merged = components(links).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return rows.join(merged, "root", "left").withColumn("root", F.coalesce("least", "root")).drop("least")
+
+
+def keep_one(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
     """One row of every group of near copies, with its own columns: the one of the smallest id; among several of that id the
-    one of the smallest text hash.
+    one of the smallest text hash. With ``fingerprints`` the links of ``simhash`` count as well.
 
     Whole texts are compared. Texts without words, null ones too, are copies of each other. A row with a null id stays only
     if its whole group has null ids. Of rows equal in id and text any one stays. Empty tables give no rows.
     """
-    first = rooted(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f"))
+    rows = written(rooted(docs), "near-rows")
+    first = (_with_fingerprints(docs, rows) if fingerprints else rows).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f"))
     chosen = first.select(F.col("f.doc_id").alias("chosen_id"), F.col("f.digest").alias("chosen_digest"))
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("own_id"), _digest(docs).alias("own_digest"))
     kept = row.join(chosen, F.col("own_id").eqNullSafe(F.col("chosen_id")) & (F.col("own_digest") == F.col("chosen_digest")), "left_semi")

@@ -105,6 +105,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     return _components(_marked(docs)).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, fp, root of every row: rows of one root are linked, over any number of links."""
+    return _components(_marked(docs)).select("doc_id", "digest", "fp", "root")
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     text = body(docs)
     return written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("digest"), fingerprints(docs["text"].cast("string")).alias("fp")), "fingerprints")
