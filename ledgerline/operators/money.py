@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import band
 from ..functions.normal import norm_cdf, norm_pdf
 from ..functions.scalar import col, flag, present_cash_flow, safe_div
+from ..session import materialise
 from ..sources import specs
 from .ordered import average_ranks, column_quantiles, row_position
 
@@ -168,7 +169,7 @@ def lifetime_value(
 
 def churn_proxy(df: DataFrame, complaints: str, engagement: str, name: str = "churn_p") -> DataFrame:
     """Value-based stand-in for a churn score from two population ranks."""
-    df = average_ranks(df, [], {"_rc": complaints, "_re": engagement})
+    df = average_ranks(materialise(df, "churn"), [], {"_rc": complaints, "_re": engagement})
     return df.withColumn(name, F.col("_rc") * 0.6 + (1 - F.col("_re")) * 0.4).drop("_rc", "_re")
 
 
@@ -178,6 +179,7 @@ SEGMENT_NAMES = ("Maintain", "Low-cost intervention", "Protect", "Priority reten
 
 def prioritise(df: DataFrame, value: str, churn: str, key: str, budget: int = specs.CONTACT_BUDGET, value_q: float = 0.5, churn_q: float = 0.5) -> DataFrame:
     """Two-by-two segments around quantiles, value at risk and the contact list."""
+    df = materialise(df, "prioritise")
     cuts = column_quantiles(df, [value, churn], sorted({value_q, churn_q}))
     at = {q: k for k, q in enumerate(sorted({value_q, churn_q}))}
     above = lambda c, q: flag(F.col(c) >= F.lit(cuts[c][at[q]] if cuts[c] else None))
