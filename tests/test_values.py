@@ -514,3 +514,31 @@ def test_bootstrap_draws_once(spark, monkeypatch):
     df, seen = scores(spark, [0, 1] * 30, range(60)), []
     monkeypatch.setattr(metrics, "materialise", lambda d, name: seen.append(name) or d)
     assert one(metrics.bootstrap_auc(df, "y", "s", "id", replicates=5)).n_boot == 5 and seen == ["replicates"]
+
+
+def evaluated(spark, df, name, seen):
+    """The table with a column whose values are counted each time they are computed."""
+    @F.udf("double")
+    def same(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(name, same.asNondeterministic()(name))
+
+
+def test_customers_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.range(50).select("id", (F.col("id") * 7 % 50).cast("double").alias("v"), (F.col("id") % 9).cast("double").alias("c"), (F.col("id") % 5).cast("double").alias("u"))
+    out = money.prioritise(evaluated(spark, df, "v", seen), "v", "c", "id", budget=3).collect()
+    assert seen.value == 50 and sum(x.contact for x in out) == 3
+    out = money.churn_proxy(evaluated(spark, df, "c", other := spark.sparkContext.accumulator(0)), "c", "u")
+    assert out.count() == 50 and out.filter("churn_p > 0").count() > 40 and other.value == 50
+
+
+def test_folds_are_scored_once(spark):
+    from ledgerline.operators import modeling
+
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.range(60).select((F.col("id") % 2).cast("double").alias("label"), (F.col("id") / 60).alias("score"), (F.col("id") % 3).cast("int").alias("fold"))
+    out = modeling.fold_metrics(evaluated(spark, df, "score", seen), "binary")
+    assert out.filter("metric = 'roc_auc'").count() == 3 and out.count() > 20 and seen.value == 60
