@@ -37,8 +37,11 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
 #: Characters of the texts encoded together.
 BATCH_CHARS = 2_000_000
 
-#: A word that is one run of letters for the tokenizer's pattern, with or without a point or comma (a run of its own) behind it.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: A word, or two that a line's end parts, each one run of letters for the tokenizer's pattern with or without marks behind it.
+_RUN, _MARKS = "([A-Za-zÀ-ÖØ-öø-ɏ]+)", "([!-&(-/:-@[-`{-~]*"
+_PLAIN = re.compile(f"{_RUN}{_MARKS})|{_RUN}{_MARKS}\n){_RUN}{_MARKS})").fullmatch
+#: Strings of marks a worker remembers.
+MARKS = 10_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -58,25 +61,52 @@ class IdEncoder:
         self.letters = _byte_letters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.marks = dict(zip(("", ".", ","), self._encoded(["", ".", ","])))
+        self.marks: dict[str, list[int]] = {"": []}
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _mark(self, text: str) -> list[int]:
+        """The ids of marks behind a run of letters, which the pattern keeps apart from it."""
+        ids = self.marks.get(text)
+        if ids is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if len(self.marks) < MARKS and len(text) <= LONGEST:
+                self.marks[text] = ids
+        return ids
+
+    def _run(self, letters: str) -> list[int]:
+        """The ids of a run of letters, with or without a space before it, by the model alone."""
+        written = letters.replace(" ", self.letters[32]) if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(written)]
+
     def _learn(self, words: set[str]) -> None:
         """Make the ids of words, each with a space before it, known. Runs of letters go to the model without its pattern."""
-        odd, young, old, tokenize = [], self.young, self.old, self.model.tokenize
+        young, old, tokenize, space = self.young, self.old, self.model.tokenize, self.letters[32]
+        odd, runs, n = [], [], []
+        ids: list[int] = []
         for w in words:
-            if w in old:
-                young[w] = old[w]
-            elif plain := _PLAIN.fullmatch(w):
-                run, mark = plain.groups()
-                ids = young.get(run)
-                if ids is None:
-                    ids = young[run] = array("I", [t.id for t in tokenize((" " + run).encode().decode("latin-1").translate(self.letters))]).tobytes()
-                young[w] = ids + self.marks[mark]
+            if (known := old.get(w)) is not None:
+                young[w] = known
+                continue
+            if w.isascii() and w.isalpha():
+                ids += [t.id for t in tokenize(space + w)]
+            elif plain := _PLAIN(w):
+                run, marks, line, end, run_2, marks_2 = plain.groups()
+                if run:
+                    ids += self._run(" " + run) + self._mark(marks)
+                else:
+                    ids += self._run(" " + line) + self._mark(end) + self._run(run_2) + self._mark(marks_2)
             else:
                 odd.append(w)
+                continue
+            runs.append(w)
+            n.append(len(ids))
+        plain = array("I", ids).tobytes()
+        at = 0
+        for w, end in zip(runs, n):
+            young[w] = plain[4 * at : 4 * end]
+            at = end
         young.update(zip(odd, self._encoded([" " + w for w in odd])))
 
     def _forget(self, words: set[str]) -> None:
@@ -127,22 +157,19 @@ class IdEncoder:
             return []
         split = pc.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
         coded = split.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         unseen = set(distinct).difference(self.young)
         self._learn(unseen)
         first = split.offsets.to_numpy()[:-1]
         heads = self._encoded([t.partition(" ")[0] if t else "" for t in texts])
         ids = [*map(self.young.__getitem__, distinct), *heads]
         self._forget(unseen)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.cumsum(size) - size
         word = coded.indices.to_numpy().astype(np.int64)
         word[first] = len(distinct) + np.arange(len(texts))  # a text's first word has no space before it
-        n = size[word]
-        ends = np.cumsum(n)
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[word] - (ends - n), n) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
-        return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        flat = pa.array(ids, pa.large_binary()).take(pa.array(word))
+        plain = memoryview(flat.buffers()[2] or b"")
+        bounds = np.frombuffer(flat.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        return [bytes(plain[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 @cache

@@ -333,6 +333,16 @@ def test_words_encode_as_whole_texts():
     assert list(encoder.encode_all(odd)) == want == [encoder.encode(t) for t in odd]
 
 
+def test_runs_of_letters_with_marks_pass_by_the_pattern(monkeypatch):
+    tk = Tokenizer.from_file(tokens.tokenizer_path())
+    texts = ["Head plain Plain! été*** thus,%%% ends.\nNext öffnet.\nDas, a_b __ tail_ x\ny a.b", "So (it) goes;\nit's so's. one!'\n'two end-- <|endoftext|> w<|endoftext|>"]
+    encoder, sent = tokens.IdEncoder(tokens.tokenizer_path()), []
+    by_pattern = encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda parts: (sent.extend(parts), by_pattern(parts))[1])
+    assert list(encoder.encode_all(texts)) == [np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert not {" Plain!", " été***", " thus,%%%", " ends.\nNext", " öffnet.\nDas,", " tail_"} & set(sent) and {" a.b", " it's"} - set(sent) == {" it's"}
+
+
 def test_token_files_come_back(spark, odd, odd_rows, empty, tmp_path):
     tk = Tokenizer.from_file(tokens.tokenizer_path())
     manifest = token_files.write(odd, str(tmp_path / "files"))
