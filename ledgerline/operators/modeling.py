@@ -322,18 +322,24 @@ def shuffled_partner(df: DataFrame, key: str, columns: list[str], repeats: int,
     return df.join(dealt, key)
 
 
+def ranked_once(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Ranking metrics of scores that a model still has to give: it gives each once, and the passes read written counts."""
+    counts = metrics.score_counts(metrics.pairs(scored, "label", "score", *by), by)
+    return metrics.ranked_counts(materialise(counts, "ranked-scores"), by)
+
+
 def permutation_importance(df: DataFrame, fitted, key: str, features: list[str], repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean and deviation of the AUC a model loses when one feature is dealt out at random.
 
     One shuffle of rows per repeat serves all features.
     """
-    base = metrics.ranking_metrics(predict(fitted, df, "binary", [key, "label"]), "label", "score").select(F.col("roc_auc").alias("_base"))
+    base = ranked_once(predict(fitted, df, "binary", [key, "label"]), []).select(F.col("roc_auc").alias("_base"))
     dealt = materialise(shuffled_partner(df, key, features, repeats, seed), "importance")
     scored = None
     for f in features:
         part = predict(fitted, dealt.withColumn(f, F.col(f"{f}__p")), "binary", ["repeat", "label"]).withColumn("feature", F.lit(f))
         scored = part if scored is None else scored.unionByName(part)
-    auc = metrics.ranking_metrics(scored, "label", "score", ["feature", "repeat"])
+    auc = ranked_once(scored, ["feature", "repeat"])
     drops = with_scalars(auc, base).withColumn("drop", F.col("_base") - F.col("roc_auc"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_samp("drop").alias("importance_std"))
 

@@ -71,6 +71,12 @@ def test_importance_and_selection_prefer_the_signal(toy):
     assert verdict["signal"][0] == "kept" and verdict["constant"] == ("dropped", "variance") and verdict["copy"] == ("dropped", "correlated with signal")
 
 
+def test_importance_reads_written_scores(toy):
+    fitted = ml.fit(LOGISTIC, ml.prepare(toy.filter("fold <> 1"), NUMERIC), NUMERIC, [])
+    out = ml.permutation_importance(ml.prepare(toy.filter("fold = 1"), NUMERIC), fitted, "id", NUMERIC, 2)
+    assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_grid_is_seeded_and_distinct():
     space = {"a": [1, 2, 3], "b": [0.1, 0.2]}
     grid = ml.random_grid(space, 10)
