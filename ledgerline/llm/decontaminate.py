@@ -3,17 +3,19 @@
 A seed is a mask over consecutive words that looks at some positions and ignores the others, so a substituted word at an
 ignored position does not hide a passage. Every place of every document is hashed under every mask and looked up among the
 hashes of the benchmark; each hit is then verified word by word along its diagonal.
+
+A benchmark of up to ``SEEDS_AT_ONCE`` seeds is broadcast. A larger one never is: its bits are, in a filter of bounded size, and
+the places that pass it, few but the true ones, are joined with the seeds by a shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body
+from .common import body, written
 
 #: Offsets a mask looks at. Every window of 13 to 20 words of which at most a fifth is substituted holds a hit of one of
 #: these (tests/llm go through all patterns).
@@ -24,8 +26,11 @@ SHORT = 12
 WINDOW = 20
 #: Percent of the window's words that must be equal.
 AGREE = 80
-#: Seeds of the benchmark broadcast at once, some 40 MB; a larger benchmark is looked up block after block.
+#: Seeds of the benchmark broadcast, some 130 MB as a hash table; of a larger benchmark only a filter is broadcast.
 SEEDS_AT_ONCE = 1_000_000
+#: The filter: 64-bit words of a block, bits a seed sets in its one block, and blocks at most (32 MB of bits). A block has 32 seeds
+#: up to 8 million seeds; above, more places pass in vain and are dropped by the join.
+BLOCK, BITS, BLOCKS = 16, 3, 1 << 18
 
 
 def short_masks(size: int) -> tuple[tuple[int, ...], ...]:
@@ -73,12 +78,48 @@ def item_seeds(tests: DataFrame, short: list[int]) -> DataFrame:
     return each.where(F.col("seed").isNotNull()).distinct()
 
 
+def _block(seed: str, blocks: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(F.col(seed), 10 * BITS), F.lit(blocks).cast("long"))
+
+
+def _marks(seed: str) -> list[tuple[Column, Column]]:
+    """The bits of its block that a seed sets: the word and the place in it."""
+    cut = lambda low, n: F.shiftrightunsigned(F.col(seed), low).bitwiseAND(F.lit(n - 1)).cast("int")
+    return [(cut(10 * k + 6, BLOCK), cut(10 * k, 64)) for k in range(BITS)]
+
+
+def seed_filter(seeds: DataFrame, blocks: int) -> DataFrame:
+    """block, bits: for each block of the filter that has seeds, its words with the bits of all of them."""
+    one = lambda bit: F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    each = F.explode(F.array(*[F.struct(word.alias("word"), one(bit).alias("bit")) for word, bit in _marks("seed")]))
+    none = F.lit(0).cast("long")
+    marks = seeds.select(_block("seed", blocks).alias("block"), each.alias("m"))
+    merged = marks.groupBy("block").agg(*[F.bit_or(F.when(F.col("m.word") == i, F.col("m.bit")).otherwise(none)).alias(f"w{i}") for i in range(BLOCK)])
+    return merged.select("block", F.array(*[f"w{i}" for i in range(BLOCK)]).alias("bits"))
+
+
+def screened(looked: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """The places of ``looked`` whose seed may be one of the ``n`` seeds; none that is gets lost."""
+    blocks = min(BLOCKS, max(1, n // 32))
+    met = looked.join(F.broadcast(seed_filter(seeds, blocks)), _block("looked", blocks) == F.col("block"))  # at most BLOCKS rows
+    for word, bit in _marks("looked"):
+        met = met.where(F.call_function("getbit", F.get(F.col("bits"), word), bit) == 1)
+    return met.drop("block", "bits")
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """In place of the whole document's words (``w``) those that windows around the place can reach, where they start, and how many
+    words there are."""
+    start = F.greatest(F.lit(0), F.col("doc_at") - WINDOW)
+    return df.withColumns({"from": start, "n_words": F.size("w"), "near": F.slice("w", start + 1, 2 * WINDOW)}).drop("w")
+
+
 def _agreement() -> Column:
     """The most equal words in a window of the hit's diagonal that holds the seed: (window length, equal words, start in the item)."""
     size = F.least(F.lit(WINDOW), F.size("b"))
     low = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - size, F.col("item_at") - F.col("doc_at"))
-    high = F.least(F.size("b"), F.col("item_at") + size, F.col("item_at") - F.col("doc_at") + F.size("w"))
-    equal = F.transform(F.sequence(F.col("low"), F.col("high") - 1), lambda k: (F.get(F.col("w"), F.col("doc_at") - F.col("item_at") + k) == F.get(F.col("b"), k)).cast("int"))
+    high = F.least(F.size("b"), F.col("item_at") + size, F.col("item_at") - F.col("doc_at") + F.col("n_words"))
+    equal = F.transform(F.sequence(F.col("low"), F.col("high") - 1), lambda k: (F.get(F.col("near"), F.col("doc_at") - F.col("from") - F.col("item_at") + k) == F.get(F.col("b"), k)).cast("int"))
     sums = F.transform(
         F.sequence(F.lit(0), F.size("equal") - F.col("size")),
         lambda s: F.struct(F.aggregate(F.slice("equal", s + 1, F.col("size")), F.lit(0), lambda a, x: a + x).alias("equal"), (F.col("low") + s).alias("start")),
@@ -97,17 +138,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tests = items(benchmark)
     short = short_sizes(tests)
     seeds = item_seeds(tests, short)
-    blocks = max(1, -(-seeds.count() // SEEDS_AT_ONCE))
+    n = seeds.count()
     text = body(docs)
     placed = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("digest"), words(text).alias("w"))
     # The words stay with every place by reference until a seed is found, within one generated loop.
     looked = placed.select("doc_id", "digest", "w", F.posexplode("w").alias("doc_at", "word")).select("doc_id", "digest", "w", "doc_at", F.explode(_seeds("w", "doc_at", short)).alias("s"))
     looked = looked.select("doc_id", "digest", "w", "doc_at", F.col("s.seed").alias("looked"))
-    own = lambda k: seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k)
-    hits = reduce(DataFrame.unionAll, [looked.join(F.broadcast(own(k)), F.col("looked") == F.col("seed")) for k in range(blocks)])  # at most about SEEDS_AT_ONCE rows each
+    if n > SEEDS_AT_ONCE:
+        seeds = written(seeds, "benchmark-seeds")
+        places = _near(screened(looked, seeds, n))
+        hits = places.join(seeds, F.col("looked") == F.col("seed"))
+    else:
+        hits = _near(looked.join(F.broadcast(seeds), F.col("looked") == F.col("seed")))
     size, low, high, equal, best = _agreement()
     verified = (
-        hits.select("doc_id", "digest", "w", "doc_at", "item_id", "item_at", "span").join(tests, "item_id")
+        hits.select("doc_id", "digest", "from", "n_words", "near", "doc_at", "item_id", "item_at", "span").join(tests, "item_id")
         .withColumns({"size": size, "low": low, "high": high}).where(F.col("high") - F.col("low") >= F.col("size"))
         .withColumn("equal", equal).withColumn("best", best).where(F.col("best.equal") * 100 >= F.col("size") * AGREE)
     )

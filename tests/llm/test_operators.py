@@ -546,6 +546,22 @@ def test_a_large_benchmark_is_looked_up_in_blocks(spark, monkeypatch):
     assert rows(decontaminate.overlaps(docs, bench), "doc_id", "item_id", "n_equal") == whole and len(whole) == 2
 
 
+def test_a_large_benchmark_broadcasts_a_filter_and_reads_documents_once(spark, monkeypatch):
+    items = [(i, prose(400 + i, 12 + i)) for i in range(30)]
+    docs = [(k, f"{prose(500 + k, 9 * k)} {items[k % 30][1]} {prose(600 + k, 5)}") for k in range(40)] + [(41, prose(700, 300)), (42, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "SEEDS_AT_ONCE", 20)
+    monkeypatch.setattr(decontaminate, "BLOCKS", 3)
+    found = decontaminate.overlaps(df, bench)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == plain_overlaps(docs, items)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+    tests = decontaminate.items(bench)
+    seeds = decontaminate.item_seeds(tests, decontaminate.short_sizes(tests)).cache()
+    looked = seeds.select(F.col("seed").alias("looked")).unionAll(spark.range(9000).select(F.xxhash64("id")))
+    left = decontaminate.screened(looked, seeds, seeds.count())
+    assert left.join(seeds, F.col("looked") == F.col("seed"), "left_semi").count() == seeds.count() and left.count() < 9000
+
+
 # Quality rules
 
 def plain_counts(text):
