@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..functions.scalar import nan_to_null
 from .specs import TableSpec
 
 POSITIVE_RATE_TOLERANCE = 5e-4
+#: Bytes of a file that an executor reads whole; bytes of a longer one read at once, and such files read side by side.
+WHOLE_FILE, STREAM_BUFFER, PARALLEL_STREAMS = 64 << 20, 1 << 20, 4
 
 
 # ----------------------------------------------------------------------------------------------
@@ -83,10 +86,31 @@ def cached(spark: SparkSession, key: str, source: str, folder: str, build: Calla
     return spark.read.parquet(path)
 
 
+def _stream_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any length, read in order through the file system Spark reads it with, a buffer at a time."""
+    jvm = spark._jvm
+    digest, where = jvm.java.security.MessageDigest.getInstance("SHA-256"), jvm.org.apache.hadoop.fs.Path(path)
+    source = jvm.java.security.DigestInputStream(where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where), digest)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, jvm.java.io.OutputStream.nullOutputStream(), STREAM_BUFFER, True)
+    return bytes(digest.digest()).hex()
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and length of every file under a path; files up to 2 GB each."""
+    """SHA-256 and length of every file under a path, whatever its length.
+
+    Executors hold a file whole, so they digest files up to ``WHOLE_FILE`` bytes. SHA-256 is a chain that no two tasks can share:
+    a longer file passes through the driver's JVM as a stream, some such files side by side.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    whole = files.where(F.col("length") <= WHOLE_FILE).select(name, "length", F.sha2("content", 256).alias("sha256"))
+    long = files.where(F.col("length") > WHOLE_FILE).select("path", name, "length").collect()  # the listing, no content
+    if not long:
+        return whole
+    with ThreadPool(min(PARALLEL_STREAMS, len(long))) as pool:
+        digests = pool.map(lambda row: _stream_digest(spark, row["path"]), long)
+    rows = [(row["file"], row["length"], digest) for row, digest in zip(long, digests)]
+    return whole.unionByName(spark.createDataFrame(rows, whole.schema))
 
 
 def table_digest(df: DataFrame) -> DataFrame:
