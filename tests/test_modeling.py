@@ -77,6 +77,27 @@ def test_importance_reads_written_scores(toy):
     assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_models_of_a_comparison_share_preprocessing(toy, monkeypatch):
+    built, plain = [], ml.preprocessing
+    monkeypatch.setattr(ml, "preprocessing", lambda *a: built.append(a) or plain(*a))
+    forest = ml.Model("forest", "forest", params={"numTrees": 3, "maxDepth": 2})
+    balanced = ml.Model("balanced", "logistic", params={"regParam": 0.01, "maxIter": 20}, scale=True, balanced=True)
+    models, roles = [ml.BASELINES["binary"][0], LOGISTIC, forest, balanced], ml.kfold_roles("fold", 3)
+    assert ml.compare(toy, models, roles, ["id"], NUMERIC, ["kind"]).select("model").distinct().count() == 4 and len(built) == 3
+    ready = ml.fold_preprocessing(toy, models, roles, NUMERIC, ["kind"])
+    for model in models[1:]:
+        alone = ml.out_of_fold(toy, model, roles, ["id"], NUMERIC, ["kind"])
+        shared = ml.out_of_fold(toy, model, roles, ["id"], NUMERIC, ["kind"], ready=ready).withColumnRenamed("score", "s")
+        assert alone.join(shared, ["id", "fold"]).filter("abs(score - s) < 1e-9").count() == 900
+
+
+def test_class_weights_do_not_deal_rows_by_class(toy):
+    weighted = ml.balanced_weights(toy, "label")
+    assert "rightHint=(strategy=broadcast)" in weighted._jdf.queryExecution().optimizedPlan().toString()
+    sums = {r[0]: r[1] for r in weighted.groupBy("label").agg(F.sum("_weight")).collect()}
+    assert sums == pytest.approx({0.0: 450.0, 1.0: 450.0})
+
+
 def test_grid_is_seeded_and_distinct():
     space = {"a": [1, 2, 3], "b": [0.1, 0.2]}
     grid = ml.random_grid(space, 10)
